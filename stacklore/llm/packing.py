@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -16,8 +17,6 @@ from .bpe import encode, little
 from .common import Scratch, read_table, slices, text_or_empty, texts_of
 
 SIZE, END_ID = 1024, 2
-#: Rows which one window of the rank within a length holds on average.
-BLOCK_ROWS = 4096
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -86,11 +85,11 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
 def pack(parts: DataFrame, scratch: Scratch, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). Only the histogram, at most ``size`` rows,
     comes to the driver; the plan's runs are bounded by ``size`` as well. A piece finds its slot by its rank among the
-    pieces of its length, counted in blocks, so that a length which a third of the pieces share is ranked by many
+    pieces of its length, counted in blocks (of n rows there are about sqrt(n) blocks of sqrt(n) rows), so that a length which a third of the pieces share is ranked by many
     tasks. Equal rows take any of their ranks."""
     spark = parts.sparkSession
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
-    block = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, -(-n // BLOCK_ROWS))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    block = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, math.isqrt(n) + 1)]) if counts else F.create_map(F.lit(0), F.lit(1))
     parts = parts.withColumn("__block", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(block, F.col("length").cast("int" if not counts else "long")).cast("long")))
     sums = parts.groupBy("length", "__block").count()
     before = scratch.save(sums.select("length", "__block", (F.sum("count").over(Window.partitionBy("length").orderBy("__block")) - F.col("count")).alias("__before")), "ranks")

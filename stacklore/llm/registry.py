@@ -5,9 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 NAMES = {
+    "op1_quality_rules": "quality_rules",
     "op3_resharding": "resharding",
     "op4_secret_scan": "secrets",
     "op5_token_counts": "token_counts",
+    "op9_main_text": "html_text",
     "op10_packing": "packing",
 }
 
