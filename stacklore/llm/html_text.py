@@ -33,9 +33,9 @@ HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>/=])|aria-hidden\s*=\s*["']?true|style
 WHITE = re.compile(r"\s+")
 
 #: Score of a word before its surroundings count, and of a tag; weights are held inside LEAST and MOST.
-WORD, TAG, LEAST, MOST = 1.0, -0.4, -8.0, 1.5
+WORD, TAG, LEAST, MOST = 1.0, -0.15, -8.0, 1.5
 #: A word's least score. What is dropped anyway may stand inside a region, so that an advert doesn't cut an article.
-LOW = -0.3
+LOW = -0.1
 #: Words at or under this weight aren't content even inside the chosen region.
 DROPPED = -1.0
 
