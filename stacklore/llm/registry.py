@@ -9,6 +9,7 @@ NAMES = {
     "op3_resharding": "resharding",
     "op4_secret_scan": "secrets",
     "op5_token_counts": "token_counts",
+    "op6_private_data": "private_data",
     "op7_quality_classifier": "line_crf",
     "op8_decontamination": "decontamination",
     "op9_main_text": "html_text",
