@@ -6,6 +6,7 @@ from importlib import import_module
 
 NAMES = {
     "op1_quality_rules": "quality_rules",
+    "op2_jaccard_join": "jaccard_join",
     "op3_resharding": "resharding",
     "op4_secret_scan": "secrets",
     "op5_token_counts": "token_counts",
