@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, read_table, slices, text_or_empty, texts_of
 
 WORD = re.compile(r"\w+")
-#: Words of a seed; seeds of an item that stay however common they are; share of all rows up to which any seed is rare.
-SEED, RAREST, RARE_SHARE = 4, 12, 0.001
+#: Words of a seed; rows, share of all rows, and multiple of the item's own lower quartile up to which a seed is rare.
+SEED, RARE_ROWS, RARE_SHARE, TIMES = 4, 100, 0.001, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score, as a share of the score of the whole item. Items shorter than MIN_WORDS have to be met whole.
 SHARE, MIN_WORDS = 0.5, 12
@@ -75,12 +75,15 @@ class Items:
         return seed[found], at[found]
 
     def choose(self, counts: dict[int, int], rows: int) -> None:
-        """Keeps as seeds of each item its RAREST ones and all that occur in at most RARE_SHARE of the rows."""
+        """Keeps the rare seeds: those in at most RARE_ROWS rows, or RARE_SHARE of all, or TIMES as many rows as the lower
+        quartile of the item's seeds. So an item of which there are many copies keeps the seeds that edited copies
+        share with exact ones, and each item keeps a quarter of its seeds at least."""
         df = np.array([counts.get(i, 0) for i in range(len(self.seeds))])[np.searchsorted(self.seeds, self.flat)]
-        order = np.lexsort((self.place, df, self.owner))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - np.searchsorted(self.owner[order], self.owner[order])
-        self.rare = (rank < RAREST) | (df <= max(RARE_SHARE * rows, 1))
+        order = np.lexsort((df, self.owner))
+        first, size = np.unique(self.owner[order], return_index=True, return_counts=True)[1:]
+        quartile = np.zeros(len(self.ids))
+        quartile[self.owner[order][first]] = df[order][first + size // 4]
+        self.rare = df <= np.maximum(max(RARE_SHARE * rows, RARE_ROWS), TIMES * quartile[self.owner])
 
     def align(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, share, first word, word after the last) of each item's best alignment that reaches its share."""
