@@ -32,12 +32,13 @@ MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>/=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 WHITE = re.compile(r"\s+")
 
-#: Score of a word before its surroundings count, and of a tag; weights are held inside LEAST and MOST.
-WORD, TAG, LEAST, MOST = 1.0, -0.15, -8.0, 1.5
+#: Score of a word before its surroundings count, and of a tag; weights are held inside LEAST and MOST, those of class,
+#: id and role under MARK_MOST.
+WORD, TAG, LEAST, MOST, MARK_MOST = 1.0, -0.15, -8.0, 1.5, 0.8
 #: A word's least score. What is dropped anyway may stand inside a region, so that an advert doesn't cut an article.
 LOW = -0.1
 #: Words at or under this weight aren't content even inside the chosen region.
-DROPPED = -1.0
+DROPPED = 0.0
 
 
 def features(tag: str, name: str) -> set[str]:
@@ -110,7 +111,7 @@ def fit(pages: list[tuple[str, bool]]) -> dict[str, float]:
                 total[content] += n
                 seen[content].update(dict.fromkeys(marks, n))
     odds = lambda x: math.log((seen[True][x] + 1) / (total[True] + 2)) - math.log((seen[False][x] + 1) / (total[False] + 2))
-    return {x: max(LEAST, min(MOST, odds(x))) for x in seen[True] | seen[False] if abs(odds(x)) > 1.2}
+    return {x: max(LEAST, min(MOST if ":" not in x else MARK_MOST, odds(x))) for x in seen[True] | seen[False] if abs(odds(x)) > 1.2}
 
 
 @lru_cache(1)
