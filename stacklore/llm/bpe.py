@@ -206,6 +206,9 @@ class Pretokens:
     and one more at the end; special: for each place a special id or -1."""
 
     def __init__(self, texts: list[str], special: dict[str, int]) -> None:
+        if not texts:
+            self.words, self.at, self.bounds, self.special = [], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+            return
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         classes = code_point_classes()[points]

@@ -29,6 +29,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """For each text the sorted distinct 64-bit hashes of its shingles of ``words`` words. A text of fewer words has one
     shingle of all its words, a text without words has none."""
+    if not texts:
+        return []
     joined = b"\n".join(x.encode("utf-8", "surrogatepass") for x in texts) + b"\n"
     data = np.frombuffer(joined, np.uint8)
     white = _WHITE[data]
