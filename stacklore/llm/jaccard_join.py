@@ -2,9 +2,10 @@
 
 Each tree of the forest orders signatures by DEPTH MinHash values; a node of its prefix trie is named by the hash of a
 prefix. Matching starts at the full depth and shortens prefixes until a pair at the threshold meets with the target
-recall. Inside a trie node each signature meets one leader. Those that surely belong to the leader leave the tree at
-that depth and it stands for them at shorter prefixes; the rest meet further leaders until none is left. So a node of
-any size makes as many pairs as it has members, and no candidate is capped.
+recall. At each depth every signature of a trie node meets one leader. Those that surely belong to the leader leave the
+tree and it stands for them at shorter prefixes. What is left at the last depth is compared pair by pair, in blocks,
+inside the tasks, which give only the links that join what they found. So no node gives more rows than it has members,
+and no candidate is capped.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ THRESHOLD, TREES, DEPTH, RECALL = 0.8, 16, 6, 0.999
 CANDIDATE, SURE = 0.45, 0.8
 #: Texts of one side of a verification task; ids which may be broadcast to fetch the texts of candidates.
 BLOCK, MAX_IDS = 128, 500_000
-SMALL = 16
+#: Signatures of one side of a comparison task.
+SIGNATURE_BLOCK = 512
 
 
 def least_depth(threshold: float, trees: int, recall: float) -> int:
@@ -68,45 +70,91 @@ def _agreement(pairs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, est double")
 
 
+def tasks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows of equal first ``keys`` columns, over the ends of batches, with the other columns as rows."""
+    task, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != task:
+                if rows:
+                    yield task, rows
+                task, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield task, rows
+
+
+def walk(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links that join all that a symmetric boolean matrix joins."""
+    seen = np.zeros(len(linked), bool)
+    for k in range(len(linked)):
+        front = [] if seen[k] else [k]
+        seen[k] = True
+        while front:
+            x = front.pop()
+            new = np.flatnonzero(linked[x] & ~seen)
+            seen[new] = True
+            for y in new.tolist():
+                yield x, y
+                front.append(y)
+
+
+def in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """For rows (nid, ...) with n, the size of their group: i, j, block; every pair of blocks of a group is one task."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "n")
+
+
+def compared(live: DataFrame, sizes: DataFrame, key: str, nodes: DataFrame, count: int) -> DataFrame:
+    """Links (a, b) that join all pairs of a trie node whose signatures agree in a share of CANDIDATE or more."""
+    dealt = in_blocks(live.select(key, "nid").join(sizes.select(key, "n"), key), key, SIGNATURE_BLOCK).join(nodes.select("nid", "signature"), "nid")
+    dealt = dealt.select(key, "i", "j", "block", "nid", "signature").repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for (_, i, j), rows in tasks(batches, 3):
+            values = np.frombuffer(b"".join(r[2] for r in rows), "<u4").reshape(-1, count)
+            block = np.array([r[0] for r in rows])
+            linked = np.zeros((len(rows), len(rows)), bool)
+            for k in range(len(rows)):
+                linked[k] = (values == values[k]).sum(1) >= CANDIDATE * count
+            if i != j:
+                linked &= block[:, None] != block[None, :]
+            out += [(rows[x][1], rows[y][1]) for x, y in walk(linked) if x != y]
+            if len(out) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+                out = []
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def candidates(nodes: DataFrame, scratch: Scratch, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
     """Links (a, b) that hold every pair at the threshold inside one component, with the recall of the forest."""
     least = least_depth(threshold, trees, recall)
-    depth = max(depth, least)
     all_rows = forest(nodes, trees, depth, least)
     shared = all_rows.groupBy(f"k{least}").count().where("count > 1").select(f"k{least}")
     live = scratch.save(all_rows.join(shared, f"k{least}", "left_semi"), "forest")
-    out, step, levels = None, 0, [*range(depth, least - 1, -1)]
-    while levels:
-        key = f"k{levels[0]}"
-        names = [c for c in live.columns if c.startswith("k")]
+    out = None
+    for d in range(depth, least - 1, -1):
+        key = f"k{d}"
+        names = [f"k{x}" for x in range(least, d + 1)]
         sizes = live.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("h", "nid")).alias("first")).where("n > 1")
-        sizes = scratch.save(sizes.select(key, "n", F.col("first.nid").alias("leader")), f"leaders{step}")
-        largest = sizes.agg(F.max("n")).first()[0]
-        if largest is None:
-            levels.pop(0)
-            step += 1
-            continue
-        last = len(levels) == 1
-        if last and largest <= SMALL:  # all pairs of what small nodes have left
-            two = live.select(key, F.col("nid").alias("b"), F.col("h").alias("hb"))
-            met = live.join(two, key).where("h < hb or (h = hb and nid < b)").select(F.col("nid").alias("a"), "b")
-        else:
-            met = live.join(sizes, key).where("nid != leader").select(F.col("leader").alias("a"), F.col("nid").alias("b"))
-        judged = scratch.save(_agreement(met.distinct(), nodes, trees * depth).where(F.col("est") >= CANDIDATE), f"judged{step}")
+        sizes = scratch.save(sizes.select(key, "n", F.col("first.nid").alias("leader")), f"leaders{d}")
+        met = live.join(sizes, key).where("nid != leader").select(F.col("leader").alias("a"), F.col("nid").alias("b")).distinct()
+        judged = scratch.save(_agreement(met, nodes, trees * depth).where(F.col("est") >= CANDIDATE), f"judged{d}")
         out = judged.select("a", "b") if out is None else out.unionByName(judged.select("a", "b"))
-        if last and largest <= SMALL:
-            break
-        # who surely belongs to its leader leaves this tree; at the last depth leaders, having met all, leave too
+        # who surely belongs to its leader leaves this tree; at the last depth the leader, having met all, leaves too
         sure = judged.where(F.col("est") >= SURE).select(F.col("a").alias("leader"), F.col("b").alias("nid"), F.lit(True).alias("sure"))
         led = live.join(sizes.select(key, "leader"), key, "left").join(sure, ["leader", "nid"], "left")
         stay = F.col("sure").isNull()
-        if last:
+        if d == least:
             stay &= F.col("leader").isNotNull() & (F.col("nid") != F.col("leader"))
-        live = scratch.save(led.where(stay).select("nid", "h", *names), f"live{step}")
-        if not last:
-            levels.pop(0)
-        step += 1
-    return nodes.sparkSession.createDataFrame([], "a long, b long") if out is None else out
+        live = scratch.save(led.where(stay).select("nid", "h", *names), f"live{d}")
+    key = f"k{least}"
+    sizes = live.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    return out.unionByName(compared(live, sizes, key, nodes, trees * depth))
 
 
 def verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -116,55 +164,29 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
     A component of more than BLOCK texts is cut into blocks, and every pair of blocks is one task. Shingle sets are
     made from whole texts again; a pair counts if its exact Jaccard similarity reaches the threshold."""
     counts = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    blocked = members.join(counts, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    blocked = blocked.select("nid", "root", "key", F.col("first_id").alias("doc_id"), "blocks", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"))
-    if blocked.count() <= MAX_IDS:
-        blocked = F.broadcast(blocked)
+    chosen = members.join(counts, "root").select("nid", "root", "key", F.col("first_id").alias("doc_id"), "n")
+    if chosen.count() <= MAX_IDS:
+        chosen = F.broadcast(chosen)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(F.col("text").cast("string"), "UTF-8"))).alias("key"), F.col("text").cast("string").alias("text"))
-    found = texts.join(blocked, ["doc_id", "key"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = found.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "nid", "text")
+    dealt = in_blocks(texts.join(chosen, ["doc_id", "key"]), "root", BLOCK).select("root", "i", "j", "block", "nid", "text")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "nid")
 
-    def judge(rows: list[tuple], i: int, j: int) -> Iterator[tuple]:
-        unique = {nid: (block, text) for block, nid, text in rows}
-        nids = list(unique)
-        blocks = np.array([unique[x][0] for x in nids])
-        sets = shingles([unique[x][1] for x in nids])
-        linked = similar_pairs(sets, threshold)
-        if i != j:
-            linked &= blocks[:, None] != blocks[None, :]
-        for k in np.flatnonzero(linked.any(1)):
-            yield nids[k], None, int(linked[k].sum())
-        seen = np.zeros(len(nids), bool)
-        for k in range(len(nids)):
-            front = [] if seen[k] else [k]
-            seen[k] = True
-            while front:
-                x = front.pop()
-                new = np.flatnonzero(linked[x] & ~seen)
-                seen[new] = True
-                for y in new.tolist():
-                    yield nids[x], nids[y], 0
-                    front.append(y)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flushed(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["nid", "other", "n"])
 
-        task, rows, out = None, [], []
-        for batch in batches:
-            for root, i, j, block, nid, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, i, j) != task:
-                    if rows:
-                        out += judge(rows, task[1], task[2])
-                    task, rows = (root, i, j), []
-                    if len(out) > 5000:
-                        yield flushed(out)
-                        out = []
-                rows.append((block, nid, text))
-        if rows:
-            out += judge(rows, task[1], task[2])
+        out = []
+        for (_, i, j), rows in tasks(batches, 3):
+            unique = {nid: (block, text) for block, nid, text in rows}
+            nids, blocks = list(unique), np.array([x[0] for x in unique.values()])
+            linked = similar_pairs(shingles([x[1] for x in unique.values()]), threshold)
+            if i != j:
+                linked &= blocks[:, None] != blocks[None, :]
+            out += [(nids[k], None, int(linked[k].sum())) for k in np.flatnonzero(linked.any(1))]
+            out += [(nids[x], nids[y], 0) for x, y in walk(linked)]
+            if len(out) > 5000:
+                yield flushed(out)
+                out = []
         yield flushed(out)
 
     return dealt.mapInArrow(run, "nid long, other long, n long")
