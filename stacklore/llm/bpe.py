@@ -139,14 +139,15 @@ def begins(classes: np.ndarray) -> np.ndarray:
 class Emitter:
     """Pretoken paths with the ids that they emit. At most ``paths`` are kept; further ones are compiled each time."""
 
-    def __init__(self, vocabulary: str, paths: int = 400_000) -> None:
-        self.library = Tokenizer.from_file(vocabulary)
+    def __init__(self, vocabulary: str, paths: int = 100_000) -> None:
+        self.vocabulary = vocabulary
         with open(vocabulary, encoding="utf-8") as file:
             model = json.load(file)
         if model["pre_tokenizer"].get("type") != "ByteLevel" or model.get("normalizer"):
             raise ValueError("only byte-level vocabularies without a normalizer can be compiled")
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         self.merge = self._merger(model["model"])
+        self.library = None
         self.paths, self.most = {}, paths
         self.counts: dict[str, int] = {}
 
@@ -164,6 +165,7 @@ class Emitter:
 
     def ids(self, pretoken: str) -> list[int]:
         if self.merge is None:
+            self.library = self.library or Tokenizer.from_file(self.vocabulary)
             return self.library.encode(pretoken, add_special_tokens=False).ids
         return self.merge(pretoken.encode("utf-8", "replace"))
 

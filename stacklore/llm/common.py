@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,7 +67,7 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     return big.withColumn("__salt", spread).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one slice holds at most ``most`` bytes of the column ``text`` (or one row)."""
     for batch in batches:
         sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(text)).to_pylist()]
@@ -77,6 +79,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 8 << 20) ->
             total += n
         if begin < len(sizes):
             yield batch.slice(begin)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task; workers live on and serve later stages."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:
