@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, rare ones first, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -75,9 +75,8 @@ class Items:
         return seed[found], at[found]
 
     def choose(self, counts: dict[int, int], rows: int) -> None:
-        """Keeps the rare seeds: those in at most RARE_ROWS rows, or RARE_SHARE of all, or TIMES as many rows as the lower
-        quartile of the item's seeds. So an item of which there are many copies keeps the seeds that edited copies
-        share with exact ones, and each item keeps a quarter of its seeds at least."""
+        """Tells the rare seeds: those in at most RARE_ROWS rows, or RARE_SHARE of all, or TIMES as many rows as the lower
+        quartile of the item's seeds. What they propose is aligned at once. Other seeds propose too, see ``align``."""
         df = np.array([counts.get(i, 0) for i in range(len(self.seeds))])[np.searchsorted(self.seeds, self.flat)]
         order = np.lexsort((df, self.owner))
         first, size = np.unique(self.owner[order], return_index=True, return_counts=True)[1:]
@@ -86,34 +85,56 @@ class Items:
         self.rare = df <= np.maximum(max(RARE_SHARE * rows, RARE_ROWS), TIMES * quartile[self.owner])
 
     def align(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item, share, first word, word after the last) of each item's best alignment that reaches its share."""
+        """(item, share, first word, word after the last) of each item's best alignment that reaches its share.
+
+        Every seed proposes. Where no rare one does, the item's words in the passage are counted before it is aligned: a
+        share needs as many matches, so that this loses nothing."""
         seed, at = self.hits(words)
         best: dict[int, tuple[int, float, int, int]] = {}
         if not len(seed):
             return []
         lo, hi = np.searchsorted(self.flat, self.seeds[seed]), np.searchsorted(self.flat, self.seeds[seed], "right")
-        starts: dict[int, list[int]] = {}
+        present = np.zeros(len(self.vocabulary) + 1, bool)  # the last one is for unknown words, -1
+        present[words] = True
+        possible: dict[int, bool] = {}
+        starts: dict[int, dict[int, bool]] = {}
         for a, b, place in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True):
             for k in range(a, b):
-                if self.rare[k]:
-                    starts.setdefault(int(self.owner[k]), []).append(place - int(self.place[k]))
+                owner, rare = int(self.owner[k]), bool(self.rare[k])
+                if owner not in possible:
+                    possible[owner] = self.enough(owner, present)
+                if possible[owner]:
+                    found, s = starts.setdefault(owner, {}), place - int(self.place[k])
+                    found[s] = found.get(s, False) or rare
         for owner, found in starts.items():
             m = len(self.words[owner])
-            need = SHARE if m >= MIN_WORDS else 1.0
-            merged: list[list[int]] = []
-            for s in sorted(set(found)):
+            need = self.need(owner)
+            merged: list[list] = []
+            for s in sorted(found):
                 if merged and s - m // 2 <= merged[-1][1]:
-                    merged[-1][1] = s + m + m // 2
+                    merged[-1][1:] = s + m + m // 2, merged[-1][2] or found[s]
                 else:
-                    merged.append([s - m // 2, s + m + m // 2])
-            for a, b in merged:
+                    merged.append([s - m // 2, s + m + m // 2, found[s]])
+            for a, b, rare in merged:
                 a = max(0, a)
+                if not rare:
+                    inside = np.zeros_like(present)
+                    inside[words[a:b]] = True
+                    if not self.enough(owner, inside):
+                        continue
                 score, first, last = smith_waterman(self.words[owner], words[a:b])
                 share = score / (MATCH * m)
                 if share >= need and share > best.get(owner, (0, 0.0))[1]:
                     best[owner] = (self.ids[owner], share, a + first, a + last)
         return sorted(best.values())
 
+    def need(self, owner: int) -> float:
+        return SHARE if len(self.words[owner]) >= MIN_WORDS else 1.0
+
+    def enough(self, owner: int, present: np.ndarray) -> bool:
+        """Whether so many of the item's words are present that its share could be reached."""
+        return np.count_nonzero(present[self.words[owner]]) >= self.need(owner) * len(self.words[owner])
+
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment: score, and where it begins and ends in the passage. Row by row; gaps along a row are a

@@ -173,3 +173,14 @@ def test_common_passages_keep_seeds():
     assert items.rare.all()
     items.choose({i: 10**3 if i < 8 else 10**6 for i in range(100)}, 10)
     assert 8 <= items.rare.sum() < len(items.rare)
+
+
+def test_an_edited_copy_in_a_third_of_the_rows_is_found(spark):
+    rng = random.Random(5)
+    item = [f"w{i}" for i in range(28)]
+    version = [*item[:9], "x", *item[10:20], "y", *item[21:]]  # eight of 25 seeds are gone
+    plain = lambda: [f"p{rng.randrange(10**6)}" for _ in range(20)]
+    rows = [(i, " ".join([*plain(), *(version if i % 3 == 0 else item[:4] if i % 3 == 1 else []), *plain()])) for i in range(1200)]
+    docs = spark.createDataFrame([(-1, " ".join(item)), *rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in contaminated(docs, bench).collect()) == [-1, *range(0, 1200, 3)]
