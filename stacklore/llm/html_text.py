@@ -19,6 +19,8 @@ from .html_pages import labelled_pages
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("title script style noscript template iframe object svg math canvas audio video textarea select".split())
+#: Those of RAW whose content isn't markup at all; a script without an end goes on to the end of the page.
+PLAIN = frozenset("title script style noscript iframe textarea".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td "
@@ -51,26 +53,30 @@ def features(tag: str, name: str) -> set[str]:
     return found
 
 
+@lru_cache
+def _end(name: str) -> re.Pattern:
+    """The end tag of a RAW element; where the content is markup, comments and scripts are stepped over."""
+    over = "" if name in PLAIN else r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|"
+    return re.compile(rf"{over}(?P<end></{name}(?=[\s/>]|\Z)[^>]*>?)", re.S | re.I)
+
+
 def tokens(page: str, weights: dict[str, float] | None):
     """(kind, text, weight, marks): kind 't' tag inside the flow, 'b' block edge, 'w' text. weight sums the weights of
     all open elements; marks is the set of their features if ``weights`` is None. One pass, with the work of an end tag
     bounded by the elements it closes."""
     stack: list[tuple[str, float, frozenset]] = [("", 0.0, frozenset())]
     opened: Counter = Counter()
-    skip = None
-    for m in TOKEN.finditer(page):
-        token = m[0]
+    at = 0
+    unclosed: set[str] = set()
+    while at < len(page):
+        token = TOKEN.match(page, at)[0]
+        at += len(token)
         if token[0] != "<" or token == "<":
-            if skip is None:
-                yield "w", token, stack[-1][1], stack[-1][2]
+            yield "w", token, stack[-1][1], stack[-1][2]
             continue
         if token[1] in "!?":
             continue
         name = NAME.match(token)[1].lower()
-        if skip is not None:
-            if token[1] == "/" and name == skip:
-                skip = None
-            continue
         if token[1] == "/":
             if opened[name]:
                 while True:
@@ -81,8 +87,14 @@ def tokens(page: str, weights: dict[str, float] | None):
             yield "b" if name in BLOCKS else "t", name, stack[-1][1], stack[-1][2]
             continue
         if name in RAW:
-            if not token.endswith("/>"):
-                skip = name
+            if not token.endswith("/>") and name not in unclosed:
+                end = next((m for m in _end(name).finditer(page, at) if m["end"]), None)
+                if end:
+                    at = end.end()
+                elif name == "script":
+                    return
+                else:
+                    unclosed.add(name)
             continue
         if name in ENDS_P and stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "dt", "dd", "td", "th", "tr", "option"):
             opened[stack.pop()[0]] -= 1

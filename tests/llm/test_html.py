@@ -42,3 +42,14 @@ def test_tables(spark, smallest):
     odd = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     assert [r["text"] for r in html_text.extract_text(odd).collect()] == ["", "", ""]
     assert html_text.extract_text(pages.where("false")).count() == 0
+
+
+def test_raw_elements_end_at_their_end_tag():
+    w = html_text.learned()
+    codes = ["for(var i=0;i<n;i++){f(i)}", "if(a<b && c>d) x = '<p>no</p>';", "/* it's */ y = i<n"]
+    for box in [f"<script>{code}</SCRIPT >" for code in codes] + ["<style>a<b{}</style>", "<textarea>a <b c</textarea>", "<svg><!-- </svg> --><script>i<n</script></svg>"]:
+        assert html_text.main_text(f"<html><body>{box}<article><p>{TEXT}</p>{box}<p>{TEXT}</p></article></body></html>", w) == f"{TEXT}\n\n{TEXT}"
+    for name in ("title", "iframe", "noscript", "select"):
+        assert TEXT in html_text.main_text(f"<html><body><{name}><article><p>{TEXT}</p></article></body></html>", w)
+    assert html_text.main_text(f"<p>{TEXT}</p><script>never ends <p>{TEXT}</p>", w) == TEXT
+    assert html_text.main_text("<select>" * 20_000 + f"<p>{TEXT}</p>", w) == TEXT
