@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, read_table, text_or_empty
+from .common import MAX_BROADCAST_ROWS, Scratch, keyed_join, let, read_table, text_or_empty
 
 OPEN, CLOSE, PLAIN = "﷐", "﷑", "﷒"
 # The shapes. Possessive loops and the look behind change no match; they keep matching linear.
@@ -21,11 +21,11 @@ SHAPES = {
 }
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{10}", "phone": r"\+[0-9]"}
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Code points either side of an entity whose words may give it away; distinct texts that have to show both.
-REACH, SUPPORT = 160, 3
+#: Distinct texts that have to show an entity and a term.
+SUPPORT = 3
 #: Share of an entity's information which a term may give: over the first it is generalised, over the second removed.
 GENERALISE, REMOVE = 0.8, 0.95
-TERM = r"[\p{L}][\p{L}\p{M}\p{N}_'-]{3,}+"
+TERM = r"[\p{L}][\p{L}\p{M}\p{N}_'-]*+"
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -86,58 +86,68 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """doc_id, key, copy, entity, term, start, end: the words within REACH code points of each entity. A word that the
-    reach cuts doesn't count, nor does a word of another entity."""
-    one = found.where(F.size("base") > 0).select("doc_id", "key", "copy", "text", "base", F.explode("base").alias("s"))
-    left = F.greatest(F.col("s.start") - REACH, F.lit(0))
-    for_side = lambda a, b: F.struct(a.alias("at"), F.substring("text", a + 1, b - a).alias("t"))
-    right = F.least(F.col("s.end") + REACH, F.length("text"))
-    sides = one.select("doc_id", "key", "copy", "base", F.concat_ws(":", F.col("s.kind"), F.lower("s.value")).alias("entity"), F.length("text").alias("n"), F.inline(F.array(for_side(left, F.col("s.start")), for_side(F.col("s.end"), right))))
-    words = sides.select("*", F.inline(_matches(F.translate("t", OPEN + CLOSE, PLAIN * 2), TERM, 4, lambda x: F.lit(True))))
-    start, end = F.col("start") + F.col("at"), F.col("end") + F.col("at")
-    whole = ((F.col("start") > 0) | (F.col("at") == 0) | (F.col("at") > 0) & F.exists("base", lambda s: s["end"] == F.col("at"))) & ((F.col("end") < F.length("t")) | (end == F.col("n")) | F.exists("base", lambda s: s["start"] == end))
-    apart = ~F.exists("base", lambda s: (s["start"] < end) & (s["end"] > start))
-    return words.where(whole & apart).select("doc_id", "key", "copy", "entity", F.lower("value").alias("term"), start.cast("int").alias("start"), end.cast("int").alias("end"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, share: pairs whose pointwise mutual information is at least GENERALISE of what naming the entity
-    itself would tell, counted over all rows, where SUPPORT distinct texts show the pair.
-
-    Counts are grouped after a map-side sum; a term's rows are the texts that hold it, counted once each."""
-    pairs = near.select("entity", "term", "copy", "key").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("key").alias("texts")).where(F.col("texts") >= SUPPORT)
-    entities = near.select("entity", "copy").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = both.select("term").distinct()
-    words = F.array_distinct(F.split(F.lower(F.translate("text", OPEN + CLOSE, PLAIN * 2)), r"[^\p{L}\p{M}\p{N}_'-]+"))
-    in_texts = docs.select(F.explode(F.filter(words, lambda x: F.length(x) >= 4)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.count()
-    found = both.join(entities, "entity").join(in_texts.join(terms, "term", "left_semi"), "term")
+def masked(text: Column, base: Column) -> Column:
+    """The text with its entities and stray marks blanked, at the same length."""
+
+    def more(state: Column, s: Column) -> Column:
+        before = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        blank = F.repeat(F.lit(PLAIN), s["end"] - F.greatest(state["at"], s["start"]))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], before, blank).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    blanked = F.aggregate(base, begin, more, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.translate(F.when(F.size(base) > 0, blanked).otherwise(text), OPEN + CLOSE, PLAIN * 2)
+
+
+def terms_of(words: Column) -> Column:
+    """The distinct terms of a masked text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(words, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def disclosing(kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """term, share: terms whose pointwise mutual information with an entity is at least GENERALISE of what naming the
+    entity itself would tell, counted over all rows and whole texts, where SUPPORT distinct texts show the pair. share
+    is the largest over the entities.
+
+    A text's entities and terms are distinct and equal texts are one row with a weight, so all counts are sums that are
+    taken map-side before they are shuffled. Entities in fewer than SUPPORT texts have no such pair and go first."""
+    n = kept.count()
+    entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    held = kept.where(F.size("base") > 0).groupBy("key", "words", entities.alias("entities")).agg(F.count("*").alias("copies"))
+    texts = scratch.save(held.select("key", "copies", "entities", terms_of(F.col("words")).alias("terms")), "texts")
+    each = texts.select(F.explode("entities").alias("entity"), "key", "copies", "terms")
+    known = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
+    known = scratch.save(known.where((F.col("texts") >= SUPPORT) & (F.col("n_entity") < n)).drop("texts"), "entities")
+    pairs = keyed_join(each, known, ["entity"]).select("entity", "n_entity", "copies", F.explode("terms").alias("term"))
+    both = pairs.groupBy("entity", "n_entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    in_texts = kept.select(F.explode(terms_of(F.col("words"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     rows = F.lit(float(n))
-    share = F.log(F.least(rows * F.col("n_both") / F.col("n_entity") / F.greatest("n_term", "n_both"), rows / F.col("n_entity"))) / F.log(rows / F.col("n_entity"))
-    return found.where(F.col("n_entity") < n).withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    share = F.log(F.least(rows * F.col("n_both") / F.col("n_entity") / F.col("n_term"), rows / F.col("n_entity"))) / F.log(rows / F.col("n_entity"))
+    found = both.join(in_texts, "term").withColumn("share", share).where(F.col("share") >= GENERALISE)
+    return found.groupBy("term").agg(F.max("share").alias("share"))
 
 
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans for each row: base holds the base spans, spans these and the terms that give them away.
 
-    A term is marked where it stands near the entity that it discloses. Null text counts as empty; repeated rows and
-    null ids each keep their own row; an empty table gives none; other columns are not read. An entity or term in a
-    third of all rows is summed map-side before it is shuffled, and its rows are joined by a join that Spark splits."""
+    A term that gives an entity away is marked at each of its places in all texts, those without the entity too. Null
+    text counts as empty; repeated rows and null ids each keep their own row; an empty table gives none; other columns
+    are not read. An entity or term in a third of all rows is summed map-side before it is shuffled; rows are joined
+    with terms by broadcast, or salted if the terms are many."""
     scratch = Scratch(docs.sparkSession)
     text = docs.select("doc_id", text_or_empty().alias("text"))
     found = text.withColumn("base", base_spans(F.col("text")))
     key, copy = F.xxhash64("text"), F.expr("uuid()")
-    kept = scratch.save(found.select("doc_id", copy.alias("copy"), key.alias("key"), "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
-    near = scratch.save(contexts(kept), "contexts")
-    telling = scratch.save(disclosing(text, near), "terms")
-    hits = near.join(telling, ["entity", "term"]).select("copy", F.struct("start", F.lit(4).alias("kind"), "end", F.when(F.col("share") >= REMOVE, "").otherwise(F.lit("[term]")).alias("value")).alias("s"))
-    more = hits.groupBy("copy").agg(F.array_distinct(F.sort_array(F.collect_set("s"))).alias("terms"))
-    # removed and generalised for one place by two entities: removal wins, as it sorts first
-    once = F.filter("terms", lambda s, i: (i == 0) | (F.get("terms", i - 1)["start"] != s["start"]))
-    joined = kept.drop("text", "key").join(more, "copy", "left")
-    return joined.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce(once, F.array().cast(SPAN)))).alias("spans"))
+    kept = scratch.save(found.select("doc_id", copy.alias("copy"), key.alias("key"), "base", masked(F.col("text"), F.col("base")).alias("words")), "base")
+    telling = scratch.save(disclosing(kept, scratch), "terms")
+    told = keyed_join(kept.select("copy", F.explode(terms_of(F.col("words"))).alias("term")), telling, ["term"])
+    removed = F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term")))
+    more = scratch.save(told.groupBy("copy").agg(F.collect_set("term").alias("terms"), removed.alias("removed")), "told")
+    joined = kept.join(F.broadcast(more) if more.count() <= MAX_BROADCAST_ROWS else more, "copy", "left")
+    places = _matches(F.col("words"), TERM, 4, lambda x: F.array_contains("terms", F.lower(x)))
+    general = F.transform(places, lambda s: s.withField("value", F.when(F.array_contains("removed", F.lower(s["value"])), "").otherwise(F.lit("[term]"))))
+    terms = F.when(F.col("terms").isNotNull(), general).otherwise(F.array().cast(SPAN))
+    return joined.select("doc_id", "base", F.sort_array(F.concat("base", terms)).alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

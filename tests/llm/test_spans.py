@@ -53,6 +53,15 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(not found[i][1] for i in range(4, 64))
 
 
+def test_terms_count_and_go_in_whole_texts(spark):
+    filler = "common matters about number and so on " * 20
+    texts = [f"mail me@x.org {filler}{i} met Obscurius, or Qx; Obscurius again" for i in range(4)] + ["Obscurius here, without the mail", "and Qx alone"] + [f"{filler}{i} met or again here without the mail" for i in range(59)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4] for r in private_data.private_spans(docs).collect()}
+    assert all(got[i] == ["Obscurius", "Qx", "Obscurius"] for i in range(4))
+    assert got[4] == ["Obscurius"] and got[5] == ["Qx"] and not any(got[i] for i in range(6, len(texts)) if "Obscurius" not in texts[i])
+
+
 def test_personal_on_tables(spark, documents, awkward, empty):
     for docs in (documents, awkward):
         got = private_data.private_spans(docs).select("doc_id", private_data.shown(F.col("base")).alias("s")).collect()
