@@ -24,13 +24,17 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 
 #: A candidate of the token-efficiency test is an unbroken run of this many characters from this alphabet.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Left alone: whole digests of known lengths, universally unique ids, dates and numbers, and words joined by marks.
+#: Left alone: whole digests of known lengths, universally unique ids, dates and numbers.
 KNOWN = re.compile(
     r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
     r"|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
-    r"|[0-9+/_=-]+"
-    r"|[+/_=-]*[A-Za-z]+[0-9]{0,4}(?:[+/_=-]+(?:[A-Za-z]*[0-9]{0,4}))*)"
+    r"|[0-9+/_=-]+)"
 )
+#: Words joined by marks: short ones say nothing, so those of LONG_WORD characters have to reach the length of a candidate.
+WORDS = re.compile(r"[+/_=-]*[A-Za-z]+[0-9]{0,4}(?:[+/_=-]+(?:[A-Za-z]*[0-9]{0,4}))*")
+LENGTH, LONG_WORD = 20, 8
+#: What a run is joined of: identifiers, names or secrets, and the marks between them.
+PART = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 MAX_CHARS_PER_TOKEN = 2.0
 
 
@@ -42,11 +46,41 @@ def _encoding(vocabulary: str) -> tiktoken.Encoding:
 
 
 def random_like(value: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> bool:
-    """Whether the vocabulary needs a token for every ``most`` characters or fewer. Digests, identifiers and strings of
-    one kind of character only are no secrets."""
-    if KNOWN.fullmatch(value) or not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+    """Whether the vocabulary needs a token for every ``most`` characters or fewer. Digests, identifiers and strings
+    without letters are no secrets; of words joined by marks the long ones decide."""
+    if KNOWN.fullmatch(value) or not re.search("[A-Za-z]", value):
         return False
-    return len(value) <= most * len(_encoding(vocabulary).encode_ordinary(value))
+    parts = [x for x in PART.findall(value) if len(x) >= LONG_WORD] if WORDS.fullmatch(value) else [value]
+    n = sum(map(len, parts))
+    return n >= LENGTH and n <= most * sum(len(_encoding(vocabulary).encode_ordinary(x)) for x in parts)
+
+
+def random_parts(run: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """The run if it is random, else its random stretches of parts: all maximal stretches by tokens over what the ratio
+    asks for (Ruzzo and Tompa), so that a name or path joined to a secret doesn't hide it."""
+    if KNOWN.fullmatch(run):
+        return []
+    if random_like(run, vocabulary, most):
+        return [(0, len(run))]
+    held: list[tuple[float, float, int, int]] = []  # total before, total after, begin, end
+    found, total = [], 0.0
+    for m in PART.finditer(run):
+        score = -float(len(run)) if KNOWN.fullmatch(m[0]) and not m[0].isdigit() else most * len(_encoding(vocabulary).encode_ordinary(m[0])) - len(m[0])
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        left, right, begin, end = before, total, m.start(), m.end()
+        while True:
+            j = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] < left), None)
+            if j is None or held[j][1] >= right:
+                held.append((left, right, begin, end))
+                break
+            left, begin = held[j][0], held[j][2]
+            del held[j:]
+    for _, _, a, b in held:
+        if b - a >= LENGTH and random_like(run[a:b], vocabulary, most):
+            found.append((a, b))
+    return found
 
 
 def find_secrets(text: str, vocabulary: str) -> list[tuple[int, int, int]]:
@@ -55,7 +89,7 @@ def find_secrets(text: str, vocabulary: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    spans += [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if random_like(m[0], vocabulary)]
+    spans += [(m.start() + a, 3, m.start() + b) for m in CANDIDATE.finditer(text) for a, b in random_parts(m[0], vocabulary)]
     return sorted(spans)
 
 

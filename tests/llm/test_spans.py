@@ -102,3 +102,16 @@ def test_secrets_on_tables(spark, documents, awkward, empty):
         assert not [r for r in clean.collect() if base_secrets(r["text"] or "")]
     assert secrets.secret_scan(empty, TIK).count() == 0
     assert secrets.redacted("abcdef", [(1, 0, 3), (2, 2, 4)], "*") == "a*ef"
+
+
+def test_names_do_not_hide_a_secret():
+    rng = random.Random(8)
+    digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in (20, 32, 40):
+        for name in ("", "connection=", "database_connection_string=", "/srv/application/settings/", "deployment_credentials_"):
+            for alphabet in (digits + letters, letters):
+                values = [noise(rng, [*alphabet], n) for _ in range(60)]
+                missed = [x for x in values if not any(k == 3 and b == len(name) + n for _, k, b in secrets.find_secrets(name + x, TIK))]
+                assert len(missed) <= 1
+    plain = ["request_identifier=550e8400-e29b-41d4-a716-446655440000", "report-of-2024-01-01/2024-12-31", "path/to/some_module_name/file_name_2024", "a_b_c_d_e_f_g_h_i_j_k_l_m", "Geschwindigkeitsbegrenzungen"]
+    assert not [x for x in plain if any(k == 3 for _, k, _ in secrets.find_secrets(x, TIK))]
