@@ -30,8 +30,9 @@ KNOWN = re.compile(
     r"|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
     r"|[0-9+/_=-]+)"
 )
-#: Words joined by marks: short ones say nothing, so those of LONG_WORD characters have to reach the length of a candidate.
-WORDS = re.compile(r"[+/_=-]*[A-Za-z]+[0-9]{0,4}(?:[+/_=-]+(?:[A-Za-z]*[0-9]{0,4}))*")
+#: A run of words joined by MARKS: short ones say nothing, so those of LONG_WORD characters have to reach the length of a
+#: candidate. Each part is judged by itself, so that the work is linear in the run.
+MARKS, WORD = re.compile(r"[+/_=-]+"), re.compile(r"[A-Za-z]*[0-9]{0,4}")
 LENGTH, LONG_WORD = 20, 8
 #: What a run is joined of: identifiers, names or secrets, and the marks between them.
 PART = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")
@@ -45,42 +46,59 @@ def _encoding(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def of_words(value: str) -> bool:
+    """Whether a run is words, with at most a short number each, joined by marks."""
+    parts = [x for x in MARKS.split(value) if x]
+    return bool(parts) and parts[0][0].isalpha() and all(map(WORD.fullmatch, parts))
+
+
 def random_like(value: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> bool:
     """Whether the vocabulary needs a token for every ``most`` characters or fewer. Digests, identifiers and strings
     without letters are no secrets; of words joined by marks the long ones decide."""
     if KNOWN.fullmatch(value) or not re.search("[A-Za-z]", value):
         return False
-    parts = [x for x in PART.findall(value) if len(x) >= LONG_WORD] if WORDS.fullmatch(value) else [value]
+    parts = [x for x in PART.findall(value) if len(x) >= LONG_WORD] if of_words(value) else [value]
     n = sum(map(len, parts))
     return n >= LENGTH and n <= most * sum(len(_encoding(vocabulary).encode_ordinary(x)) for x in parts)
 
 
-def random_parts(run: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
-    """The run if it is random, else its random stretches of parts: all maximal stretches by tokens over what the ratio
-    asks for (Ruzzo and Tompa), so that a name or path joined to a secret doesn't hide it."""
-    if KNOWN.fullmatch(run):
-        return []
-    if random_like(run, vocabulary, most):
-        return [(0, len(run))]
-    held: list[tuple[float, float, int, int]] = []  # total before, total after, begin, end
-    found, total = [], 0.0
-    for m in PART.finditer(run):
-        score = -float(len(run)) if KNOWN.fullmatch(m[0]) and not m[0].isdigit() else most * len(_encoding(vocabulary).encode_ordinary(m[0])) - len(m[0])
+def stretches(scored: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """All maximal scoring stretches of (score, begin, end), in order, each as its begin and end. Linear: a held stretch
+    remembers the nearest one before it that starts lower, and what lies between can't be its partner."""
+    held: list[tuple[float, float, int, int, int]] = []  # total before, total after, begin, end, nearest lower one
+    total = 0.0
+    for score, begin, end in scored:
         before, total = total, total + score
         if score <= 0:
             continue
-        left, right, begin, end = before, total, m.start(), m.end()
+        left = before
         while True:
-            j = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] < left), None)
-            if j is None or held[j][1] >= right:
-                held.append((left, right, begin, end))
+            j = len(held) - 1
+            while j >= 0 and held[j][0] >= left:
+                j = held[j][4]
+            if j < 0 or held[j][1] >= total:
+                held.append((left, total, begin, end, j))
                 break
             left, begin = held[j][0], held[j][2]
             del held[j:]
-    for _, _, a, b in held:
-        if b - a >= LENGTH and random_like(run[a:b], vocabulary, most):
-            found.append((a, b))
-    return found
+    return [(a, b) for _, _, a, b, _ in held]
+
+
+def random_parts(run: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """The run if it is random, else its random stretches of parts: all maximal stretches by tokens over what the ratio
+    asks for, so that a name or path joined to a secret doesn't hide it."""
+    if KNOWN.fullmatch(run):
+        return []
+    if random_like(run, vocabulary, most):
+        return [(0, len(run))]
+
+    def score(part: str) -> float:
+        if KNOWN.fullmatch(part) and not part.isdigit():
+            return -float(len(run))
+        return most * len(_encoding(vocabulary).encode_ordinary(part)) - len(part)
+
+    found = stretches([(score(m[0]), m.start(), m.end()) for m in PART.finditer(run)])
+    return [(a, b) for a, b in found if b - a >= LENGTH and random_like(run[a:b], vocabulary, most)]
 
 
 def find_secrets(text: str, vocabulary: str) -> list[tuple[int, int, int]]:

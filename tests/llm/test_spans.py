@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -115,3 +116,33 @@ def test_names_do_not_hide_a_secret():
                 assert len(missed) <= 1
     plain = ["request_identifier=550e8400-e29b-41d4-a716-446655440000", "report-of-2024-01-01/2024-12-31", "path/to/some_module_name/file_name_2024", "a_b_c_d_e_f_g_h_i_j_k_l_m", "Geschwindigkeitsbegrenzungen"]
     assert not [x for x in plain if any(k == 3 for _, k, _ in secrets.find_secrets(x, TIK))]
+
+
+def plain_stretches(scored: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """The best stretch, the shortest of equal ones, then what is left and right of it."""
+    sums = [(sum(s for s, _, _ in scored[i : j + 1]), i - j, -i, j) for i in range(len(scored)) for j in range(i, len(scored))]
+    best = max(sums, default=(0,))
+    if best[0] <= 0:
+        return []
+    i, j = -best[2], best[3]
+    return [*plain_stretches(scored[:i]), (scored[i][1], scored[j][2]), *plain_stretches(scored[j + 1 :])]
+
+
+def test_stretches_equal_their_definition():
+    rng = random.Random(12)
+    for _ in range(400):
+        scored = [(rng.choice([-7.3, -3.1, -1.7, -0.9, 0.8, 1.9, 2.6, 5.2]) + rng.random() / 100, 2 * i, 2 * i + 1) for i in range(rng.randint(0, 14))]
+        assert secrets.stretches(scored) == plain_stretches(scored)
+
+
+@pytest.mark.parametrize("mark", "+/_=-")
+def test_long_runs_of_a_mark_take_no_time(mark):
+    begin = time.perf_counter()
+    for text in (f"abc1{mark * 10_000}12345", mark * 10_000, f"a1{mark}" * 5000, f"name1{mark * 40}name2{mark * 40}x!", f"aB3{mark}internationalization{mark}" * 2000):
+        secrets.find_secrets(text, TIK)
+    assert time.perf_counter() - begin < 5
+
+
+def test_letters_only_and_short_numbers_at_the_end_are_found():
+    for value in ("xKvQmZpLrTbWnYcJqHdFgSa", "xKvQmZpLrTbWnYcJqHdF1234"):
+        assert secrets.find_secrets(f"see {value} there", TIK) == [(4, 3, 4 + len(value))]
