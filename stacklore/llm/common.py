@@ -57,10 +57,11 @@ def let(value, body: Callable):
     return F.transform(F.array(value), body)[0]
 
 
-def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Joins a lookup table with one row per key. It is broadcast only when counted to be small; else both
-    sides are salted, so that a key with a third of all rows is spread over SALTS tasks."""
-    if small.count() <= MAX_BROADCAST_ROWS:
+def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """Joins a lookup table with one row per key, or few. It is broadcast only when counted to be small (``rows``, if the
+    caller has counted it); else both sides are salted, so that a key with a third of all rows is spread over SALTS
+    tasks."""
+    if (small.count() if rows is None else rows) <= MAX_BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = F.pmod(F.xxhash64(*big.columns[:3]), F.lit(SALTS)).cast("int")

@@ -1,10 +1,16 @@
 """Quality rules with robust multivariate outliers: minimum-covariance-determinant estimates per language and source.
 
 DataFrame operations only. All sums are of fixed-point integers, so estimates don't depend on how rows are dealt out.
+
+Estimates are made for every language and source, every language, and all rows, from the same passes. Each has several
+starts: medians and quartiles, and small subsets chosen by hash. Concentration steps take the mean and covariance of
+exactly the h nearest rows, which never raises the determinant; after FIRST_STEPS the start of the least determinant
+goes on. A small group is then drawn to its language, and that to all rows, by one rule for all sizes.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,15 +19,32 @@ from pyspark.sql import functions as F
 from .common import Scratch, keyed_join, read_table, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
-#: Fixed-point units of a feature; smallest standard deviation that a feature is taken to have.
+#: Fixed-point units of a feature; standard deviations that are added to the covariances, as clean texts can agree in a
+#: feature altogether.
 UNIT = 1024
 FLOORS = (0.30, 0.06, 0.04, 0.12, 0.12)
 P = len(FLOORS)
-#: Share of a group's rows in the subset; concentration steps; rows that a group of its own needs.
-SUBSET, STEPS, MIN_ROWS = 0.5, 4, 50
-#: Chi-square of P degrees: median; 0.975 quantile for reweighting. Rejection is far beyond the tail of clean text.
-CHI_MEDIAN, CHI_REWEIGHT, CUTOFF = 4.351, 12.833, 70.0
-BINS_PER_OCTAVE = 8
+#: Starts by subsets of P + 1 rows beside the one by medians; steps of all starts, and of the one that goes on.
+SUBSETS, FIRST_STEPS, STEPS = 5, 2, 2
+#: Rows by whose weight an estimate is drawn to the next larger group's.
+DRAWN = 50
+#: Chi-square of P degrees: median, 0.975 quantile for reweighting, share of the covariance that rows inside it show.
+CHI_MEDIAN, CHI_REWEIGHT, INSIDE = 4.351, 12.833, 0.9474
+#: Share of clean rows that may be rejected, were they normal.
+TAIL = 1e-9
+BINS_PER_OCTAVE, SLICES = 64, 4096
+
+
+def chi_tail(x: float) -> float:
+    """Share of a chi-square distribution of P = 5 degrees beyond x."""
+    return math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+
+
+def chi_quantile(tail: float) -> float:
+    low, high = 0.0, 1e3
+    for _ in range(100):
+        low, high = ((low + high) / 2, high) if chi_tail((low + high) / 2) > tail else (low, (low + high) / 2)
+    return high
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -65,89 +88,158 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f"x{i}": F.round(x * UNIT).cast("long") for i, x in enumerate(made)})
 
 
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+SUMS = [*(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+XS = [f"x{i}" for i in range(P)]
+
+
 def with_groups(rows: DataFrame) -> DataFrame:
-    """Adds g: language and source where they have MIN_ROWS rows, else the rest of the language, else the rest of all."""
+    """Adds g0, g1, g2: names of all rows, of the language, and of the language and source."""
     null = F.lit("\x02")
-    rows = rows.withColumns({"__lang": F.coalesce("lang", null), "__source": F.coalesce("source", null)})
-    counts = rows.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
-    rest = F.sum(F.when(F.col("n") < MIN_ROWS, F.col("n")).otherwise(0)).over(Window.partitionBy("__lang"))
-    own = F.concat_ws("\x01", "__lang", "__source")
-    named = counts.withColumn("rest", rest).select("__lang", "__source", F.when(F.col("n") >= MIN_ROWS, own).when(F.col("rest") >= MIN_ROWS, F.col("__lang")).otherwise("").alias("g"))
-    return keyed_join(rows, named, ["__lang", "__source"]).drop("__lang", "__source")
+    lang, source = F.coalesce("lang", null), F.coalesce("source", null)
+    return rows.withColumns({"g0": F.lit(""), "g1": F.concat(F.lit("1\x01"), lang), "g2": F.concat_ws("\x01", F.lit("2"), lang, source)})
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Per group: medians and interquartile scales from exact counts, as a diagonal first estimate."""
-    step = UNIT // 64
-    long = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") / step) for i in range(P)])).alias("i", "b")).groupBy("g", "i", "b").count()
-    w = Window.partitionBy("g", "i")
-    share = F.sum("count").over(w.orderBy("b")) / F.sum("count").over(w)
-    at = lambda q: (F.min(F.when(F.col("share") >= q, F.col("b"))) * step + step / 2) / UNIT
-    one = long.withColumn("share", share).groupBy("g", "i").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"))
-    return one.groupBy("g").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"m{i}") for i in range(P)],
-        *[F.max(F.when(F.col("i") == i, F.greatest("s", F.lit(FLOORS[i])))).alias(f"l{i}{i}") for i in range(P)],
-    ).withColumns({f"l{i}{j}": F.lit(0.0) for i in range(P) for j in range(i)}).withColumn("scale", F.lit(1.0))
+def from_sums(sums: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, means m, the lower Cholesky factor l of the covariance with FLOORS added, log of its determinant."""
+    out = sums.withColumn("n", F.col("n").cast("double")).withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / UNIT for i in range(P)})
+    cov = lambda i, j: F.col(f"q{i}{j}") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")
+    return factored(out.withColumns({f"c{i}{j}": cov(i, j) for i, j in PAIRS}), *keys, "n")
 
 
-def with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance to the row's group, by forward substitution."""
-    rows = keyed_join(rows, estimates, ["g"])
-    for i in range(P):
-        rest = F.col(f"x{i}") / UNIT - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    d2 = reduce(Column.__add__, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)]) / F.col("scale")
-    drop = [*(f"y{i}" for i in range(P)), *(c for c in estimates.columns if c != "g")]
-    return rows.withColumn("d2", d2).drop(*drop)
-
-
-def _concentrate(rows: DataFrame, estimates: DataFrame, last: bool) -> DataFrame:
-    """One step: new estimates from the rows nearest to the old ones. Rows meet in counted bins of distance, so a group
-    of any size comes down to a few hundred sums before it is shuffled."""
-    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    bins = F.floor(F.log2(F.col("d2") + 2.0**-10) * BINS_PER_OCTAVE).alias("b")
-    near = with_distance(rows, estimates).groupBy("g", bins).agg(
-        F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in pairs]
-    )
-    w = Window.partitionBy("g")
-    near = near.withColumns({"below": F.sum("n").over(w.orderBy("b")) - F.col("n"), "all": F.sum("n").over(w)})
-    top = F.pow(F.lit(2.0), (F.col("b") + 1) / BINS_PER_OCTAVE)
-    if last:  # reweighting: the median distance sets the scale, then all rows inside the 0.975 ellipse count
-        middle = F.min(F.when(F.col("below") + F.col("n") >= F.col("all") * 0.5, top)).over(w)
-        near = near.withColumn("middle", middle).where(F.col("b") <= F.greatest(F.floor(F.log2(F.col("middle") * CHI_REWEIGHT / CHI_MEDIAN) * BINS_PER_OCTAVE), F.lit(0)))
-    else:
-        near = near.where(F.col("below") < F.ceil(F.col("all") * SUBSET))
-    out = near.groupBy("g").agg(F.sum("n").cast("double").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(P)], *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in pairs])
-    out = out.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / UNIT for i in range(P)})
-    cov = lambda i, j: F.col(f"q{i}{j}") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
+def factored(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, m, l and det from means m and covariances c."""
+    out = rows
     for j in range(P):
         for i in range(j, P):
-            rest = cov(i, j)
+            rest = F.col(f"c{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[j] ** 2))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.withColumn("scale", F.lit(1.0)).select("g", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in pairs], "scale")
+    det = reduce(Column.__add__, [2 * F.log(f"l{i}{i}") for i in range(P)])
+    return out.select(*keep, *[f"m{i}" for i in range(P)], *[f"c{i}{j}" for i, j in PAIRS], *[f"l{i}{j}" for i, j in PAIRS], det.alias("det"))
+
+
+def with_distance(rows: DataFrame, estimates: DataFrame, n: int, *keep: str) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance to each of the ``n`` estimates of the row's group g, by forward
+    substitution, and the columns ``keep`` of the estimate."""
+    factors = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS)]
+    rows = keyed_join(rows, estimates.select("g", *keep, *factors), ["g"], rows=n)
+    for i in range(P):
+        rest = F.col(f"x{i}") / UNIT - F.col(f"m{i}")
+        for j in range(i):
+            rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
+        rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
+    d2 = reduce(Column.__add__, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(P)])
+    return rows.withColumn("d2", d2).drop(*(f"y{i}" for i in range(P)), *factors)
 
 
-def quality_rules(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
+def _sums() -> list[Column]:
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
+    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)], *products]
+
+
+def _by_medians(points: DataFrame) -> DataFrame:
+    """Per group: medians and interquartile scales from exact counts, as a diagonal estimate."""
+    step = UNIT // 64
+    long = points.select("g", F.posexplode(F.array(*[F.floor(F.col(x) / step) for x in XS])).alias("i", "b")).groupBy("g", "i", "b").count()
+    w = Window.partitionBy("g", "i")
+    share = F.sum("count").over(w.orderBy("b")) / F.sum("count").over(w)
+    at = lambda q: (F.min(F.when(F.col("share") >= q, F.col("b"))) * step + step / 2) / UNIT
+    one = long.withColumn("share", share).groupBy("g", "i").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"))
+    pick = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    wide = one.groupBy("g").agg(*[pick(i, "m").alias(f"m{i}") for i in range(P)], *[F.pow(pick(i, "s"), 2).alias(f"c{i}{i}") for i in range(P)])
+    wide = wide.withColumns({f"c{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j} | {"start": F.lit(0), "n": F.lit(0.0)})
+    return factored(wide, "g", "start", "n")
+
+
+def _by_subsets(points: DataFrame, subsets: int) -> DataFrame:
+    """Per group and subset the estimate of up to P + 1 rows, the least by hash of as many parts."""
+    dealt = points.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(subsets)))).withColumn("h", F.xxhash64("start", *XS))
+    least = dealt.groupBy("g", "start", F.pmod("h", F.lit(P + 1)).alias("part")).agg(F.min(F.struct("h", *XS)).alias("r"))
+    return from_sums(least.select("g", "start", *[f"r.{x}" for x in XS]).groupBy("g", "start").agg(*_sums()), "g", "start")
+
+
+def concentrated(points: DataFrame, estimates: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+    """One step of ``n`` estimates: those of exactly the h rows nearest to each estimate, h = (n + P + 1) / 2 as usual.
+
+    Rows are summed in bins of distance; the bin that holds the h-th row is cut into SLICES, and rows in the slice of
+    the h-th, whose distances agree to some millionths, share what is left of h. So a group of any size comes down to a
+    few thousand sums before it is shuffled, and no group is sorted."""
+    place = F.log2(F.col("d2") + 2.0**-10) * BINS_PER_OCTAVE
+    bins = with_distance(points, estimates, n, "start").groupBy("g", "start", F.floor(place).alias("b")).agg(*_sums())
+    w = Window.partitionBy("g", "start")
+    bins = bins.withColumns({"below": F.sum("n").over(w.orderBy("b")) - F.col("n"), "h": F.sum("n").over(w)})
+    bins = scratch.save(bins.withColumn("h", F.least("h", F.floor((F.col("h") + P + 1) / 2))), f"{name}-bins")
+    edge = bins.where((F.col("below") < F.col("h")) & (F.col("h") <= F.col("below") + F.col("n"))).select("g", "start", F.col("b").alias("edge"), (F.col("h") - F.col("below")).alias("left"))
+    inside = keyed_join(bins, edge, ["g", "start"], rows=n).where("b < edge").select("g", "start", F.lit(1.0).alias("w"), "n", *SUMS)
+    cut = with_distance(points, keyed_join(estimates, edge, ["g", "start"], rows=n), n, "start", "edge", "left").where(F.floor(place) == F.col("edge"))
+    cut = cut.groupBy("g", "start", "left", F.floor((place - F.col("edge")) * SLICES).alias("b")).agg(*_sums())
+    before = F.sum("n").over(w.orderBy("b")) - F.col("n")
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("left") - before) / F.col("n")))
+    cut = cut.withColumn("w", weight).where("w > 0").select("g", "start", "w", "n", *SUMS)
+    whole = lambda c: F.sum(F.when(F.col("w") == 1, F.col(c)).otherwise(0))  # noqa: E731 -- whole numbers, in any order
+    part = lambda c: F.sum(F.when(F.col("w") < 1, F.col("w") * F.col(c)).otherwise(0.0))  # noqa: E731 -- one slice at most
+    total = inside.unionByName(cut).groupBy("g", "start").agg(*[(whole(c) + part(c)).alias(c) for c in ("n", *SUMS)])
+    return scratch.save(from_sums(total, "g", "start"), name)
+
+
+def least_determinants(points: DataFrame, scratch: Scratch, subsets: int = SUBSETS, first: int = FIRST_STEPS, steps: int = STEPS) -> DataFrame:
+    """For each group g the estimate of the least determinant over all starts."""
+    estimates = scratch.save(_by_medians(points).unionByName(_by_subsets(points, subsets)), "starts")
+    n = estimates.count()
+    for k in range(first):
+        estimates = concentrated(points, estimates, n, scratch, f"first{k}")
+    best = estimates.groupBy("g").agg(F.min(F.struct("det", "start")).alias("best")).select("g", F.col("best.start").alias("start"))
+    estimates = scratch.save(estimates.join(best, ["g", "start"]), "best")
+    n = estimates.count()
+    for k in range(steps):
+        estimates = concentrated(points, estimates, n, scratch, f"step{k}")
+    return estimates
+
+
+def reweighted(points: DataFrame, estimates: DataFrame, scratch: Scratch) -> DataFrame:
+    """Estimates from all rows inside the 0.975 ellipse of each group's, whose median distance sets the scale."""
+    place = F.floor(F.log2(F.col("d2") + 2.0**-10) * BINS_PER_OCTAVE)
+    n = estimates.count()
+    counts = with_distance(points, estimates, n).groupBy("g", place.alias("b")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("g")
+    counts = counts.withColumn("share", F.sum("n").over(w.orderBy("b")) / F.sum("n").over(w))
+    middle = F.min(F.when(F.col("share") >= 0.5, F.pow(F.lit(2.0), (F.col("b") + 1) / BINS_PER_OCTAVE)))
+    limits = counts.groupBy("g").agg(F.greatest(middle * CHI_REWEIGHT / CHI_MEDIAN, F.lit(1.0)).alias("limit"))
+    limits = scratch.save(estimates.join(limits, "g"), "limits")
+    near = with_distance(points, limits, n, "limit").where("d2 <= limit").groupBy("g").agg(*_sums())
+    return scratch.save(from_sums(near, "g").withColumns({f"c{i}{j}": F.col(f"c{i}{j}") / INSIDE for i, j in PAIRS}), "reweighted")
+
+
+def drawn(rows: DataFrame, estimates: DataFrame, weight: float = DRAWN) -> DataFrame:
+    """For each language and source g its estimate, drawn to the language's, which is drawn to that of all rows: the mean
+    of both by their rows, of which the larger group counts as ``weight``."""
+    moments = [*(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS)]
+    table = estimates.select("g", "n", *moments)
+    out = rows.select("g0", "g1", "g2").distinct().join(table.withColumnRenamed("g", "g0").drop("n"), "g0")
+    for key in ("g1", "g2"):
+        own = table.select(F.col("g").alias(key), "n", *[F.col(c).alias(f"own_{c}") for c in moments])
+        out = out.join(own, key).withColumns({c: (F.col("n") * F.col(f"own_{c}") + weight * F.col(c)) / (F.col("n") + weight) for c in moments}).drop("n", *(f"own_{c}" for c in moments))
+    return factored(out.withColumnRenamed("g2", "g"), "g")
+
+
+def quality_rules(docs: DataFrame, cutoff: float | None = None) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance and kept for each row.
 
-    A row is rejected by the base rule, or if its squared distance exceeds ``cutoff``. Null texts have no words; null
-    languages and sources form groups of their own; a table (or rest) of fewer than MIN_ROWS rows is judged by the base
-    rule alone, with distance null; an empty table gives no rows. Repeated rows and ties count as often as they occur."""
+    A row is rejected by the base rule, or if its squared distance exceeds ``cutoff``, by default the chi-square quantile
+    of TAIL. Null texts have no words; null languages and sources form groups of their own; a group of any size, one row
+    too, is judged by the same rule; an empty table gives no rows. Repeated rows and ties count as often as they
+    occur."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(with_features(base_statistics(docs)), "statistics")
-    rows = scratch.save(with_groups(rows), "features")
-    large = rows.groupBy("g").count().where(F.col("count") >= MIN_ROWS).select("g")
-    estimates = scratch.save(_start(rows).join(large, "g", "left_semi"), "estimates0")
-    for k in range(1, steps + 2):
-        estimates = scratch.save(_concentrate(rows, estimates, k > steps), f"estimates{k}")
-    every = rows.select("g").distinct().join(estimates, "g", "left")
+    cutoff = chi_quantile(TAIL) if cutoff is None else cutoff
+    rows = scratch.save(with_groups(with_features(base_statistics(docs))), "statistics")
+    points = rows.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *XS)
+    estimates = reweighted(points, least_determinants(points, scratch), scratch)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = with_distance(rows, scratch.save(every, "every")).withColumn("base_failed", failed)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
+    groups = scratch.save(drawn(rows, estimates), "drawn")
+    judged = with_distance(rows.withColumnRenamed("g2", "g"), groups, groups.count()).withColumn("base_failed", failed)
+    kept = ~F.col("base_failed") & (F.col("d2") <= cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
 
 

@@ -2,11 +2,13 @@
 
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from stacklore.llm import line_crf, quality_rules
+from stacklore.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,6 +48,51 @@ def test_outliers_go_and_do_not_pull_the_estimate(spark):
     assert got.where("doc_id >= 1000 and kept").count() == 0
 
 
+def log_det(x: np.ndarray) -> float:
+    return np.linalg.slogdet(np.cov(x.T, bias=True) + np.diag(np.square(quality_rules.FLOORS)))[1]
+
+
+def test_least_determinants_equal_all_subsets(spark):
+    """Groups of 9 to 15 rows, some of them far off, against every subset of h rows."""
+    rng, rows, expected = np.random.default_rng(3), [], {}
+    for k, n in enumerate((9, 11, 13, 15)):
+        x = np.round(rng.normal(0, 0.4, (n, 5)) * 1024)
+        x[: k % 4] += 3000
+        h = (n + 6) // 2
+        best = min((log_det(x[list(c)] / 1024), c) for c in combinations(range(n), h))
+        expected[f"g{k}"] = (best[0], x[list(best[1])].mean(0) / 1024)
+        rows += [(f"g{k}", *map(int, r)) for r in x]
+    points = spark.createDataFrame(rows, "g string, x0 long, x1 long, x2 long, x3 long, x4 long")
+    got = {r["g"]: r for r in quality_rules.least_determinants(points, Scratch(spark), 40, 4, 3).collect()}
+    for g, (det, mean) in expected.items():
+        assert abs(got[g]["det"] - det) < 1e-6 and np.allclose([got[g][f"m{i}"] for i in range(5)], mean)
+
+
+def test_steps_take_exactly_h_rows_and_never_raise_the_determinant(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", *map(int, r)) for r in rng.normal(0, 500, (4001, 5))] + [("b", 1, 2, 3, 4, 5)] * 50 + [("b", *map(int, r)) for r in rng.normal(0, 900, (30, 5))] + [("c", 1, 1, 1, 1, 1)]
+    points, scratch = spark.createDataFrame(rows, "g string, x0 long, x1 long, x2 long, x3 long, x4 long"), Scratch(spark)
+    old = quality_rules.concentrated(points, quality_rules._by_medians(points), 3, scratch, "a0")
+    for k in range(3):
+        new = quality_rules.concentrated(points, old, 3, scratch, f"a{k + 1}")
+        a, b = ({r["g"]: r for r in x.collect()} for x in (old, new))
+        assert [round(b[g]["n"], 6) for g in "abc"] == [2003, 43, 1]
+        assert all(b[g]["det"] <= a[g]["det"] + 1e-9 for g in "abc")
+        old = new
+
+
+def test_small_groups_are_judged(spark):
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))
+    rows = [(i, text(), "en", f"s{i % 40}") for i in range(120)] + [(500, " ".join("#$%|||&<>" for _ in range(60)) + " " + text(), "en", "s1"), (501, text(), "de", "alone"), (502, text(), None, None)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[500]["kept"] and got[501]["kept"] and got[502]["kept"] and all(got[i]["kept"] for i in range(120))
+
+
+def test_cutoff_is_a_chi_square_quantile():
+    assert abs(quality_rules.chi_quantile(0.025) - 12.833) < 1e-3 and abs(quality_rules.chi_quantile(0.5) - 4.351) < 1e-3 and abs(quality_rules.chi_tail(50.69) - 1e-9) < 1e-11
+
+
 def test_estimates_do_not_depend_on_partitions(spark, documents):
     one = quality_rules.quality_rules(documents.repartition(1)).select("doc_id", "distance").collect()
     many = quality_rules.quality_rules(documents.repartition(7, "text")).select("doc_id", "distance").collect()
