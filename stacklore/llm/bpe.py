@@ -1,12 +1,18 @@
 """Byte-pair tokenizer compiled to finite-state form.
 
-Two deterministic machines replace the library call on the hot path:
+Two deterministic machines count tokens in place of the library:
 
 * the *splitter* reads code point classes and marks where a pretoken begins. It has 13 states, so the effect of a
   chunk of text is a map of 13 states to 13 states; chunks are run for all entry states at once and their maps are
   composed with a parallel prefix scan, after which the entry state of each chunk is known;
-* the *emitter* is a transducer over pretokens with compressed paths: one path per pretoken seen, annotated with the
-  ids (hence the count of ids) which it emits. Paths are compiled on first use by the merge rules of the vocabulary.
+* the *counter* is a transducer over the bytes of a pretoken. Its states are prefixes; the transition by a byte carries
+  the number of tokens which the longer prefix has more than the shorter (0 or less where the byte joins earlier ones).
+  It is back in its first state where a pretoken ends, so the map of a run of pretokens is that state and a sum, and
+  maps of runs compose by adding: their prefix scan is a running sum.
+
+Transitions are compiled from the merge rules as they are met. The last token of a prefix is the one vocabulary string
+at its end that can stand beside the last token of what is before it; two tokens can stand side by side unless undoing
+their merges at the seam, the latest first, meets a merge across the seam that would have come first.
 
 A special string (``added_tokens`` of the file) inside a text is one token, as by the library's default.
 """
@@ -14,13 +20,14 @@ A special string (``added_tokens`` of the file) inside a text is one token, as b
 from __future__ import annotations
 
 import json
+import math
+from array import array
 from functools import lru_cache
 from struct import pack
 
 import numpy as np
 import regex
 import tiktoken
-from tokenizers import Tokenizer
 
 #: Code point classes.
 END, SPACE, WHITE, LETTER, NUMBER, OTHER, APOSTROPHE, STMD, R, V, L, E = range(12)
@@ -136,55 +143,119 @@ def begins(classes: np.ndarray) -> np.ndarray:
     return found[: len(classes)]
 
 
-class Emitter:
-    """Pretoken paths with the ids that they emit. At most ``paths`` are kept; further ones are compiled each time."""
+class Vocabulary:
+    """The rules of a byte-level vocabulary file. A token is called by its rank: bytes first, then merges in order."""
 
-    def __init__(self, vocabulary: str, paths: int = 100_000) -> None:
-        self.vocabulary = vocabulary
-        with open(vocabulary, encoding="utf-8") as file:
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
             model = json.load(file)
         if model["pre_tokenizer"].get("type") != "ByteLevel" or model.get("normalizer"):
             raise ValueError("only byte-level vocabularies without a normalizer can be compiled")
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
-        self.merge = self._merger(model["model"])
-        self.library = None
-        self.paths, self.most = {}, paths
-        self.counts: dict[str, int] = {}
-
-    @staticmethod
-    def _merger(model: dict):
-        """The merge rules over bytes, where ids follow the order of the merges; else None."""
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
         byte = {c: b for b, c in shown.items()}
-        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-        if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(pairs)):
-            return None
-        ranks = {bytes(byte[c] for c in word): i for word, i in model["vocab"].items() if all(c in byte for c in word)}
-        return tiktoken.Encoding("rules", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        unshown = lambda word: bytes(byte[c] for c in word)
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["model"]["merges"]]
+        self.rank = {bytes([b]): b for b in range(256)}
+        self.left, self.right = [*range(256)], [*range(256)]
+        self.merged: dict[tuple[int, int], int] = {}
+        for i, (a, b) in enumerate(pairs):
+            a, b = unshown(a), unshown(b)
+            self.left.append(self.rank[a])
+            self.right.append(self.rank[b])
+            self.merged[self.left[-1], self.right[-1]] = 256 + i
+            if self.rank.setdefault(a + b, 256 + i) != 256 + i:
+                raise ValueError("two merges make the same token")
+        self.ids = {unshown(word): i for word, i in model["model"]["vocab"].items() if all(c in byte for c in word)}
+        self.lengths = sorted({len(x) for x in self.rank}, reverse=True)
+
+    def seam(self, a: int, b: int, limit: float) -> bool:
+        """Whether tokens a and b stay apart under all merges before ``limit``. Of equal merges the left one is first."""
+        while True:
+            if self.merged.get((a, b), limit) < limit:
+                return False
+            if a < 256 and b < 256:
+                return True
+            if a > b:
+                limit, a = a, self.right[a]
+            else:
+                limit, b = b + 1, self.left[b]
+
+    def whole(self, token: int) -> bool:
+        """Whether the token's own bytes come out as this one token."""
+        return token < 256 or self.whole(self.left[token]) and self.whole(self.right[token]) and self.seam(self.left[token], self.right[token], token)
+
+
+class Counter:
+    """The transducer. At most ``most`` transitions are kept; others are compiled each time, with equal results."""
+
+    def __init__(self, path: str, most: int = 300_000) -> None:
+        self.rules, self.most = Vocabulary(path), most
+        self.tokens = {x: t for x, t in self.rules.rank.items() if self.rules.whole(t)}
+        self.next: dict[int, int] = {}
+        self.emits, self.last = array("b", [0]), array("i", [-1])
+
+    def _last(self, piece: bytes, end: int, lasts: list[int]) -> tuple[int, int]:
+        """The last token of the first ``end`` bytes, given those of all shorter prefixes, and where it begins."""
+        for n in self.rules.lengths:
+            if n <= end and (token := self.tokens.get(piece[end - n : end])) is not None and (n == end or self.rules.seam(lasts[end - n], token, math.inf)):
+                return token, end - n
+        raise AssertionError("every byte is a token")
+
+    def _compiled(self, piece: bytes) -> int:
+        lasts, totals, node = [-1], [0], 0
+        for end in range(1, len(piece) + 1):
+            child = None if node is None else self.next.get(node << 8 | piece[end - 1])
+            if child is not None:
+                lasts.append(self.last[child])
+                totals.append(totals[-1] + self.emits[child])
+                node = child
+                continue
+            token, begin = self._last(piece, end, lasts)
+            lasts.append(token)
+            totals.append(totals[begin] + 1)
+            if node is not None and len(self.last) < self.most and end <= 64 and -128 <= totals[-1] - totals[-2]:
+                self.next[node << 8 | piece[end - 1]] = node = len(self.last)
+                self.last.append(token)
+                self.emits.append(totals[-1] - totals[-2])
+            else:
+                node = None
+        return totals[-1]
+
+    def count(self, pretoken: str) -> int:
+        """The sum of what the transitions along a pretoken emit."""
+        piece, node, total = pretoken.encode("utf-8", "replace"), 0, 0
+        for byte in piece:
+            node = self.next.get(node << 8 | byte)
+            if node is None:
+                return self._compiled(piece)
+            total += self.emits[node]
+        return total
+
+
+class Emitter:
+    """Ids of pretokens by the library's rules. Those of at most ``paths`` pretokens are kept."""
+
+    def __init__(self, vocabulary: str, paths: int = 100_000) -> None:
+        rules = Vocabulary(vocabulary)
+        self.special, self.paths, self.most = rules.special, {}, paths
+        self.library = tiktoken.Encoding("rules", pat_str=r"[\s\S]+", mergeable_ranks=rules.rank, special_tokens={})
+        self.ids_of = None if all(rules.ids[x] == t for x, t in rules.rank.items()) else {t: rules.ids[x] for x, t in rules.rank.items()}
 
     def ids(self, pretoken: str) -> list[int]:
-        if self.merge is None:
-            self.library = self.library or Tokenizer.from_file(self.vocabulary)
-            return self.library.encode(pretoken, add_special_tokens=False).ids
-        return self.merge(pretoken.encode("utf-8", "replace"))
+        found = self.library.encode_ordinary(pretoken)
+        return found if self.ids_of is None else [self.ids_of[t] for t in found]
 
     def emitted(self, pretokens: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each of these distinct pretokens."""
-        return self._walk(self.paths, pretokens, little)
-
-    def count(self, pretokens: list[str]) -> list[int]:
-        """How many ids the path of each of these distinct pretokens emits."""
-        return self._walk(self.counts, pretokens, len)
-
-    def _walk(self, table: dict, pretokens: list[str], output) -> list:
-        out = list(map(table.get, pretokens))
+        out = list(map(self.paths.get, pretokens))
         if None in out:
             unseen = [i for i, x in enumerate(out) if x is None]
             for i in unseen:
-                out[i] = output(self.ids(pretokens[i]))
-            if (room := self.most - len(table)) > 0:
-                table.update((pretokens[i], out[i]) for i in unseen[:room] if len(pretokens[i]) <= 64)
+                out[i] = little(self.ids(pretokens[i]))
+            if (room := self.most - len(self.paths)) > 0:
+                self.paths.update((pretokens[i], out[i]) for i in unseen[:room] if len(pretokens[i]) <= 64)
         return out
 
 
@@ -193,6 +264,11 @@ def emitter(vocabulary: str) -> Emitter:
     return Emitter(vocabulary)
 
 
+@lru_cache(2)
+def counter(vocabulary: str) -> Counter:
+    return Counter(vocabulary)
+
+
 @lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 ** 64."""
@@ -263,9 +339,10 @@ class Pretokens:
 
 
 def count_tokens(texts: list[str], vocabulary: str) -> np.ndarray:
-    machine = emitter(vocabulary)
-    found = Pretokens(texts, machine.special)
-    counts = np.array(machine.count(found.words), np.int64)[found.at] if len(found.at) else np.zeros(0, np.int64)
+    """Tokens of each text: running sums over all pretokens, taken apart where texts end."""
+    machine = counter(vocabulary)
+    found = Pretokens(texts, machine.rules.special)
+    counts = np.array(list(map(machine.count, found.words)), np.int64)[found.at] if len(found.at) else np.zeros(0, np.int64)
     counts[found.special >= 0] = 1
     total = np.append(0, np.cumsum(counts))
     return total[found.bounds[1:]] - total[found.bounds[:-1]]

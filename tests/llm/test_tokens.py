@@ -110,3 +110,25 @@ def test_packing_round_trip(vocabulary, documents, awkward, empty):
         for p in places.values():
             assert all(a + n == b for (a, n), (b, _) in zip(sorted(p), sorted(p)[1:], strict=False)) and min(p)[0] == 0
     assert best_fit_packing(empty, vocabulary).count() == 0
+
+
+def test_transitions_sum_to_the_count_whatever_is_kept(vocabulary):
+    rng, library = random.Random(8), Tokenizer.from_file(vocabulary)
+    words = [" " * rng.randint(0, 1) + "".join(rng.choices("abcdehinorstuABé中-", k=rng.randint(1, 14))) for _ in range(800)] + ["x" * 3000, "ab" * 900, "-" * 700]
+    expected = [len(library.encode(w, add_special_tokens=False).ids) for w in words if len(bpe.Pretokens([w], {}).words) == 1]
+    words = [w for w in words if len(bpe.Pretokens([w], {}).words) == 1]
+    for most in (1, 50, 300_000):
+        machine = bpe.Counter(vocabulary, most)
+        for _ in range(2):
+            assert [machine.count(w) for w in words] == expected
+        assert len(machine.last) <= most
+
+
+def test_seams_equal_the_library(vocabulary):
+    """Two letters-only tokens can stand side by side if the library leaves them so."""
+    rng, library, rules = random.Random(9), Tokenizer.from_file(vocabulary), bpe.Vocabulary(vocabulary)
+    tokens = [x for x in rules.rank if x.isalpha() and x.isascii()]
+    for a, b in ((rng.choice(tokens), rng.choice(tokens)) for _ in range(4000)):
+        if rules.whole(rules.rank[a]) and rules.whole(rules.rank[b]):
+            ids = library.encode((a + b).decode(), add_special_tokens=False).ids
+            assert rules.seam(rules.rank[a], rules.rank[b], float("inf")) == (ids == [rules.ids[a], rules.ids[b]])
