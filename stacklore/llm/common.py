@@ -35,9 +35,10 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="stacklore-")
         self.root = f"{base.rstrip('/')}/stacklore-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
+        """Writes a table, with one folder for each value of the columns ``folders``, and reads it again."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").partitionBy(*folders).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

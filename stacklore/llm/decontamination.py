@@ -1,10 +1,14 @@
-"""Benchmark decontamination: n-gram seeds, rare ones first, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, rare ones first, then Smith-Waterman alignment.
+
+Documents are read once. A text that shares a seed with the benchmark is kept as word hashes, once for each block of
+items that it shares one with; blocks then meet only those texts.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table, slices, text_or_empty, texts_of
+from .shingles import mix, word_hashes
 
 WORD = re.compile(r"\w+")
 #: Words of a seed; rows, share of all rows, and multiple of the item's own lower quartile up to which a seed is rare.
@@ -19,60 +24,60 @@ SEED, RARE_ROWS, RARE_SHARE, TIMES = 4, 100, 0.001, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score, as a share of the score of the whole item. Items shorter than MIN_WORDS have to be met whole.
 SHARE, MIN_WORDS = 0.5, 12
-#: Seeds of one block of the benchmark; larger benchmarks are run block by block against all rows.
-BLOCK_SEEDS = 500_000
+#: Seeds of one block of the benchmark, which is aligned by itself, and of all blocks that one pass over documents seeks.
+BLOCK_SEEDS, PASS_SEEDS = 500_000, 4_000_000
+
+
+def hashed(texts: list[str]) -> list[np.ndarray]:
+    """The words of each text, runs of letters, digits and underscores in lower case, as 64-bit hashes."""
+    return word_hashes([" ".join(WORD.findall(x.lower())) for x in texts])
+
+
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words. A hash only proposes; alignment decides."""
+    out = np.full(max(0, len(words) - n + 1), n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            out = mix((out ^ words[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 class Items:
-    """A block of benchmark items: word numbers, and the items and places of every seed."""
+    """A block of benchmark items: word numbers, and the items and places of every seed. The seed of an item of fewer than
+    SEED words is all of it."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
-        self.vocabulary: dict[str, int] = {}
-        self.ids, self.words, keys, owners, places = [], [], [], [], []
-        for item, text in rows:
-            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in WORD.findall((text or "").lower())], np.int64)
-            if len(words) >= SEED:
-                k = self.keys(words)[0]
-                keys.append(k)
-                owners.append(np.full(len(k), len(self.ids)))
-                places.append(np.arange(len(k)))
-                self.ids.append(item)
-                self.words.append(words)
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        found = [(item, words) for (item, _), words in zip(rows, hashed([x or "" for _, x in rows]), strict=True) if len(words)]
+        self.ids = [item for item, _ in found]
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for _, w in found)]))
+        self.words = [np.searchsorted(self.vocabulary, w) for _, w in found]
+        keys = [grams(w, min(SEED, len(w))) for _, w in found]
+        self.lengths = sorted({min(SEED, len(w)) for _, w in found})
+        flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+        owner = np.repeat(np.arange(len(found)), [len(k) for k in keys]).astype(np.int64)
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)])
         order = np.argsort(flat, kind="stable")
-        self.flat, self.owner, self.place = flat[order], (np.concatenate(owners) if keys else order)[order], (np.concatenate(places) if keys else order)[order]
+        self.flat, self.owner, self.place = flat[order], owner[order], place[order]
         self.seeds = np.unique(self.flat)
         self.rare = np.ones(len(self.flat), bool)
 
-    @staticmethod
-    def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the n-grams of known words and where they begin. A hash only proposes; alignment decides."""
-        n = len(words) - SEED + 1
-        if n < 1:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        known = words >= 0
-        ok = known[:n].copy()
-        for i in range(1, SEED):
-            ok &= known[i : n + i]
-        at = np.flatnonzero(ok)
-        key = np.zeros(len(at), np.uint64)
-        with np.errstate(over="ignore"):
-            for i in range(SEED):
-                key = (key ^ words[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-        return key, at
-
-    def numbers(self, text: str) -> np.ndarray:
-        return np.array(list(map(self.vocabulary.get, found := WORD.findall(text.lower()), repeat(-1, len(found)))), np.int64)
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """Word numbers of hashes; -1 for words of no item."""
+        if not len(self.vocabulary):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at, -1)
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Seed numbers found in a text and where."""
-        key, at = self.keys(words)
-        if not len(key) or not len(self.seeds):
-            return key[:0].astype(np.int64), at[:0]
-        seed = np.minimum(np.searchsorted(self.seeds, key), len(self.seeds) - 1)
-        found = self.seeds[seed] == key
-        return seed[found], at[found]
+        """Seed numbers found in a text, given as hashes, and where."""
+        seeds, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n in self.lengths:
+            key = grams(words, n)
+            seed = np.minimum(np.searchsorted(self.seeds, key), len(self.seeds) - 1)
+            found = np.flatnonzero(self.seeds[seed] == key)
+            seeds.append(seed[found])
+            places.append(found)
+        return np.concatenate(seeds), np.concatenate(places)
 
     def choose(self, counts: dict[int, int], rows: int) -> None:
         """Tells the rare seeds: those in at most RARE_ROWS rows, or RARE_SHARE of all, or TIMES as many rows as the lower
@@ -90,6 +95,7 @@ class Items:
         Every seed proposes. Where no rare one does, the item's words in the passage are counted before it is aligned: a
         share needs as many matches, so that this loses nothing."""
         seed, at = self.hits(words)
+        words = self.numbers(words)
         best: dict[int, tuple[int, float, int, int]] = {}
         if not len(seed):
             return []
@@ -178,39 +184,54 @@ def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(rows)
 
 
+def passes(blocks: Iterator[Items]) -> Iterator[list[Items]]:
+    held, seeds = [], 0
+    for items in blocks:
+        held.append(items)
+        seeds += len(items.seeds)
+        if seeds > PASS_SEEDS:
+            yield held
+            held, seeds = [], 0
+    if held:
+        yield held
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share, first_word, last_word: each row of documents with each item of which it holds a copy.
 
-    Words are runs of letters, digits and underscores in lower case. Null and empty texts and items of fewer than SEED
-    words match nothing; repeated rows give repeated results; empty tables give none; other columns are not read.
-    The benchmark is the stated query set: it is worked in blocks of bounded size, each sent to the executors with the
-    task. Documents are read once for a block; texts with seeds are kept as word numbers for the alignment."""
+    Words are runs of letters, digits and underscores in lower case. Null and empty texts and items match nothing;
+    repeated rows give repeated results; empty tables give none; other columns are not read. The benchmark is the stated
+    query set: it goes to the executors in blocks of bounded size, and one pass over documents serves PASS_SEEDS."""
     spark, scratch, out = docs.sparkSession, Scratch(docs.sparkSession), None
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     total = None
-    for k, items in enumerate(blocks_of(benchmark)):
+    for k, blocks in enumerate(passes(blocks_of(benchmark))):
 
-        def seek(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+        def seek(batches: Iterator[pa.RecordBatch], blocks: list[Items] = blocks) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 1):
                 found = []
-                for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                    words = items.numbers(text)
-                    if len(seed := np.unique(items.hits(words)[0])):
-                        found.append((doc, words, seed))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.list_(pa.int32())), pa.array([r[2] for r in found], pa.list_(pa.int64()))], ["doc_id", "words", "seeds"])
-
-        met = scratch.save(rows.mapInArrow(seek, "doc_id long, words array<int>, seeds array<long>"), f"seeds{k}")
+                for doc, words in zip(batch.column(0).to_pylist(), hashed(texts_of(batch.column(1))), strict=True):
+                    for b, items in enumerate(blocks):
+                        if len(seed := np.unique(items.hits(words)[0])):
+                            found.append((b, doc, words.view(np.int64), seed))
+                kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], ["block", "doc_id", "words", "seeds"])
+
+        met = scratch.save(rows.mapInArrow(seek, "block int, doc_id long, words array<long>, seeds array<long>"), f"seeds{k}", "block")
         total = docs.count() if total is None else total
-        items.choose({r[0]: r[1] for r in met.select(F.explode("seeds").alias("seed")).groupBy("seed").count().collect()}, total)
-
-        def align(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(doc, *x) for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in items.align(words.values.to_numpy().astype(np.int64))]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "share", "first_word", "last_word"])
-
-        hits = met.select("doc_id", "words").mapInArrow(align, "doc_id long, item_id long, share double, first_word long, last_word long")
-        out = hits if out is None else out.unionByName(hits)
+        counts = met.select("block", F.explode("seeds").alias("seed")).groupBy("block", "seed").count().orderBy("block")
+        for b, found in groupby(counts.toLocalIterator(), lambda r: r["block"]):
+            items = blocks[b]
+            items.choose({r["seed"]: r["count"] for r in found}, total)
+
+            def align(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    found = [(doc, *x) for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in items.align(words.values.to_numpy().view(np.uint64))]
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "share", "first_word", "last_word"])
+
+            hits = met.where(F.col("block") == b).select("doc_id", "words").mapInArrow(align, "doc_id long, item_id long, share double, first_word long, last_word long")
+            out = hits if out is None else out.unionByName(hits)
     return spark.createDataFrame([], "doc_id long, item_id long, share double, first_word long, last_word long") if out is None else out
 
 

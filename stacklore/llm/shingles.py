@@ -21,39 +21,52 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (base, pow(base, -1, 1 << 64)))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its shingles of ``words`` words. A text of fewer words has one
-    shingle of all its words, a text without words has none."""
-    if not texts:
-        return []
-    joined = b"\n".join(x.encode("utf-8", "surrogatepass") for x in texts) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other, and where each text begins."""
+    encoded = [x.encode("utf-8", "surrogatepass") for x in texts]
+    data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
     white = _WHITE[data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], white))))
     starts, ends = edge[::2], edge[1::2]
-    sizes = np.array([len(x.encode("utf-8", "surrogatepass")) + 1 for x in texts])
-    bounds = np.searchsorted(starts, np.append(0, np.cumsum(sizes)))
+    bounds = np.searchsorted(starts, np.append(0, np.cumsum([len(x) + 1 for x in encoded])))
     forward, back = _powers(1 << max(16, len(data).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * forward[: len(data)], out=total[1:])
-        word = _mix((total[ends] - total[starts]) * back[starts] ^ (ends - starts).astype(np.uint64) * _ODD[15])
+        return mix((total[ends] - total[starts]) * back[starts] ^ (ends - starts).astype(np.uint64) * _ODD[15]), bounds
+
+
+def word_hashes(texts: list[str]) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words, in order."""
+    if not texts:
+        return []
+    word, bounds = _words(texts)
+    return [word[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles of ``words`` words. A text of fewer words has one
+    shingle of all its words, a text without words has none."""
+    if not texts:
+        return []
+    word, bounds = _words(texts)
+    with np.errstate(over="ignore"):
         n = max(0, len(word) - words + 1)
         run = np.zeros(n, np.uint64)
         for j in range(words):
             run += word[j : n + j] * _ODD[j]
-        run = _mix(run)
+        run = mix(run)
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= words:
                 out.append(np.unique(run[a : b - words + 1]))
             elif b > a:
-                out.append(_mix((word[a:b] * _ODD[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
+                out.append(mix((word[a:b] * _ODD[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
             else:
                 out.append(np.zeros(0, np.uint64))
     return out

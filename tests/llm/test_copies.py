@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from stacklore.llm import decontamination
 from stacklore.llm import jaccard_join as J
 from stacklore.llm import shingles as S
 from stacklore.llm.components import components
@@ -184,3 +185,68 @@ def test_an_edited_copy_in_a_third_of_the_rows_is_found(spark):
     docs = spark.createDataFrame([(-1, " ".join(item)), *rows], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert sorted(r["doc_id"] for r in contaminated(docs, bench).collect()) == [-1, *range(0, 1200, 3)]
+
+
+def best_shares(item: list[str], docs: list[list[str]]) -> list[float]:
+    """Best local alignment of an item with each document, as a share of the item's own score: plain recurrence over all
+    documents side by side, apart by more unknown words than an alignment could cross."""
+    apart = [None] * (2 * len(item) + 2)
+    flat, begins = [], []
+    for d in docs:
+        begins.append(len(flat))
+        flat += [*d, *apart]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for w in flat if w))}
+    place = np.array([number.get(w, -1) for w in flat])
+    top, row = np.zeros(len(flat) + 1, int), np.zeros(len(flat) + 1, int)
+    for w in item:
+        now = np.zeros(len(flat) + 1, int)
+        now[1:] = np.maximum(0, np.maximum(row[:-1] + np.where(place == number.get(w, -2), 2, -1), row[1:] - 1))
+        for _ in range(2 * len(item)):  # gaps along the row
+            now[1:] = np.maximum(now[1:], now[:-1] - 1)
+        row = now
+        top = np.maximum(top, now)
+    return [int(top[a + 1 : a + 1 + len(d)].max(initial=0)) / (2 * len(item)) for a, d in zip(begins, docs, strict=True)]
+
+
+def test_recall_against_alignment_of_all_pairs(spark, smallest, documents):
+    bench = spark.read.parquet(f"{smallest}/benchmark.parquet")
+    words = lambda x: decontamination.WORD.findall((x or "").lower())
+    rng, items = random.Random(21), bench.collect()
+    edited = []
+    for k, item in enumerate(items):
+        own = (item["text"] or "").split()
+        for n, share in enumerate((0.1, 0.2, 0.3, 0.4)):  # of the words replaced, dropped or doubled
+            change = lambda w: rng.choice(([f"e{rng.randrange(10**6)}"], [], [w, w]))
+            body = [x for w in own for x in (change(w) if rng.random() < share else [w])]
+            around = rng.choice(items)["text"].split()[:6]
+            edited.append((1_000_000 + 10 * k + n, " ".join([*around, *body, *around])))
+    more = documents.select("doc_id", "text").unionByName(spark.createDataFrame(edited, "doc_id long, text string"))
+    rows = [(r["doc_id"], words(r["text"])) for r in more.collect()]
+    expected = set()
+    for item in items:
+        own = words(item["text"])
+        if own:
+            need = decontamination.SHARE if len(own) >= decontamination.MIN_WORDS else 1.0
+            expected |= {(rows[i][0], item["item_id"]) for i, share in enumerate(best_shares(own, [w for _, w in rows])) if share >= need}
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(more, bench).collect()}
+    assert got <= expected and len(expected) > 2 * len(items) and len(got) >= 0.9 * len(expected)
+    print("recall", len(got) / len(expected), "of", len(expected))
+
+
+def test_short_items_are_met_whole(spark):
+    bench = spark.createDataFrame([(1, "Qua dri"), (2, "lonely"), (3, "a b c"), (4, "a b c d e"), (5, "...")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x qua, dri y"), (2, "qua z dri"), (3, "so lonely!"), (4, "a b x c"), (5, "z a b c d e"), (6, "a b c x"), (7, "lonely lonely"), (7, "lonely lonely"), (None, "Qua dri")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["item_id"]) for r in contaminated(docs, bench).collect())
+    assert got == [("1", 1), ("3", 2), ("5", 3), ("5", 4), ("6", 3), ("7", 2), ("7", 2), ("None", 1)]
+
+
+def test_blocks_and_passes_give_the_same(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice((2, 8, 20, 40))))) for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(300)}" for _ in range(30)) + " " + items[i % 30][1] + f" w{i}") for i in range(90)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, contaminated(docs, bench).collect()))
+    for seeds in (100, 10):
+        monkeypatch.setattr(decontamination, "BLOCK_SEEDS", 60)
+        monkeypatch.setattr(decontamination, "PASS_SEEDS", seeds)
+        assert sorted(map(tuple, contaminated(docs, bench).collect())) == whole
