@@ -8,77 +8,141 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import SALTS, Scratch, read_table
 
 SHARDS, OLD_SHARDS, OVERHEAD = 40, 32, 16
-#: Shards come to the driver as one number each; more than this is refused.
-MAX_SHARDS = 1_000
 
 
-def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
-    """Flow (old, new) -> bytes of least total cost that empties all supplies, by successive shortest paths with
-    potentials. ``cost(i, j)`` is the price of a byte of old shard i in new shard j, not negative. Each path is searched
-    over shards, so bytes only set how much a path carries."""
-    if sum(capacity) < sum(supply):
-        raise ValueError("the new shards are too small")
-    n, m = len(supply), len(capacity)
-    prices = [[cost(i, j) for j in range(m)] for i in range(n)]
-    flow, left, room = {}, list(supply), list(capacity)
-    high = [0] * (n + m)
-    while any(left):
-        far, via, heap = [None] * (n + m), [-1] * (n + m), []
-        for i in range(n):
-            if left[i]:
-                heapq.heappush(heap, (0, i, -1))
-        goal = None
-        done = [False] * (n + m)
+class Network:
+    """A flow network with whole-number capacities and prices. Cheapest flows are found in phases: one search for the
+    prices of all nodes, then all that flows at that price, by shortest paths of fewest arcs. Phases are as many as there
+    are different prices of a path."""
+
+    def __init__(self, nodes: int) -> None:
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to, self.left, self.price = [], [], []
+
+    def arc(self, u: int, v: int, capacity: int, price: int) -> int:
+        """Adds an arc; its flow is what is left on the arc after it, its reverse."""
+        self.out[u].append(len(self.to))
+        self.out[v].append(len(self.to) + 1)
+        self.to += [v, u]
+        self.left += [capacity, 0]
+        self.price += [price, -price]
+        return len(self.to) - 2
+
+    def send(self, source: int, sink: int, need: int) -> None:
+        high = [0] * len(self.out)
+        while need:
+            far = self._distances(source, high)
+            if far[sink] is None:
+                raise ValueError("the new shards are too small")
+            high = [h + min(d if d is not None else far[sink], far[sink]) for h, d in zip(high, far, strict=True)]
+            while need and (level := self._levels(source, sink, high)):
+                need = self._fill(source, sink, need, high, level)
+
+    def _distances(self, source: int, high: list[int]) -> list[int | None]:
+        far: list[int | None] = [None] * len(self.out)
+        heap = [(0, source)]
         while heap:
-            d, v, u = heapq.heappop(heap)
-            if done[v]:
+            d, u = heapq.heappop(heap)
+            if far[u] is not None:
                 continue
-            done[v], far[v], via[v] = True, d, u
-            if v >= n:
-                if room[v - n]:
-                    goal = v
-                    break
-                near = [(i, -prices[i][v - n]) for i in range(n) if flow.get((i, v - n))]
-            else:
-                near = [(n + j, prices[v][j]) for j in range(m)]
-            for w, price in near:
-                if not done[w]:
-                    heapq.heappush(heap, (d + price + high[v] - high[w], w, v))
-        reach = far[goal]
-        for v in range(n + m):
-            high[v] += min(reach, far[v]) if done[v] else reach
-        path, v = [], goal
-        while v >= 0:
-            path.append(v)
-            v = via[v]
-        path.reverse()
-        most = min([left[path[0]], room[goal - n], *(flow[b, a - n] for a, b in zip(path, path[1:], strict=False) if a >= n)])
-        for a, b in zip(path, path[1:], strict=False):
-            if a < n:
-                flow[a, b - n] = flow.get((a, b - n), 0) + most
+            far[u] = d
+            for e in self.out[u]:
+                if self.left[e] and far[v := self.to[e]] is None:
+                    heapq.heappush(heap, (d + self.price[e] + high[u] - high[v], v))
+        return far
+
+    def _levels(self, source: int, sink: int, high: list[int]) -> dict[int, int]:
+        """Arcs from the source to each node over arcs of the present price; nothing if the sink isn't reached."""
+        level, front = {source: 0}, [source]
+        while front and sink not in level:
+            after = []
+            for u in front:
+                for e in self.out[u]:
+                    v = self.to[e]
+                    if self.left[e] and v not in level and self.price[e] + high[u] == high[v]:
+                        level[v] = level[u] + 1
+                        after.append(v)
+            front = after
+        return level if sink in level else {}
+
+    def _fill(self, source: int, sink: int, need: int, high: list[int], level: dict[int, int]) -> int:
+        at, path, u = dict.fromkeys(level, 0), [], source
+        while need:
+            if u == sink:
+                most = min(need, *(self.left[e] for e in path))
+                for e in path:
+                    self.left[e] -= most
+                    self.left[e ^ 1] += most
+                need, path, u = need - most, [], source
+            elif at[u] < len(self.out[u]):
+                e = self.out[u][at[u]]
+                v = self.to[e]
+                if self.left[e] and level.get(v) == level[u] + 1 and self.price[e] + high[u] == high[v]:
+                    path.append(e)
+                    u = v
+                else:
+                    at[u] += 1
+            elif path:
+                u = self.to[path.pop() ^ 1]
+                at[u] += 1
             else:
-                flow[b, a - n] -= most
-        left[path[0]] -= most
-        room[goal - n] -= most
-    return {k: v for k, v in flow.items() if v}
+                break
+        return need
+
+
+def min_cost_flow(supply: list[int], capacity: list[int], cost) -> dict[tuple[int, int], int]:
+    """Flow (old, new) -> bytes of least total cost that empties all supplies. ``cost(i, j)`` is the price of a byte of
+    old shard i in new shard j, a whole number, not negative."""
+    n, m, net = len(supply), len(capacity), Network(len(supply) + len(capacity) + 2)
+    for i, x in enumerate(supply):
+        net.arc(n + m, i, x, 0)
+    for j, x in enumerate(capacity):
+        net.arc(n + j, n + m + 1, x, 0)
+    arcs = {(i, j): net.arc(i, n + j, supply[i], cost(i, j)) for i in range(n) for j in range(m)}
+    net.send(n + m, n + m + 1, sum(supply))
+    return {k: net.left[e + 1] for k, e in arcs.items() if net.left[e + 1]}
+
+
+def least_moves(sizes: dict[int, int], capacity: list[int]) -> dict[tuple[int, int], int]:
+    """Flow (old name, new) -> bytes, where a byte that stays in the shard of its name costs nothing and any other move
+    costs one. As all moves cost the same, they pass one hub, so there are as many arcs as shards and not as pairs."""
+    old, m = sorted(sizes), len(capacity)
+    n = len(old)
+    source, sink, hub, net = n + m, n + m + 1, n + m + 2, Network(n + m + 3)
+    for i, name in enumerate(old):
+        net.arc(source, i, sizes[name], 0)
+    stay = {name: net.arc(i, n + name, sizes[name], 0) for i, name in enumerate(old) if 0 <= name < m}
+    leave = [net.arc(i, hub, sizes[name], 1) for i, name in enumerate(old)]
+    enter = [net.arc(hub, n + j, x, 0) for j, x in enumerate(capacity)]
+    for j, x in enumerate(capacity):
+        net.arc(n + j, sink, x, 0)
+    net.send(source, sink, sum(sizes.values()))
+    out = {(name, name): net.left[e + 1] for name, e in stay.items() if net.left[e + 1]}
+    free, j = [net.left[e + 1] for e in enter], 0
+    for name, e in zip(old, leave, strict=True):
+        rest = net.left[e + 1]
+        while rest:
+            if not free[j]:
+                j += 1
+                continue
+            part = min(rest, free[j])
+            out[name, j] = out.get((name, j), 0) + part
+            rest, free[j] = rest - part, free[j] - part
+    return out
 
 
 def plan_transfers(sizes: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
     """(old, from, to, new): which bytes of each old shard, counted in its own order, each new shard gets. New capacities
-    are equal to one byte. Bytes that stay cost nothing and come first; a byte that moves costs one."""
-    total, old = sum(sizes.values()), sorted(sizes)
-    capacity = [total // shards + (j < total % shards) for j in range(shards)]
-    flow = min_cost_flow([sizes[i] for i in old], capacity, lambda i, j: int(old[i] != j))
-    out = []
-    for i, name in enumerate(old):
-        at = 0
-        for j in sorted(range(shards), key=lambda j: (j != name, j)):
-            if n := flow.get((i, j)):
-                out.append((name, at, at + n, j))
-                at += n
+    are equal to one byte. Bytes that stay come first."""
+    total = sum(sizes.values())
+    flow = least_moves(sizes, [total // shards + (j < total % shards) for j in range(shards)])
+    out, at = [], dict.fromkeys(sizes, 0)
+    for (name, j), n in sorted(flow.items(), key=lambda x: (x[0][0], x[0][0] != x[0][1], x[0][1])):
+        out.append((name, at[name], at[name] + n, j))
+        at[name] += n
     return out
 
 
@@ -86,15 +150,15 @@ def reshard(docs: DataFrame, old_shard, shards: int = SHARDS) -> DataFrame:
     """doc_id, old_shard, size, text_crc32, shard, slot. A document goes where the plan sends its middle byte; order
     inside an old shard is by block, then doc_id. Null text counts as empty, null old shards as -1 (no new shard's
     own); repeated rows each get a slot, in any order among themselves; an empty table gives no rows. A third of all
-    rows in one old shard is spread over its blocks: no window holds a whole shard."""
+    rows in one old shard, or of one doc_id or none, is spread over blocks by id, text and place in the input: no window
+    holds a whole shard. One number for each shard comes to the driver."""
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = Scratch(docs.sparkSession).save(rows, "sizes")
-    found = rows.groupBy("old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SHARDS + 1).collect()
-    if len(found) > MAX_SHARDS or shards > MAX_SHARDS:
-        raise ValueError(f"more than {MAX_SHARDS} shards")
+    lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.monotonically_increasing_id() % SALTS)
+    rows = Scratch(docs.sparkSession).save(rows.withColumn("__lone", lone), "sizes")
+    found = rows.groupBy("old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     blocks = max([1, *(math.isqrt(r["n"]) for r in found)])
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text_crc32", "__lone"), F.lit(blocks))).drop("__lone")
     transfers = plan_transfers({r["old_shard"]: r["size"] for r in found}, shards) if found else []
     sums = rows.groupBy("old_shard", "__block").agg(F.sum("size").alias("__bytes"))
     starts = sums.select("old_shard", "__block", (F.sum("__bytes").over(Window.partitionBy("old_shard").orderBy("__block")) - F.col("__bytes")).alias("__start"))

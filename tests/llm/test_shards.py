@@ -32,6 +32,31 @@ def test_transfers_keep_what_can_stay():
     assert sum(b - a for o, a, b, n in moves if o == n) == 350 + 10 + 40
 
 
+def test_thousands_of_shards_move_as_few_bytes_as_can_be():
+    rng = random.Random(3)
+    for old, new in ((3000, 2000), (7, 5000), (4000, 3), (5, 5)):
+        sizes = {i: rng.randint(0, 10**6) for i in range(-1, old)}
+        total = sum(sizes.values())
+        capacity = [total // new + (j < total % new) for j in range(new)]
+        moves = resharding.plan_transfers(sizes, new)
+        assert sum(b - a for o, a, b, n in moves if o == n) == sum(min(n, capacity[i]) for i, n in sizes.items() if 0 <= i < new)
+        got = [0] * new
+        for _, a, b, j in moves:
+            got[j] += b - a
+        assert got == capacity and len(moves) <= 2 * (old + new) + 2
+
+
+def test_hub_equals_the_dense_network():
+    rng = random.Random(4)
+    for _ in range(100):
+        sizes, new = {i: rng.randint(0, 30) for i in rng.sample(range(8), rng.randint(1, 6))}, rng.randint(1, 7)
+        total, old = sum(sizes.values()), sorted(sizes)
+        capacity = [total // new + (j < total % new) for j in range(new)]
+        dense = resharding.min_cost_flow([sizes[i] for i in old], capacity, lambda i, j, old=old: int(old[i] != j))
+        cost = sum(v for (i, j), v in dense.items() if old[i] != j)
+        assert cost == sum(v for (i, j), v in resharding.least_moves(sizes, capacity).items() if i != j)
+
+
 def placed(docs):
     return resharding.reshard(docs, F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "UTF-8")), F.lit(32)))
 
