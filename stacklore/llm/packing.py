@@ -85,12 +85,12 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
 def pack(parts: DataFrame, scratch: Scratch, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). Only the histogram, at most ``size`` rows,
     comes to the driver; the plan's runs are bounded by ``size`` as well. A piece finds its slot by its rank among the
-    pieces of its length, counted in blocks (of n rows there are about sqrt(n) blocks of sqrt(n) rows), so that a length which a third of the pieces share is ranked by many
-    tasks. Equal rows take any of their ranks."""
-    spark = parts.sparkSession
+    pieces of its length, counted in blocks (of n rows there are about sqrt(n) blocks of sqrt(n) rows), so that a length
+    which a third of the pieces share is ranked by many tasks. Equal rows take any of their ranks."""
+    spark, columns = parts.sparkSession, parts.columns
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
-    block = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, math.isqrt(n) + 1)]) if counts else F.create_map(F.lit(0), F.lit(1))
-    parts = parts.withColumn("__block", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(block, F.col("length").cast("int" if not counts else "long")).cast("long")))
+    blocks = spark.createDataFrame([(k, math.isqrt(n) + 1) for k, n in counts.items()], "length long, __blocks long")
+    parts = parts.join(F.broadcast(blocks), "length").withColumn("__block", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__blocks"))).drop("__blocks")
     sums = parts.groupBy("length", "__block").count()
     before = scratch.save(sums.select("length", "__block", (F.sum("count").over(Window.partitionBy("length").orderBy("__block")) - F.col("count")).alias("__before")), "ranks")
     rows = [(*row[:5], row[5]) for row in plan(counts, size)]
@@ -101,7 +101,7 @@ def pack(parts: DataFrame, scratch: Scratch, size: int = SIZE) -> DataFrame:
     placed = ranked.join(F.broadcast(slots), fits)
     k = F.col("__rank") - F.col("__from")
     placed = placed.withColumn("sequence_id", F.col("__first") + F.floor(k / F.col("__per")).cast("long")).withColumn("offset", F.col("__offset") + k % F.col("__per") * F.col("length"))
-    return placed.select(*[c for c in parts.columns if not c.startswith("__")], "sequence_id", "offset")
+    return placed.select(*columns, "sequence_id", "offset")
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, size: int = SIZE, ids: bool = False) -> DataFrame:
