@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import read_table, slices, text_or_empty, texts_of
 
-#: Bounds of the sample that the model is fitted on; everything else sees all rows.
-FIT_DOCS, FIT_LINES_OF_A_DOC = 4000, 500
+#: Bounds of the sample that the model is fitted on, labelled documents and lines of all of them; everything else sees all
+#: rows.
+FIT_DOCS, FIT_LINES = 4000, 200_000
 EPOCHS, RATE, RIDGE = 150, 0.15, 1e-3
 
 MARKS = {ord(c): None for c in "#*$%&|<>!{}[]\\~^=_@"}
@@ -79,6 +80,8 @@ def marginals(emission: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> tup
 class Model:
     def __init__(self) -> None:
         self.weights, self.moves, self.scale, self.shift = np.zeros(WIDTH), np.zeros((2, 2)), 1.0, 0.0
+        #: Documents without lines in the sample, and how many of them are good.
+        self.blank = (0, 0)
 
     def qualities(self, texts: list[str]) -> np.ndarray:
         """0 to 1 for each text: P(good) of its lines weighted by length, through a fitted logistic scale."""
@@ -96,8 +99,11 @@ class Model:
         return out
 
     def score(self, features: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarray:
+        """A text without lines scores as one without a good line, drawn to the share of good ones among labelled texts
+        without lines."""
         raw = self.raw(features, lengths)
-        return np.where(np.isnan(raw), 0.5, 1 / (1 + np.exp(-np.clip(self.scale * (np.nan_to_num(raw) - self.shift), -30, 30))))
+        score = 1 / (1 + np.exp(-np.clip(self.scale * (np.nan_to_num(raw) - self.shift), -30, 30)))
+        return np.where(np.isnan(raw), (score + self.blank[1]) / (1 + self.blank[0]), score)
 
 
 def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarray) -> Model:
@@ -105,6 +111,7 @@ def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarra
     Lines count so that both classes weigh the same. Then a logistic scale is fitted to the aggregated marginals."""
     model = Model()
     use = [i for i in range(len(labels)) if len(features[i])]
+    model.blank = (len(labels) - len(use), int(sum(labels) - sum(labels[use])))
     if not use or len(set(labels[use].tolist())) < 2:
         return model
     features, lengths, y = [features[i] for i in use], [lengths[i] for i in use], labels[use].astype(np.float64)
@@ -138,17 +145,21 @@ def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarra
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_DOCS) -> Model:
-    """Fits on at most ``rows`` labelled documents whose crc32 of the id, modulo 3, isn't 1. Their features are made by
-    the executors; what comes to the driver is bounded by FIT_DOCS and FIT_LINES_OF_A_DOC. Documents with more lines are
-    left out of the fit only. A document with several labels takes the lowest."""
+    """Fits on at most ``rows`` labelled documents whose crc32 of the id, modulo 3, isn't 1, in order of a hash of the id,
+    and on at most FIT_LINES lines of them: a document that would exceed these is passed over as a whole. Features are
+    made by the executors; no more than the sample comes to the driver. A document with several labels takes the lowest,
+    one with several rows the least text."""
     part = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (part != 1)).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    n_lines = F.size(F.filter(F.split("text", "\n", -1), lambda x: x != ""))
+    total = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most FIT_DOCS rows
+    sizes = sample.select("doc_id", n_lines.alias("n")).where(F.col("n") <= FIT_LINES).withColumn("total", total).where(F.col("total") <= FIT_LINES)
+    sample = sample.join(F.broadcast(sizes.select("doc_id")), "doc_id")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(doc, *line_features(text), y) for doc, text, y in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True)]
-            found = [r for r in found if len(r[1]) <= FIT_LINES_OF_A_DOC]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1].astype("<f8").tobytes() for r in found], pa.binary()), pa.array([r[2].astype("<f8").tobytes() for r in found], pa.binary()), pa.array([r[3] for r in found], pa.int32())], ["doc_id", "features", "lengths", "quality"])
 
     found = sample.mapInArrow(make, "doc_id long, features binary, lengths binary, quality int").collect()
@@ -157,7 +168,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_DOCS) -> Mod
 
 
 def with_quality(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """All rows and columns, and the quality of ``text``. Null and empty texts score 0.5; nothing but the text counts."""
+    """All rows and columns, and the quality of ``text``. Null and empty texts and those of white space
+    alone score as ``Model.score`` says; nothing but the text counts."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
