@@ -110,7 +110,8 @@ def disclosing(kept: DataFrame, scratch: Scratch) -> DataFrame:
     is the largest over the entities.
 
     A text's entities and terms are distinct and equal texts are one row with a weight, so all counts are sums that are
-    taken map-side before they are shuffled. Entities in fewer than SUPPORT texts have no such pair and go first."""
+    taken map-side before they are shuffled. Entities in fewer than SUPPORT texts have no such pair and go first; of all
+    words of all texts only those of such pairs are counted."""
     n = kept.count()
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
     held = kept.where(F.size("base") > 0).groupBy("key", "words", entities.alias("entities")).agg(F.count("*").alias("copies"))
@@ -120,7 +121,9 @@ def disclosing(kept: DataFrame, scratch: Scratch) -> DataFrame:
     known = scratch.save(known.where((F.col("texts") >= SUPPORT) & (F.col("n_entity") < n)).drop("texts"), "entities")
     pairs = keyed_join(each, known, ["entity"]).select("entity", "n_entity", "copies", F.explode("terms").alias("term"))
     both = pairs.groupBy("entity", "n_entity", "term").agg(F.sum("copies").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    in_texts = kept.select(F.explode(terms_of(F.col("words"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    both = scratch.save(both, "both")
+    asked = scratch.save(both.select("term").distinct(), "asked")
+    in_texts = keyed_join(kept.select("copy", F.explode(terms_of(F.col("words"))).alias("term")), asked, ["term"]).groupBy("term").agg(F.count("*").alias("n_term"))
     rows = F.lit(float(n))
     share = F.log(F.least(rows * F.col("n_both") / F.col("n_entity") / F.col("n_term"), rows / F.col("n_entity"))) / F.log(rows / F.col("n_entity"))
     found = both.join(in_texts, "term").withColumn("share", share).where(F.col("share") >= GENERALISE)
@@ -167,4 +170,5 @@ def sanitised(text: Column, spans: Column) -> Column:
 def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = private_spans(read_table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(SHAPES)], F.sha2(F.encode(shown(F.col("base")), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+    any_hit = (F.size("base") > 0).cast("int").alias("has_personal_data")
+    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(SHAPES)], any_hit, F.sha2(F.encode(shown(F.col("base")), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
