@@ -17,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table, slices, text_or_empty, texts_of
+from .common import Scratch, keyed_join, read_table, slices, text_or_empty, texts_of
 from .components import components
-from .shingles import shingles, signatures, similar_pairs
+from .shingles import apart, shingles, signatures, similar_pairs
 
 THRESHOLD, TREES, DEPTH, RECALL = 0.8, 16, 6, 0.999
 #: Shares of equal signature values from which a pair is a candidate, and from which a member leaves for its leader. A
 #: text similar to a member by the threshold is similar to the leader by twice the threshold less one at least.
 CANDIDATE, SURE = 0.45, 0.8
 #: Texts of one side of a verification task; ids which may be broadcast to fetch the texts of candidates.
-BLOCK, MAX_IDS = 128, 500_000
+BLOCK, MAX_IDS = 256, 500_000
 #: Signatures of one side of a comparison task.
 SIGNATURE_BLOCK = 512
 
@@ -157,18 +157,50 @@ def candidates(nodes: DataFrame, scratch: Scratch, threshold: float, trees: int,
     return out.unionByName(compared(live, sizes, key, nodes, trees * depth))
 
 
-def verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """From candidate components (nid, root, key, first_id): for each text its number n of similar texts in one task
-    (other null), and links (nid, other) that join all similar texts.
-
-    A component of more than BLOCK texts is cut into blocks, and every pair of blocks is one task. Shingle sets are
-    made from whole texts again; a pair counts if its exact Jaccard similarity reaches the threshold."""
-    counts = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    chosen = members.join(counts, "root").select("nid", "root", "key", F.col("first_id").alias("doc_id"), "n")
-    if chosen.count() <= MAX_IDS:
+def shingled(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Shingle sets of the texts of candidate components, made once: root, n (texts of the component), nid, size, kept,
+    base, shingles. In a component of more than BLOCK texts a set is what it has apart from that of the component's
+    leader, the least nid, whose size is ``base``; copies of one text differ in few shingles from each other."""
+    counts = members.groupBy("root").agg(F.count("*").alias("n"), F.min("nid").alias("leader")).where("n > 1")
+    chosen = members.join(counts, "root").select("nid", "root", "key", F.col("first_id").alias("doc_id"), "n", "leader")
+    chosen = scratch.save(chosen, "chosen")
+    total = chosen.count()
+    if total <= MAX_IDS:
         chosen = F.broadcast(chosen)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.encode(F.col("text").cast("string"), "UTF-8"))).alias("key"), F.col("text").cast("string").alias("text"))
-    dealt = in_blocks(texts.join(chosen, ["doc_id", "key"]), "root", BLOCK).select("root", "i", "j", "block", "nid", "text")
+    rows = texts.join(chosen, ["doc_id", "key"]).select("root", "n", "leader", "nid", "text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4, 1 << 20):
+            sets = [x.view(np.int64) for x in shingles(texts_of(batch.column(4)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["root", "n", "leader", "nid", "size", "shingles"])
+
+    sets = scratch.save(rows.mapInArrow(make, "root long, n long, leader long, nid long, size long, shingles array<long>"), "sets")
+    if sets.count() > total:  # repeated rows of one id and text are one member
+        sets = scratch.save(sets.dropDuplicates(["nid"]), "sets-once")
+    small = sets.where(F.col("n") <= BLOCK).select("root", "n", "nid", "size", F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("base"), "shingles")
+    large = sets.where(F.col("n") > BLOCK)
+    leaders = scratch.save(large.where("nid = leader").select("root", F.col("shingles").alias("theirs")), "sets-leaders")
+    # one row for each component of more than BLOCK texts
+    beside = keyed_join(large.select("nid", "root", "n", "size", "shingles"), leaders, ["root"]).select("root", "n", "nid", "size", "shingles", "theirs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base = [x.values.to_numpy() for x in batch.column(5)]
+            found = [apart(x.values.to_numpy(), y) for x, y in zip(batch.column(4), base, strict=True)]
+            out = [pa.array([k for _, k in found], pa.int64()), pa.array([len(y) for y in base], pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *out], ["root", "n", "nid", "size", "kept", "base", "shingles"])
+
+    return small.unionByName(beside.mapInArrow(cut, "root long, n long, nid long, size long, kept long, base long, shingles array<long>"))
+
+
+def verified(sets: DataFrame, threshold: float) -> DataFrame:
+    """From the sets of candidate components: for each text its number n of similar texts in one task (other null), and
+    links (nid, other) that join all similar texts.
+
+    A component of more than BLOCK texts is cut into blocks, and every pair of blocks is one task, which gets sets that
+    are cut to what differs; a pair counts if its exact Jaccard similarity reaches the threshold."""
+    dealt = in_blocks(sets, "root", BLOCK).select("root", "i", "j", "block", "nid", "size", "kept", "base", "shingles")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "nid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +209,11 @@ def verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame
 
         out = []
         for (_, i, j), rows in tasks(batches, 3):
-            unique = {nid: (block, text) for block, nid, text in rows}
-            nids, blocks = list(unique), np.array([x[0] for x in unique.values()])
-            linked = similar_pairs(shingles([x[1] for x in unique.values()]), threshold)
+            blocks, nids, sizes, kept = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+            linked = similar_pairs([np.array(r[5], np.int64) for r in rows], threshold, sizes, kept, rows[0][4])
             if i != j:
                 linked &= blocks[:, None] != blocks[None, :]
+            nids = nids.tolist()
             out += [(nids[k], None, int(linked[k].sum())) for k in np.flatnonzero(linked.any(1))]
             out += [(nids[x], nids[y], 0) for x, y in walk(linked)]
             if len(out) > 5000:
@@ -208,7 +240,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     nodes = scratch.save(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     links = candidates(nodes, scratch, threshold, trees, depth, recall)
     members = components(links, scratch, "candidate").withColumnRenamed("node", "nid").join(nodes.select("nid", "key", "first_id"), "nid")
-    found = scratch.save(verified(docs, scratch.save(members, "members"), threshold), "verified")
+    sets = scratch.save(shingled(docs, scratch.save(members, "members"), scratch), "deltas")
+    found = scratch.save(verified(sets, threshold), "verified")
     numbers = found.where("other is null").groupBy("nid").agg(F.sum("n").alias("n_links"))
     roots = components(found.where("other is not null").select(F.col("nid").alias("a"), F.col("other").alias("b")), scratch, "class").withColumnRenamed("node", "nid")
     classed = nodes.select("nid", "key", "first_id", "n_copies").join(roots, "nid", "left").join(numbers, "nid", "left")

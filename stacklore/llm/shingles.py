@@ -97,34 +97,53 @@ def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
     return out
 
 
-def similar_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs of shingle sets with a Jaccard similarity of ``threshold`` or more, by exact counts."""
+def apart(one: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, int]:
+    """What is in one of two sets alone, and how many are in both."""
+    other = np.setxor1d(one, base, assume_unique=True)
+    return other, (len(one) + len(base) - len(other)) // 2
+
+
+def in_common(sets: list[np.ndarray], pairs: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of the sizes of the intersections of all pairs of sets, by exact counts; of few sets only where ``pairs``
+    says so."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
     common = np.zeros((n, n), np.int64)
     if n <= 8:
         for i in range(n):
             for j in range(i):
-                if min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]) > 0:
+                if pairs is None or pairs[i, j]:
                     common[i, j] = common[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        first = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
-        column = np.cumsum(first) - 1
-        keep = np.bincount(column)[column] > 1 if len(flat) else first
-        owner, column = owner[keep], column[keep]
-        if len(column):
-            column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
-            for a in range(0, int(column[-1]) + 1, 4096):
-                lo, hi = np.searchsorted(column, (a, a + 4096))
-                block = np.zeros((n, 4096), np.float32)
-                block[owner[lo:hi], column[lo:hi] - a] = 1
-                common += (block @ block.T).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - common
-    # in whole numbers, so that a similarity of exactly the threshold counts
-    scale = 1_000_000
-    found = (common * scale >= np.int64(round(threshold * scale)) * union) & (union > 0) & (common > 0)
+        return common
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
+    column = np.cumsum(first) - 1
+    keep = np.bincount(column)[column] > 1 if len(flat) else first
+    owner, column = owner[keep], column[keep]
+    if len(column):
+        column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
+        for a in range(0, int(column[-1]) + 1, 4096):
+            lo, hi = np.searchsorted(column, (a, a + 4096))
+            block = np.zeros((n, 4096), np.float32)
+            block[owner[lo:hi], column[lo:hi] - a] = 1
+            common += (block @ block.T).astype(np.int64)
+    return common
+
+
+def similar_pairs(sets: list[np.ndarray], threshold: float, sizes: np.ndarray | None = None, kept: np.ndarray | None = None, base: int = 0) -> np.ndarray:
+    """Boolean matrix of the pairs of shingle sets with a Jaccard similarity of ``threshold`` or more, by exact counts.
+
+    Sets may be given as what they have apart from a base set of ``base`` shingles, with their ``sizes`` and how many of
+    the base they ``kept``: two sets have in common what both kept of the base, and what both have apart from it and add."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64) if sizes is None else sizes
+    kept = np.zeros(n, np.int64) if kept is None else kept
+    scale = 1_000_000  # in whole numbers, so that a similarity of exactly the threshold counts
+    least = np.int64(round(threshold * scale))
+    near = np.minimum(sizes[:, None], sizes[None, :]) * scale >= least * np.maximum(sizes[:, None], sizes[None, :])
+    common = in_common(sets, near) + kept[:, None] + kept[None, :] - base
+    found = near & (common * scale >= least * (sizes[:, None] + sizes[None, :] - common)) & (common > 0)
     np.fill_diagonal(found, False)
     return found

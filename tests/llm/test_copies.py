@@ -114,6 +114,16 @@ def test_similar_pairs(n):
         assert found[a, b] == (10 * common >= 8 * (len(sets[a]) + len(sets[b]) - common))
 
 
+@pytest.mark.parametrize("n", [5, 30])
+def test_sets_apart_from_a_base_give_the_same_pairs(n):
+    rng = np.random.default_rng(n)
+    base = np.unique(rng.integers(0, 1 << 40, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate((base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 40, rng.integers(0, 6)).astype(np.uint64)))) for _ in range(n)] + [base, base[:3]]
+    cut = [S.apart(x, base) for x in sets]
+    got = S.similar_pairs([x for x, _ in cut], 0.8, np.array([len(x) for x in sets]), np.array([k for _, k in cut]), len(base))
+    assert (got == S.similar_pairs(sets, 0.8)).all() and got.any()
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)]
