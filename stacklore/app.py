@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import argparse
+import json
 import uuid
+from dataclasses import asdict
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import NotFound, Validation
+from .config import Settings
+from .errors import LibraryError, NotFound, Serialization, Validation
 from .functions import text as T
 from .library import Library
 from .operators import export, graph, identity, scans, search, stats, topics
-from .schema import TABLES
-from .sources import bibtex, json_sources
+from .schema import MAX_KEYWORDS, TABLES
+from .scratch import Scratch
+from .sources import atom, bibtex, json_sources, pages
 
 
 class Research:
@@ -37,40 +44,96 @@ class Research:
     # papers ------------------------------------------------------------------------------------------------------
 
     def store(self, records: DataFrame, topic_id: str | None = None) -> dict[str, int]:
-        """Stores the records that the library lacks; all of them, old and new, are linked to the topic."""
+        """Stores the records that the library lacks; all of them, old and new, are linked to the topic. Their ids are
+        written down before they are used, so that a lost executor can't make others."""
         if topic_id is not None:
             self._topic(topic_id)
+        scratch = Scratch(self.spark)
         stamped = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
         fill = {c: F.lit(None).cast("string") for c in ("doi", "pdf_path") if c not in records.columns}
-        rows = records.withColumns(fill | {"id": F.expr("uuid()"), "seq": F.monotonically_increasing_id(), "created_at": stamped, "updated_at": stamped}).persist()
-        resolved = identity.resolve_batch(rows, self.library.read("papers").withColumn("seq", F.lit(0))).persist()
+        rows = scratch.save(records.withColumns(fill | {"id": F.expr("uuid()"), "seq": F.monotonically_increasing_id(), "created_at": stamped, "updated_at": stamped}), "rows")
+        resolved = scratch.save(identity.resolve_batch(rows, self.library.read("papers").withColumn("seq", F.lit(0).cast("long"))), "resolved")
         n, new = resolved.count(), resolved.where("is_new")
         added = new.count()
         if added:
             self.library.upsert("papers", new.drop("seq", "matched_id", "matched_by", "is_new"))
+            if "body" in rows.columns:
+                self.library.upsert("bodies", new.where("body is not null").select(F.col("id").alias("paper_id"), "body"))
         if topic_id is not None and n:
             self.library.upsert("topic_papers", resolved.select(F.lit(topic_id).alias("topic_id"), F.coalesce("matched_id", "id").alias("paper_id"), F.lit(0.5).alias("relevance")).distinct())
-        resolved.unpersist()
-        rows.unpersist()
+        scratch.keep()
         return {"imported": added, "skipped_duplicates": n - added}
 
     def import_papers(self, path: str, topic_id: str | None = None) -> dict:
         """Files of a bibliography, in BibTeX or JSON; a file that can't be read is reported and the others count."""
         done: dict = {"imported": 0, "skipped_duplicates": 0, "failed": []}
         bib = bibtex.parse(json_sources.read_documents(self.spark, path, "bib,bibtex")).persist()
-        done["failed"] += [r["file"] for r in bib.where("error is not null").select("file").collect()]
-        for records in (bib.where("error is null").drop("error", "file"), json_sources.bibliography(json_sources.read_documents(self.spark, path, "json")).drop("file")):
+        documents = json_sources.read_documents(self.spark, path, "json").persist()
+        done["failed"] += [r["file"] for r in bib.where("error is not null").select("file").unionByName(json_sources.unreadable(documents).select("file")).orderBy("file").collect()]
+        for records in (bib.where("error is null").drop("error", "file"), json_sources.bibliography(documents).drop("file")):
             got = self.store(records, topic_id)
             done["imported"] += got["imported"]
             done["skipped_duplicates"] += got["skipped_duplicates"]
         bib.unpersist()
+        documents.unpersist()
         return done
 
+    def landed(self, kind: str, path: str) -> DataFrame:
+        """Records of the answers of one service that lie in a folder; of page texts also their bodies."""
+        if kind == "atom":
+            return atom.read(self.spark, path)
+        if kind == "pages":
+            found = pages.papers_and_bodies(self.spark.read.parquet(path))
+            return found.withColumnRenamed("file", "pdf_path")
+        readers = {
+            "openalex": json_sources.openalex, "europe_pmc": json_sources.europe_pmc, "preprints": lambda d: json_sources.europe_pmc(d, True),
+            "semantic_scholar": json_sources.semantic_scholar, "bibliography": lambda d: json_sources.bibliography(d).drop("file"),
+        }
+        if kind not in readers:
+            raise Validation(f"no such source: {kind}")
+        return readers[kind](json_sources.read_documents(self.spark, path, "json"))
+
+    def ingest(self, sources: list[tuple[str, str]], topic_id: str | None = None) -> dict:
+        """Stores what (kind, path) sources hold, one after the other; a source that fails is reported and the others
+        count."""
+        done: dict = {"imported": 0, "skipped_duplicates": 0, "failed": []}
+        if topic_id is not None:
+            self._topic(topic_id)
+        for kind, path in sources:
+            try:
+                got = self.store(self.landed(kind, path), topic_id)
+            except (LibraryError, PySparkException, Py4JJavaError) as error:
+                done["failed"].append(f"{kind} {path}: {str(error).splitlines()[0]}")
+                continue
+            done["imported"] += got["imported"]
+            done["skipped_duplicates"] += got["skipped_duplicates"]
+        return done
+
+    def sync_references(self, paper_id: str, path: str, cited_by: bool = False) -> int:
+        """Links a paper to the library's papers among the works in a folder: those it cites, or those that cite it. Gives
+        the number of new edges."""
+        one = self.library.get_paper(paper_id)
+        if one.isEmpty():
+            raise NotFound(f"papers: {paper_id}")
+        works = json_sources.openalex_related(json_sources.read_documents(self.spark, path, "json")).withColumn("source_id", F.lit(paper_id))
+        linked = identity.link_related(works, self.library.read("papers").withColumn("seq", F.lit(0).cast("long")))
+        return self.library.insert_citations(graph.edges_of(linked, cited_by))
+
+    def sync_intents(self, paper_id: str, path: str, cited_by: bool = False) -> int:
+        """Labels a paper's stored edges, in one direction, by the intents in a folder. Gives the number of labels."""
+        found = json_sources.citation_intents(json_sources.read_documents(self.spark, path, "json")).withColumn("paper_id", F.lit(paper_id))
+        papers = self.library.read("papers").withColumn("seq", F.lit(0).cast("long"))
+        labelled = graph.label_intents(self.library.read("citations"), found, papers, cited_by).where("changed").drop("changed")
+        n = labelled.count()
+        if n:
+            self.library.upsert("citations", labelled)
+        return n
+
     def query(self, text: str, limit: int = 20) -> DataFrame:
         return self.library.search(text, scans.page(limit, 20, 1000))
 
     def evidence(self, text: str, limit: int = 10, paper_id: str | None = None) -> DataFrame:
-        return self.library.evidence(text, scans.page(limit, 10, 1000), paper_id)
+        return self.library.evidence(text, scans.page(limit, 10, 1000), paper_id).withColumn("place", T.place(F.col("section"), F.col("page")))
 
     def body(self, paper_id: str) -> DataFrame:
         return scans.body_capped(scans.get(self.library.read("bodies"), "paper_id", paper_id))
@@ -81,6 +144,27 @@ class Research:
             raise NotFound(f"papers: {paper_id}")
         return graph.listing(self.library.read("citations"), self.library.read("papers"), one.select("id"), cited_by).orderBy("seq", "other_id")
 
+    def keyword_reply(self, reply: str) -> int:
+        """Keywords of a model's reply to papers that have none. Gives the number of papers; a reply without any valid line
+        is an error."""
+        lines = self.spark.createDataFrame([(reply,)], "reply string").select(F.inline(T.keyword_lines(F.col("reply"))))
+        if lines.isEmpty():
+            raise Serialization("no line of the reply has keywords")
+        papers = self.library.read("papers").where("keywords = ''")
+        last = lines.groupBy("paper_id").agg(F.max("keywords").alias("new")).withColumnRenamed("paper_id", "id")
+        changed = papers.join(F.broadcast(last), "id").withColumn("keywords", F.substring("new", 1, MAX_KEYWORDS)).drop("new")
+        n = changed.count()
+        if n:
+            self.library.upsert("papers", changed)
+        return n
+
+    def gap_reply(self, topic_id: str, reply: str) -> int:
+        """Gaps of a model's reply; one without any valid line is an error."""
+        found = self.spark.createDataFrame([(reply,)], "reply string").select(F.inline(T.gap_lines(F.col("reply")))).collect()
+        if not found:
+            raise Serialization("no line of the reply has a gap")
+        return self.record_gaps(topic_id, [{"gap_type": r["gap_type"], "description": r["description"]} for r in found])
+
     def missing_keywords(self, limit: int = 20, topic_id: str | None = None) -> DataFrame:
         n, papers = scans.page(limit, 20, 200), self.library.read("papers")
         return scans.missing_keywords(papers, n) if topic_id is None else scans.missing_keywords_by_topic(papers, self.library.read("topic_papers"), topic_id, n)
@@ -129,7 +213,7 @@ class Research:
     # reports and counts ------------------------------------------------------------------------------------------
 
     def report_material(self, topic_ids: str) -> DataFrame:
-        return topics.report_material([x.strip() for x in topic_ids.split(",") if x.strip()], self.briefs())
+        return topics.report_material(self._list(topic_ids), self.briefs())
 
     def report_save(self, title: str, topic_ids: list[str], markdown: str) -> str:
         key = str(uuid.uuid4())
@@ -138,6 +222,10 @@ class Research:
         self._one("reports", id=key, title=title, topic_ids=topic_ids, content=content)
         return key
 
+    def _list(self, text: str) -> list[str]:
+        found = self.spark.createDataFrame([(text,)], "t string").select(F.filter(T.comma_list(F.col("t")), lambda x: x != "").alias("l"))
+        return found.first()["l"]
+
     def overview(self) -> DataFrame:
         read = self.library.read
         return stats.overview(read("topics"), read("papers"), read("gaps"), read("reports"))
@@ -159,25 +247,54 @@ class Research:
         return topics.keyword_batch(self.library.read("papers"))
 
 
+def shown(rows: DataFrame, limit: int) -> str:
+    """The first rows as JSON lines."""
+    return "\n".join(rows.limit(limit).toJSON().collect())
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="stacklore")
     parser.add_argument("root")
-    parser.add_argument("command", choices=("import", "query", "evidence", "references", "topics", "topic-add", "brief", "gaps", "report", "status", "pipeline", "history", "read", "enrich", "index"))
+    parser.add_argument("command", choices=COMMANDS)
     parser.add_argument("values", nargs="*")
     parser.add_argument("--limit", type=int, default=20)
     parser.add_argument("--topic")
+    parser.add_argument("--json", action="store_true", help="rows as JSON lines")
     a = parser.parse_args(arguments)
     r = Research(SparkSession.builder.getOrCreate(), a.root)
-    first = a.values[0] if a.values else ""
-    done = {
-        "import": lambda: r.import_papers(first, a.topic), "query": lambda: r.query(" ".join(a.values), a.limit), "evidence": lambda: r.evidence(" ".join(a.values), a.limit), "references": lambda: r.references(first),
-        "topics": r.topics, "topic-add": lambda: r.topic_add(first, a.topic), "brief": lambda: r.brief(first), "gaps": lambda: r.gaps(a.topic), "report": lambda: r.report_material(first), "status": r.overview,
-        "pipeline": r.pipeline, "history": r.history, "read": lambda: r.library.set_reading_status(*a.values[:2]), "enrich": lambda: r.missing_keywords(a.limit, a.topic), "index": r.library.rebuild_index,
-    }[a.command]()
+    done = COMMANDS[a.command](r, a, *a.values)
     if isinstance(done, DataFrame):
-        done.show(a.limit, truncate=100)
+        print(shown(done, a.limit)) if a.json else done.show(a.limit, truncate=100)
     elif done is not None:
-        print(done)
+        print(json.dumps(done) if a.json else done)
+
+
+#: What each command does with its values.
+COMMANDS = {
+    "import": lambda r, a, path: r.import_papers(path, a.topic),
+    "ingest": lambda r, a, *pairs: r.ingest(list(zip(pairs[::2], pairs[1::2], strict=True)), a.topic),
+    "query": lambda r, a, *words: r.query(" ".join(words), a.limit),
+    "evidence": lambda r, a, *words: r.evidence(" ".join(words), a.limit),
+    "references": lambda r, a, paper: r.references(paper),
+    "cited-by": lambda r, a, paper: r.references(paper, True),
+    "topics": lambda r, a: r.topics(),
+    "topic-add": lambda r, a, name: r.topic_add(name, a.topic),
+    "brief": lambda r, a, topic: r.brief(topic),
+    "gaps": lambda r, a: r.gaps(a.topic),
+    "report": lambda r, a, ids: r.report_material(ids),
+    "report-save": lambda r, a, title, ids, file: r.report_save(title, r._list(ids), Path(file).read_text(encoding="utf-8")),
+    "status": lambda r, a: r.overview(),
+    "pipeline": lambda r, a: r.pipeline(),
+    "history": lambda r, a: r.history(),
+    "read": lambda r, a, paper, stage: r.library.set_reading_status(paper, stage),
+    "rate": lambda r, a, paper, stars: r.library.set_rating(paper, int(stars) or None),
+    "enrich": lambda r, a: r.missing_keywords(a.limit, a.topic),
+    "keywords": lambda r, a, file: r.keyword_reply(Path(file).read_text(encoding="utf-8")),
+    "reingest": lambda r, a: r.reingest_worklist(),
+    "export": lambda r, a, path: r.export_plan(json_sources.remote_items(json_sources.read_documents(r.spark, path, "json"))),
+    "index": lambda r, a: r.library.rebuild_index(),
+    "init": lambda r, a, path: asdict(Settings.load_or_create(path)),
+}
 
 
 if __name__ == "__main__":

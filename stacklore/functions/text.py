@@ -14,13 +14,17 @@ HEADINGS = (
 )
 
 
+#: White space of any script; the regular expressions' own sign for it is that of ASCII.
+WHITE = r"\p{IsWhite_Space}"
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without white space of any script at either end."""
+    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+$", "")
 
 
 def normalize_doi(c: Column) -> Column:
@@ -28,8 +32,8 @@ def normalize_doi(c: Column) -> Column:
 
 
 def normalize_title(c: Column) -> Column:
-    words = F.regexp_replace(c, r"[^\p{IsAlphabetic}\p{N}\s]", "")
-    return F.lower(F.trim(F.regexp_replace(words, r"\s+", " ")))
+    words = F.regexp_replace(c, rf"[^\p{{IsAlphabetic}}\p{{N}}{WHITE}]", "")
+    return F.lower(F.trim(F.regexp_replace(words, rf"{WHITE}+", " ")))
 
 
 def work_id(c: Column) -> Column:

@@ -1,12 +1,13 @@
 """A library on disk: append-only logs of changes, read as the latest state of each key.
 
-Every write appends one batch of rows with a sequence number, so a reader sees whole batches or none. ``compact``
-rewrites a table as a fresh snapshot.
+Every write adds one folder of rows with a sequence number, so a reader sees whole batches or none. ``compact`` adds a
+snapshot as one more batch and only then deletes the older ones, oldest first: whenever it stops, readers see the same.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ class Library:
 
     def _log(self, table: str) -> DataFrame | None:
         try:
-            return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}")
+            return self.spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(f"{self.root}/{table}")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
                 return None
@@ -37,7 +38,8 @@ class Library:
         log = self._log(table)
         if log is None:
             return self.spark.createDataFrame([], schema)
-        w = Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc("_row"))
+        writer = "_writer" if "_writer" in log.columns else F.lit("")
+        w = Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc(writer) if isinstance(writer, str) else writer, F.desc("_row"))
         rows = log.withColumn("_n", F.row_number().over(w)).where("_n = 1 and not _deleted")
         columns = []
         for f in schema.fields:
@@ -48,17 +50,25 @@ class Library:
     def upsert(self, table: str, rows: DataFrame, deleted: bool = False) -> None:
         """Later rows replace earlier ones of the same key; other tables keep what belongs to the key."""
         known = {f.name for f in TABLES[table][0].fields}
-        batch = rows.select(*[c for c in rows.columns if c in known]).withColumns({"_batch": F.lit(time.time_ns()), "_row": F.monotonically_increasing_id(), "_deleted": F.lit(deleted)})
-        batch.write.mode("append").parquet(f"{self.root}/{table}")
+        self._write(table, rows.select(*[c for c in rows.columns if c in known]), deleted)
+
+    def _write(self, table: str, rows: DataFrame, deleted: bool) -> str:
+        """Two writers of one moment are told apart by a name of their own."""
+        batch, writer = time.time_ns(), uuid.uuid4().hex
+        name = f"{batch:020d}-{writer}"
+        rows.withColumns({"_batch": F.lit(batch), "_writer": F.lit(writer), "_row": F.monotonically_increasing_id(), "_deleted": F.lit(deleted)}).write.parquet(f"{self.root}/{table}/{name}")
+        return name
+
+    def _files(self, table: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return files, sorted((x.getPath() for x in (files.listStatus(path) if files.exists(path) else [])), key=lambda p: p.getName())
 
     def compact(self, table: str) -> None:
-        rows = self.read(table)
-        fresh = f"{self.root}/{table}.new"
-        rows.withColumns({"_batch": F.lit(time.time_ns()), "_row": F.monotonically_increasing_id(), "_deleted": F.lit(False)}).write.mode("overwrite").parquet(fresh)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path(f"{self.root}/{table}"), True)
-        fs.rename(path(fresh), path(f"{self.root}/{table}"))
+        files, old = self._files(table)
+        self._write(table, self.read(table), False)
+        for path in old:
+            files.delete(path, True)
 
     def _change(self, table: str, key: str, value: str, required: bool = True, **columns) -> None:
         row = self.read(table).where(F.col(key) == value)
@@ -119,24 +129,53 @@ class Library:
         return scans.get(self.read("papers"), "id", paper_id)
 
     def search(self, query: str, k: int = 20) -> DataFrame:
-        papers = self.read("papers")
-        return search.search_merged(papers, self.read("bodies"), query, k).join(papers, "id").orderBy("tier", "rank", "id")
+        """By the index where it is up to date, else by all rows; both rank alike."""
+        papers, bodies = self.read("papers"), self.read("bodies")
+        found = self.prefiltered(query) if search.query_terms(query) and self.index_is_fresh() else None
+        if found is None:
+            hits = search.search_merged(papers, bodies, query, k)
+        else:
+            totals = self.spark.read.parquet(f"{self.root}/index/totals")
+            of = lambda kind: totals.where(F.col("kind") == kind).select("n", "mean")
+            some = bodies.join(found.where("kind = 'bodies'").select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+            hits = search.search_merged(papers.join(found.where("kind = 'papers'").select("id"), "id", "left_semi"), some, query, k, of("papers"), of("bodies"), papers.select("id"))
+        return hits.join(papers, "id").orderBy("tier", "rank", "id")
 
     def evidence(self, query: str, k: int = 10, paper_id: str | None = None) -> DataFrame:
         return search.evidence(self.read("papers"), self.read("bodies"), query, k, paper_id)
 
+    def _state(self) -> str:
+        """The newest batch of each searched table."""
+        return ",".join((self._files(t)[1] or [None])[-1].getName() if self._files(t)[1] else "" for t in ("papers", "bodies"))
+
+    def index_is_fresh(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/index/totals/_SUCCESS")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return False
+        first = self.spark.read.parquet(f"{self.root}/index/totals").first()
+        return first is not None and first["state"] == self._state()
+
     def rebuild_index(self) -> None:
-        """Writes the gram postings that ``prefiltered`` reads: (gram, id) for all trigrams of the searched columns."""
-        p = self.read("papers")
-        text = F.lower(F.concat_ws("\x00", "title", "abstract_text", "notes", F.to_json("tags"), "keywords"))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
-        p.select("id", F.explode(grams).alias("gram")).repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.root}/postings")
+        """Writes the postings that search reads: (gram, kind, id) for all trigrams of the searched columns of papers and
+        bodies, and of each kind the number of rows and their mean size, by which ranks stay those of all rows. A later
+        write makes the index stale, and search reads all rows again until the next rebuild."""
+        state, grams, totals = self._state(), None, None
+        for kind, rows, fields in (("papers", self.read("papers"), search.FIELDS), ("bodies", self.read("bodies").withColumnRenamed("paper_id", "id"), ("body",))):
+            text = search.searched_text(rows, fields)
+            all_grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.substring("text", i, F.lit(3))))
+            one = text.select(F.lit(kind).alias("kind"), "id", F.explode(all_grams).alias("gram"))
+            total = text.agg(F.count("*").alias("n"), F.coalesce(F.avg("size"), F.lit(0.0)).alias("mean")).select(F.lit(kind).alias("kind"), "n", "mean", F.lit(state).alias("state"))
+            grams, totals = (one, total) if grams is None else (grams.unionByName(one), totals.unionByName(total))
+        grams.repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{self.root}/index/postings")
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/index/totals")
 
     def prefiltered(self, query: str) -> DataFrame:
-        """Papers that hold all trigrams of all terms, a superset of the matches, by the postings."""
-        grams = sorted({t[i : i + 3] for t in search.query_terms(query) for i in range(len(t) - 2)})
-        ids = self.spark.read.parquet(f"{self.root}/postings").where(F.col("gram").isin(grams)).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
-        return self.read("papers").join(ids.select("id"), "id", "left_semi")
+        """kind, id of what holds all trigrams of one of the terms at least, a superset of what holds a term: the rows that
+        the numbers of rows with each term, and so the ranks, depend on."""
+        terms = search.query_terms(query)
+        wanted = self.spark.createDataFrame([(i, t[j : j + 3], len({t[k : k + 3] for k in range(len(t) - 2)})) for i, t in enumerate(terms) for j in range(len(t) - 2)], "term int, gram string, need int").distinct()
+        found = self.spark.read.parquet(f"{self.root}/index/postings").join(F.broadcast(wanted), "gram").where(F.col("gram").isin([t[j : j + 3] for t in terms for j in range(len(t) - 2)]))
+        return found.groupBy("kind", "id", "term", "need").agg(F.count_distinct("gram").alias("n")).where("n = need").select("kind", "id").distinct()
 
     def reports(self) -> DataFrame:
         return self.read("reports").withColumn("sections", T.report_sections(F.col("content")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-OUTCOMES = ("update", "unchanged", "no_doi", "not_in_remote", "ambiguous")
+OUTCOMES = ("update", "unchanged", "no_doi", "not_in_remote", "ambiguous", "conflict", "failed")
 
 
 def plan(papers: DataFrame, items: DataFrame) -> DataFrame:
@@ -24,5 +24,13 @@ def plan(papers: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("id", "outcome", F.when(single, F.col("key")).alias("key"), F.when(single, F.col("version")).alias("version"), F.when(F.col("outcome") == "update", F.col("merged")).alias("merged"))
 
 
+def settled(planned: DataFrame, answers: DataFrame) -> DataFrame:
+    """The plan after its writes were answered (key, status): an item that changed in between, status 412, is a conflict,
+    any other refusal of an update a failure."""
+    said = answers.groupBy("key").agg(F.max("status").alias("__status"))
+    bad = F.when(F.col("__status") == 412, "conflict").when(F.col("__status") >= 400, "failed")
+    return planned.join(said, "key", "left").withColumn("outcome", F.when(F.col("outcome") == "update", F.coalesce(bad, "outcome")).otherwise(F.col("outcome"))).select(*planned.columns)
+
+
 def summary(planned: DataFrame) -> DataFrame:
     return planned.groupBy("outcome").agg(F.count("*").alias("n"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import Scratch
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -21,49 +19,67 @@ def _first(rows: DataFrame, key, name: str) -> DataFrame:
     return rows.select(key.alias(f"k_{name}"), "id", "seq").where(F.col(f"k_{name}").isNotNull()).groupBy(f"k_{name}").agg(F.min_by("id", F.struct("seq", "id")).alias(f"by_{name}"), F.min("seq").alias(f"seq_{name}"))
 
 
-def resolve(incoming: DataFrame, library: DataFrame) -> DataFrame:
-    """incoming with matched_id and matched_by: identifier, then path, then title. Three equi-joins, no OR."""
+def _around(key, *ids: str):
+    """The key, or for rows without one a value of their own that no key equals, so that they don't share one task."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*ids).cast("string")))
+
+
+def _library_matches(incoming: DataFrame, library: DataFrame) -> DataFrame:
+    """incoming with its keys and the library's earliest row by each: by_doi, by_path, by_title. Three equi-joins, no OR."""
     out = keyed(incoming)
     for name, key in (("doi", T.normalize_doi(F.col("doi"))), ("path", F.col("pdf_path")), ("title", T.blank_to_null(T.normalize_title(F.col("title"))))):
-        out = out.join(_first(library, key, name), f"k_{name}", "left")
+        first = _first(library, key, name).withColumnRenamed(f"k_{name}", "__k").drop(f"seq_{name}")
+        out = out.withColumn("__k", _around(F.col(f"k_{name}"), "id", "seq")).join(first, "__k", "left").drop("__k")
+    return out
+
+
+def resolve(incoming: DataFrame, library: DataFrame) -> DataFrame:
+    """incoming with matched_id and matched_by: identifier, then path, then title."""
+    out = _library_matches(incoming, library)
     by = F.when(F.col("by_doi").isNotNull(), "doi").when(F.col("by_path").isNotNull(), "path").when(F.col("by_title").isNotNull(), "title")
     return out.select(*incoming.columns, F.coalesce("by_doi", "by_path", "by_title").alias("matched_id"), by.alias("matched_by"))
 
 
+KINDS = ("doi", "path", "title")
+
+
+def _long(rows: DataFrame, **keys: str) -> DataFrame:
+    """id, at, kind, key: one row for each key that a row has."""
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(column).alias("key")) for kind, column in keys.items()]))
+    return rows.select("id", F.struct("seq", "id").alias("at"), each.alias("k")).select("id", "at", "k.*").where("key is not null")
+
+
 def resolve_batch(incoming: DataFrame, library: DataFrame) -> DataFrame:
-    """As if the rows came one by one, in order of seq: a row also matches an earlier row of the batch that was itself
-    inserted. Adds is_new. Rounds of joins to a fixed point; each round is written to the shared folder."""
-    spark = incoming.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stacklore-")
-    root = f"{base}/batch-{uuid.uuid4().hex}"
-
-    def saved(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
-    rows = saved(keyed(resolve(incoming, library)), "resolved")
-    open_rows = rows.where("matched_id is null")
-    all_titles = open_rows.withColumn("own_title", T.blank_to_null(T.normalize_title(F.col("title"))))
-    edges = None
-    for name, own in (("doi", "k_doi"), ("path", "k_path"), ("title", "own_title")):
-        earlier = all_titles.select(F.col(own).alias(f"k_{name}"), F.col("id").alias("before"), F.col("seq").alias("before_seq"))
-        one = open_rows.join(earlier, f"k_{name}").where("before_seq < seq").select("id", "before", "before_seq", F.lit(name).alias("by"))
-        edges = one if edges is None else edges.unionByName(one)
-    edges = saved(edges, "edges")
-    known, k = saved(open_rows.join(edges.select("id"), "id", "left_anti").select("id", F.lit(True).alias("inserted")), "known0"), 0
-    while True:
-        left = edges.join(known.select("id"), "id", "left_anti")
-        if left.isEmpty():
-            break
-        told = left.join(known.select(F.col("id").alias("before"), "inserted"), "before", "left")
-        decided = told.groupBy("id").agg(F.bool_or(F.coalesce("inserted", F.lit(False))).alias("hit"), F.bool_and(F.col("inserted").isNotNull()).alias("all_known"))
+    """As if the rows came one by one, in order of seq, ids being unique: a row also matches an earlier row of the batch
+    that was itself inserted, and an identifier met there outranks a path or title met in the library. Adds is_new.
+
+    Rounds to a fixed point. In each, a key has one row, its first inserted and its first undecided offer: a row with an
+    earlier inserted offer is a duplicate, one that waits for no earlier undecided offer is new. So no round joins a
+    row to more than its three keys. Rounds are written to the shared folder."""
+    scratch = Scratch(incoming.sparkSession)
+    rows = scratch.save(_library_matches(incoming, library).withColumn("own_title", T.blank_to_null(T.normalize_title(F.col("title")))), "rows")
+    undecided = scratch.save(rows.where("by_doi is null and by_path is null and by_title is null").select("id", "seq", *(f"k_{x}" for x in KINDS), "own_title"), "open0")
+    inserted, k = scratch.save(undecided.where("false"), "inserted0"), 0
+    first = lambda offers, name: _long(offers, doi="k_doi", path="k_path", title="own_title").groupBy("kind", "key").agg(F.min("at").alias(name))
+    while not undecided.isEmpty():
+        asked = _long(undecided, doi="k_doi", path="k_path", title="k_title").join(first(undecided, "waiting"), ["kind", "key"], "left").join(first(inserted, "stored"), ["kind", "key"], "left")
+        told = asked.groupBy("id").agg(F.bool_or(F.coalesce(F.col("stored") < F.col("at"), F.lit(False))).alias("hit"), F.bool_or(F.coalesce(F.col("waiting") < F.col("at"), F.lit(False))).alias("waits"))
+        no = F.lit(False)
+        state = scratch.save(undecided.join(told, "id", "left").withColumns({"hit": F.coalesce("hit", no), "waits": F.coalesce("waits", no)}), f"state{k}")
         k += 1
-        known = saved(known.unionByName(decided.where("hit or all_known").select("id", (~F.col("hit")).alias("inserted"))), f"known{k}")
-    rank = F.when(F.col("by") == "doi", 0).when(F.col("by") == "path", 1).otherwise(2)
-    inside = edges.join(known.where("inserted").select(F.col("id").alias("before")), "before").groupBy("id").agg(F.min(F.struct(rank.alias("r"), "before_seq", "before", "by")).alias("m"))
-    out = rows.join(inside, "id", "left").join(known, "id", "left")
-    # an identifier met inside the batch outranks a path or title met in the library
-    return out.select(*incoming.columns, F.coalesce("matched_id", "m.before").alias("matched_id"), F.coalesce("matched_by", "m.by").alias("matched_by"), F.coalesce("inserted", F.lit(False)).alias("is_new"))
+        inserted = scratch.save(inserted.unionByName(state.where("not hit and not waits").drop("hit", "waits")), f"inserted{k}")
+        undecided = scratch.save(state.where("not hit and waits").drop("hit", "waits"), f"open{k}")
+    offers = scratch.save(first(inserted, "stored"), "offers")
+    out = rows
+    for kind in KINDS:
+        mine = offers.where(F.col("kind") == kind).select(F.col("key").alias("__k"), F.col("stored").alias(f"in_{kind}"))
+        out = out.withColumn("__k", _around(F.col(f"k_{kind}"), "id", "seq")).join(mine, "__k", "left").drop("__k")
+        earlier = F.col(f"in_{kind}") < F.struct("seq", "id")
+        out = out.withColumn(f"any_{kind}", F.coalesce(f"by_{kind}", F.when(earlier, F.col(f"in_{kind}.id"))))
+    by = F.when(F.col("any_doi").isNotNull(), "doi").when(F.col("any_path").isNotNull(), "path").when(F.col("any_title").isNotNull(), "title")
+    matched = F.coalesce(*(f"any_{x}" for x in KINDS))
+    scratch.keep("rows", "offers")
+    return out.select(*incoming.columns, matched.alias("matched_id"), by.alias("matched_by"), matched.isNull().alias("is_new"))
 
 
 def link_related(related: DataFrame, library: DataFrame) -> DataFrame:

@@ -35,16 +35,29 @@ def _lowered(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return rows.withColumns({f"__{i}": F.lower(F.coalesce(text(f), F.lit(""))) for i, f in enumerate(fields)})
 
 
-def ranked(rows: DataFrame, query: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Rows that hold all terms, with ``rank``: BM25 with smaller for better. Statistics are one aggregated row."""
+def _size(columns: list[Column]) -> Column:
+    return reduce(Column.__add__, [F.greatest(F.length(c) - 2, F.lit(0)) for c in columns])
+
+
+def searched_text(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """id, text, size: the searched columns in lower case, apart from each other, and their size in trigrams."""
+    columns = [F.col(f"__{i}") for i in range(len(fields))]
+    return _lowered(rows, fields).select("id", F.concat_ws("\x00", *columns).alias("text"), _size(columns).alias("size"))
+
+
+def ranked(rows: DataFrame, query: str, fields: tuple[str, ...] = FIELDS, totals: DataFrame | None = None) -> DataFrame:
+    """Rows that hold all terms, with ``rank``: BM25 with smaller for better. Statistics are one aggregated row. If
+    ``rows`` are only those that hold a term, ``totals`` (n, mean) are the number of all rows and their mean size."""
     terms = query_terms(query)
     if not terms:
         return rows.where(F.lit(False)).withColumn("rank", F.lit(0.0))
     low = _lowered(rows, fields)
     columns = [F.col(f"__{i}") for i in range(len(fields))]
-    size = reduce(Column.__add__, [F.greatest(F.length(c) - 2, F.lit(0)) for c in columns])
+    size = _size(columns)
     holds = [reduce(Column.__or__, [c.contains(t) for c in columns]) for t in terms]
     stats = low.agg(F.count("*").alias("__n"), F.avg(size).alias("__avg"), *[F.count_if(h).alias(f"__d{i}") for i, h in enumerate(holds)])
+    if totals is not None:
+        stats = stats.drop("__n", "__avg").join(F.broadcast(totals.select(F.col("n").alias("__n"), F.col("mean").alias("__avg"))))
     found = low.where(reduce(Column.__and__, holds)).join(F.broadcast(stats))
     score = F.lit(0.0)
     for i, t in enumerate(terms):
@@ -54,15 +67,16 @@ def ranked(rows: DataFrame, query: str, fields: tuple[str, ...] = FIELDS) -> Dat
     return found.withColumn("rank", -score).select(*rows.columns, "rank")
 
 
-def top(rows: DataFrame, query: str, k: int, key: str = "id", fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    return ranked(rows, query, fields).orderBy("rank", key).limit(k)
+def top(rows: DataFrame, query: str, k: int, key: str = "id", fields: tuple[str, ...] = FIELDS, totals: DataFrame | None = None) -> DataFrame:
+    return ranked(rows, query, fields, totals).orderBy("rank", key).limit(k)
 
 
-def search_merged(papers: DataFrame, bodies: DataFrame, query: str, k: int) -> DataFrame:
-    """Hits in metadata by rank, then papers hit only in their bodies by rank, k in all: id, tier, rank."""
-    meta = top(papers, query, k).select("id", F.lit(0).alias("tier"), "rank")
-    body = ranked(bodies, query, ("body",)).select(F.col("paper_id").alias("id"), F.lit(1).alias("tier"), "rank")
-    body = body.join(papers.select("id"), "id", "left_semi").join(meta.select("id"), "id", "left_anti").orderBy("rank", "id").limit(k)
+def search_merged(papers: DataFrame, bodies: DataFrame, query: str, k: int, of_papers: DataFrame | None = None, of_bodies: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Hits in metadata by rank, then papers hit only in their bodies by rank, k in all: id, tier, rank. Where the tables
+    are only what an index found, it gives their totals and the ids of all papers."""
+    meta = top(papers, query, k, totals=of_papers).select("id", F.lit(0).alias("tier"), "rank")
+    body = ranked(bodies, query, ("body",), of_bodies).select(F.col("paper_id").alias("id"), F.lit(1).alias("tier"), "rank")
+    body = body.join(papers.select("id") if known is None else known, "id", "left_semi").join(meta.select("id"), "id", "left_anti").orderBy("rank", "id").limit(k)
     return meta.unionByName(body).orderBy("tier", "rank", "id").limit(k)
 
 

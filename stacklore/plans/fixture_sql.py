@@ -29,7 +29,7 @@ VIEWS = {
     "gaps": "SELECT 'g' || o_orderkey AS id, 'gap ' || o_orderkey || ' ' || o_orderpriority AS description, 'n' || c_nationkey AS topic_id, CASE o_orderpriority WHEN '2-HIGH' THEN 'unanswered_question' WHEN '3-MEDIUM' THEN 'methodology_gap' WHEN '4-NOT SPECIFIED' THEN 'connection_gap' ELSE 'missing_literature' END AS gap_type, greatest(0.0, least(1.0, o_totalprice / 400000)) AS priority, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS discovered_at FROM orders JOIN customer ON o_custkey = c_custkey",
     "state": "SELECT 'n' || n_nationkey AS topic_id, n_nationkey % 7 AS papers_read, n_nationkey % 5 AS papers_queued, 0 AS gaps_identified, (n_nationkey % 10) / 10.0::DOUBLE AS coverage_score FROM nation WHERE n_nationkey % 2 = 0",
     "reports": "SELECT 'rep' || r_regionkey AS id, r_name AS title, CASE WHEN r_regionkey = 0 THEN '# T' || chr(10) || chr(10) || 'plain ' || r_regionkey ELSE '# ' || r_name || chr(10) || 'lead' || chr(10) || '## Scope ' || chr(10) || 'All of ' || r_name || chr(10) || 'and more' || chr(10) || chr(10) || '## Open questions' || chr(10) || chr(10) || 'Number ' || r_regionkey || chr(10) END AS content, '2024-01-0' || r_regionkey AS generated_at FROM region",
-    "incoming": "SELECT 'i' || doc_id AS id, replace(substring(split_part(text, chr(10), 1), 1, 80), ' ', ' - ') || ' !' AS title, CASE WHEN doc_id % 6 < 4 THEN 'https://dx.doi.org/10.1/X' || (doc_id // 12) END AS doi, CASE WHEN doc_id % 11 = 0 THEN '/pdf/' || doc_id || '.pdf' END AS pdf_path, doc_id AS seq FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'b' || item_id, substring(text, 1, 80), NULL, NULL, item_id + 1000000000 FROM benchmark",
+    "incoming": "SELECT 'i' || doc_id AS id, replace(substring(split_part(text, chr(10), 1), 1, 80), ' ', ' - ') || ' !' AS title, CASE WHEN doc_id % 6 < 4 THEN 'https://dx.doi.org/10.1/X' || (doc_id // 12) END AS doi, CASE WHEN doc_id % 11 = 0 THEN '/pdf/' || doc_id || '.pdf' END AS pdf_path, doc_id AS seq FROM documents UNION ALL SELECT 'b' || item_id, substring(text, 1, 80), NULL, NULL, item_id + 1000000000 FROM benchmark",
     "remote_items": "SELECT 'z' || k || '-' || c AS key, '10.1/X' || k AS doi, k + c AS version, CASE WHEN k % 5 = 0 THEN list_concat([' en ', ''], list_concat([('src' || i) for i in range(20)], ['de', 'fr', 'es'])) ELSE [' en ', ' ', 'kept'] END AS tags FROM (SELECT DISTINCT doc_id // 12 AS k FROM documents) CROSS JOIN range(2) t(c) WHERE k % 4 <> 0 AND (c = 0 OR k % 9 = 1)",
 }
 
@@ -45,9 +45,14 @@ def with_views(sql: str) -> str:
     return f"WITH {recursive}{heads}, {body}" if body else f"WITH {heads} {sql}"
 
 
+#: White space of any script, one by one.
+SPACES = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def doi(x: str) -> str:
-    return rf"nullif(lower(regexp_replace(regexp_replace(regexp_replace({x}, '^\s+|\s+$', '', 'g'), '^(https?://(dx\.)?doi\.org/|doi:)', ''), '^\s+|\s+$', '', 'g')), '')"
+    ends = f"^[{SPACES}]+|[{SPACES}]+$"
+    return rf"nullif(lower(regexp_replace(regexp_replace(regexp_replace({x}, '{ends}', '', 'g'), '^(https?://(dx\.)?doi\.org/|doi:)', ''), '{ends}', '', 'g')), '')"
 
 
 def title(x: str) -> str:
-    return rf"lower(trim(regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{N}}\s]', '', 'g'), '\s+', ' ', 'g')))"
+    return rf"lower(trim(regexp_replace(regexp_replace({x}, '[^\p{{L}}\p{{N}}{SPACES}]', '', 'g'), '[{SPACES}]+', ' ', 'g')))"

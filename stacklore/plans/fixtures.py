@@ -87,7 +87,7 @@ class Fixture:
 
     def incoming(self) -> DataFrame:
         n, k = F.col("doc_id"), F.expr("doc_id div 12").cast("string")
-        own = self.table("documents").where(n % 10 == 0).select(F.concat(F.lit("i"), n).alias("id"), F.concat(F.replace(F.substring(F.substring_index("text", "\n", 1), 1, 80), F.lit(" "), F.lit(" - ")), F.lit(" !")).alias("title"), F.when(n % 6 < 4, F.concat(F.lit("https://dx.doi.org/10.1/X"), k)).alias("doi"), F.when(n % 11 == 0, F.concat(F.lit("/pdf/"), n, F.lit(".pdf"))).alias("pdf_path"), n.alias("seq"))
+        own = self.table("documents").select(F.concat(F.lit("i"), n).alias("id"), F.concat(F.replace(F.substring(F.substring_index("text", "\n", 1), 1, 80), F.lit(" "), F.lit(" - ")), F.lit(" !")).alias("title"), F.when(n % 6 < 4, F.concat(F.lit("https://dx.doi.org/10.1/X"), k)).alias("doi"), F.when(n % 11 == 0, F.concat(F.lit("/pdf/"), n, F.lit(".pdf"))).alias("pdf_path"), n.alias("seq"))
         new = self.table("benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("id"), F.substring("text", 1, 80).alias("title"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("pdf_path"), (F.col("item_id") + 1_000_000_000).alias("seq"))
         return own.unionByName(new)
 

@@ -62,8 +62,20 @@ def zotero(documents: DataFrame) -> DataFrame:
     return _records(rows, title=T.strip(f("title")), authors=names, abstract_text=f("abstractNote"), year=T.year_from_text(f("date")), venue=f("publicationTitle"), doi=T.normalize_doi(f("DOI")), url=f("url"), tags=tags)
 
 
+def is_list(content: Column) -> Column:
+    """Whether a text is a JSON array."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(content)).startswith("ARRAY"), F.lit(False))
+
+
+def unreadable(documents: DataFrame) -> DataFrame:
+    """The documents that no dialect can be read from."""
+    return documents.where(~is_list(F.col("content")))
+
+
 def bibliography(documents: DataFrame) -> DataFrame:
-    """JSON files of either dialect, told apart by their first element."""
+    """JSON files of either dialect, told apart by their first element. Documents that aren't JSON arrays give nothing;
+    ``unreadable`` lists them."""
+    documents = documents.where(is_list(F.col("content")))
     return csl(documents.where(~is_zotero(F.col("content")))).unionByName(zotero(documents.where(is_zotero(F.col("content")))))
 
 
@@ -84,6 +96,11 @@ def openalex_references(works: DataFrame) -> DataFrame:
     return works.select(T.work_id(r["id"]).alias("source_id"), F.explode(r["referenced_works"]).alias("ref")).select("source_id", T.work_id(F.col("ref")).alias("openalex_id"))
 
 
+def openalex_related(documents: DataFrame) -> DataFrame:
+    """openalex_id, doi of the works in answers: what a work's references or citers hydrate to."""
+    return openalex(documents).select("openalex_id", "doi")
+
+
 def europe_pmc(documents: DataFrame, preprints: bool = False) -> DataFrame:
     rows = documents.withColumn("r", F.explode(F.from_json("content", EUROPE_PMC)["resultList"]["result"]))
     rows = rows.where(F.col("r.source") == "PPR") if preprints else rows

@@ -17,7 +17,7 @@ def store_new(library: Library, documents: DataFrame) -> int:
     records = json_sources.bibliography(documents)
     digest = F.sha2(F.concat_ws("\x01", "file", "title", F.coalesce("doi", F.lit("")), F.coalesce("url", F.lit(""))), 256)
     rows = records.withColumns({"id": digest, "pdf_path": F.lit(None).cast("string")}).dropDuplicates(["id"]).withColumn("seq", F.conv(F.substring("id", 1, 12), 16, 10).cast("long"))
-    library_rows = library.read("papers").withColumn("seq", F.lit(0))
+    library_rows = library.read("papers").withColumn("seq", F.lit(0).cast("long"))
     resolved = identity.resolve_batch(rows, library_rows)
     new = resolved.where("is_new").drop("seq", "matched_id", "matched_by", "is_new", "file").persist()
     try:

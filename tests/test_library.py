@@ -62,6 +62,31 @@ def test_search_and_postings(library):
     assert library.prefiltered("paper 3").count() >= 1
 
 
+def test_search_by_the_index_equals_search_of_all_rows(spark, library):
+    library.set_body("p2", "a body on traps and quantum noise")
+    library.set_body("p3", "another body, on traps alone")
+    rows = lambda q: [(r["id"], r["tier"], round(r["rank"], 9)) for r in library.search(q, 10).collect()]
+    queries = ("quantum", "paper noise", "traps", "traps quantum", "zzz", "ab")
+    assert not library.index_is_fresh()
+    plain = [rows(q) for q in queries]
+    library.rebuild_index()
+    assert library.index_is_fresh() and [rows(q) for q in queries] == plain
+    library.set_body("p0", "traps too")
+    assert not library.index_is_fresh() and len(rows("traps")) == 3
+
+
+def test_compaction_that_stops_half_way_loses_nothing(spark, library, monkeypatch):
+    library.upsert("papers", library.read("papers").where("id = 'p3'"), deleted=True)
+    before = sorted(r["id"] for r in library.read("papers").collect())
+    files, old = library._files("papers")
+    library._write("papers", library.read("papers"), False)  # the snapshot is there, the old batches still are
+    assert sorted(r["id"] for r in library.read("papers").collect()) == before == ["p0", "p1", "p2"]
+    files.delete(old[0], True)
+    assert sorted(r["id"] for r in library.read("papers").collect()) == before
+    library.compact("papers")
+    assert sorted(r["id"] for r in library.read("papers").collect()) == before and len(library._files("papers")[1]) == 1
+
+
 def test_stream(spark, library, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
