@@ -160,27 +160,29 @@ def _by_subsets(points: DataFrame, subsets: int) -> DataFrame:
     return from_sums(least.select("g", "start", *[f"r.{x}" for x in XS]).groupBy("g", "start").agg(*_sums()), "g", "start")
 
 
-def concentrated(points: DataFrame, estimates: DataFrame, n: int, scratch: Scratch, name: str) -> DataFrame:
+def concentrated(points: DataFrame, estimates: DataFrame, n: int, scratch: Scratch, name: str, fine: bool = True) -> DataFrame:
     """One step of ``n`` estimates: those of exactly the h rows nearest to each estimate, h = (n + P + 1) / 2 as usual.
 
-    Rows are summed in bins of distance; the bin that holds the h-th row is cut into SLICES, and rows in the slice of
-    the h-th, whose distances agree to some millionths, share what is left of h. So a group of any size comes down to a
+    Rows are summed in bins of distance. Rows of the bin that holds the h-th one share what is left of h; if ``fine``,
+    that bin is first cut into SLICES, whose distances agree to some millionths. So a group of any size comes down to a
     few thousand sums before it is shuffled, and no group is sorted."""
     place = F.log2(F.col("d2") + 2.0**-10) * BINS_PER_OCTAVE
-    bins = with_distance(points, estimates, n, "start").groupBy("g", "start", F.floor(place).alias("b")).agg(*_sums())
     w = Window.partitionBy("g", "start")
-    bins = bins.withColumns({"below": F.sum("n").over(w.orderBy("b")) - F.col("n"), "h": F.sum("n").over(w)})
-    bins = scratch.save(bins.withColumn("h", F.least("h", F.floor((F.col("h") + P + 1) / 2))), f"{name}-bins")
-    edge = bins.where((F.col("below") < F.col("h")) & (F.col("h") <= F.col("below") + F.col("n"))).select("g", "start", F.col("b").alias("edge"), (F.col("h") - F.col("below")).alias("left"))
-    inside = keyed_join(bins, edge, ["g", "start"], rows=n).where("b < edge").select("g", "start", F.lit(1.0).alias("w"), "n", *SUMS)
-    cut = with_distance(points, keyed_join(estimates, edge, ["g", "start"], rows=n), n, "start", "edge", "left").where(F.floor(place) == F.col("edge"))
-    cut = cut.groupBy("g", "start", "left", F.floor((place - F.col("edge")) * SLICES).alias("b")).agg(*_sums())
     before = F.sum("n").over(w.orderBy("b")) - F.col("n")
-    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("left") - before) / F.col("n")))
-    cut = cut.withColumn("w", weight).where("w > 0").select("g", "start", "w", "n", *SUMS)
+    bins = with_distance(points, estimates, n, "start").groupBy("g", "start", F.floor(place).alias("b")).agg(*_sums())
+    bins = bins.withColumns({"below": before, "all": F.sum("n").over(w)})
+    bins = bins.withColumn("left", F.least("all", F.floor((F.col("all") + P + 1) / 2)) - F.col("below"))
+    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("left") / F.col("n")))
+    used = bins.where("left > 0").select("g", "start", "b", "left", weight.alias("w"), "n", *SUMS)
+    if fine:
+        used = scratch.save(used, f"{name}-bins")
+        edge = used.where("left <= n").select("g", "start", F.col("b").alias("edge"), "left")
+        cut = with_distance(points, keyed_join(estimates, edge, ["g", "start"], rows=n), n, "start", "edge", "left").where(F.floor(place) == F.col("edge"))
+        cut = cut.groupBy("g", "start", "left", F.floor((place - F.col("edge")) * SLICES).alias("b")).agg(*_sums()).withColumn("left", F.col("left") - before)
+        used = used.where("left > n").drop("b", "left").unionByName(cut.where("left > 0").select("g", "start", weight.alias("w"), "n", *SUMS))
     whole = lambda c: F.sum(F.when(F.col("w") == 1, F.col(c)).otherwise(0))  # noqa: E731 -- whole numbers, in any order
     part = lambda c: F.sum(F.when(F.col("w") < 1, F.col("w") * F.col(c)).otherwise(0.0))  # noqa: E731 -- one slice at most
-    total = inside.unionByName(cut).groupBy("g", "start").agg(*[(whole(c) + part(c)).alias(c) for c in ("n", *SUMS)])
+    total = used.groupBy("g", "start").agg(*[(whole(c) + part(c)).alias(c) for c in ("n", *SUMS)])
     return scratch.save(from_sums(total, "g", "start"), name)
 
 
@@ -189,7 +191,7 @@ def least_determinants(points: DataFrame, scratch: Scratch, subsets: int = SUBSE
     estimates = scratch.save(_by_medians(points).unionByName(_by_subsets(points, subsets)), "starts")
     n = estimates.count()
     for k in range(first):
-        estimates = concentrated(points, estimates, n, scratch, f"first{k}")
+        estimates = concentrated(points, estimates, n, scratch, f"first{k}", False)
     best = estimates.groupBy("g").agg(F.min(F.struct("det", "start")).alias("best")).select("g", F.col("best.start").alias("start"))
     estimates = scratch.save(estimates.join(best, ["g", "start"]), "best")
     n = estimates.count()
@@ -238,6 +240,7 @@ def quality_rules(docs: DataFrame, cutoff: float | None = None) -> DataFrame:
     estimates = reweighted(points, least_determinants(points, scratch), scratch)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     groups = scratch.save(drawn(rows, estimates), "drawn")
+    scratch.keep("statistics", "drawn")
     judged = with_distance(rows.withColumnRenamed("g2", "g"), groups, groups.count()).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("d2") <= cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
