@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, cleared  # noqa: F401 -- for all operators
+
 #: Rows of a lookup table that may be broadcast; above it the keyed join is shuffled and salted.
 MAX_BROADCAST_ROWS = 10_000
 SALTS = 64
@@ -23,32 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Scratch:
-    """Tables written to the shared checkpoint folder, which cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="stacklore-")
-        self.root = f"{base.rstrip('/')}/stacklore-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
-        """Writes a table, with one folder for each value of the columns ``folders``, and reads it again."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").partitionBy(*folders).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

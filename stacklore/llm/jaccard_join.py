@@ -247,8 +247,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     classed = nodes.select("nid", "key", "first_id", "n_copies").join(roots, "nid", "left").join(numbers, "nid", "left")
     least = classed.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least"))
     classed = classed.join(least, "root", "left").select("key", F.coalesce("least", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    classed = scratch.save(classed, "classes")
+    scratch.keep("signed", "classes")
     own = rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return rows.where("key is not null").select("doc_id", "key").join(scratch.save(classed, "classes"), "key").select("doc_id", "class_id", "n_links", "n_copies").unionByName(own)
+    return rows.where("key is not null").select("doc_id", "key").join(classed, "key").select("doc_id", "class_id", "n_links", "n_copies").unionByName(own)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

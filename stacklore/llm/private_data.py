@@ -146,6 +146,7 @@ def private_spans(docs: DataFrame) -> DataFrame:
     told = keyed_join(kept.select("copy", F.explode(terms_of(F.col("words"))).alias("term")), telling, ["term"])
     removed = F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term")))
     more = scratch.save(told.groupBy("copy").agg(F.collect_set("term").alias("terms"), removed.alias("removed")), "told")
+    scratch.keep("base", "told")
     joined = kept.join(F.broadcast(more) if more.count() <= MAX_BROADCAST_ROWS else more, "copy", "left")
     places = _matches(F.col("words"), TERM, 4, lambda x: F.array_contains("terms", F.lower(x)))
     general = F.transform(places, lambda s: s.withField("value", F.when(F.array_contains("removed", F.lower(s["value"])), "").otherwise(F.lit("[term]"))))
