@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stacklore.llm.common import Scratch, read_table
+from stacklore.llm.common import Scratch, cleared, read_table
 from stacklore.llm.decontamination import contaminated
 from stacklore.llm.jaccard_join import jaccard_join
 from stacklore.llm.line_crf import fit_quality, with_quality
@@ -53,12 +53,16 @@ STAGES = [
     ("best_fit_packing", packed_sequences),
 ]
 
-#: Learned and approximate stages have no SQL; tests/llm holds the pipeline against a brute-force version.
+#: Learned and approximate stages have no SQL; tests/llm holds each stage against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark)
+    """Each stage's documents are written and read again, and what the stage and the one before it left is deleted."""
+    docs, scratch, before = read_table(spark, sf_dir, "documents"), Scratch(spark), ()
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with cleared():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = (name,)
     return STAGES[-1][1](spark, docs, sf_dir)
