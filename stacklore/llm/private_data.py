@@ -38,16 +38,29 @@ def _pieces(text: Column, pattern: str) -> Column:
 def _matches(text: Column, pattern: str, kind: int, keep) -> Column:
     """Spans of all matches for which ``keep(match)`` holds."""
 
-    def spans(pieces: Column) -> Column:
+    def part(pieces: Column, at: Column) -> Column:
         def more(state: Column, piece: Column) -> Column:
             inside = state["n"] % 2 == 1
             stop = state["at"] + F.length(piece)
             span = F.struct(state["at"].alias("start"), F.lit(kind).alias("kind"), stop.alias("end"), piece.alias("value"))
             return F.struct(stop.alias("at"), (state["n"] + 1).alias("n"), F.when(inside & keep(piece), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast(SPAN).alias("found"))
+        begin = F.struct(at.alias("at"), F.lit(0).alias("n"), F.array().cast(SPAN).alias("found"))
         return F.aggregate(pieces, begin, more, lambda s: s["found"])
 
+    def spans(pieces: Column) -> Column:
+        # parts of about as many pieces as there are parts, an even number, so that no list grows with all matches
+        n = F.size(pieces)
+        size = (2 * F.ceil(F.sqrt(n) / 2)).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda k: F.slice(pieces, k * size + 1, size))
+
+        def joined(parts: Column) -> Column:
+            lengths = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x)))
+            before = lambda ls, k: F.aggregate(F.slice(ls, F.lit(1), k), F.lit(0), lambda a, x: a + x)
+            return let(lengths, lambda ls: F.flatten(F.transform(parts, lambda p, k: part(p, before(ls, k)))))
+
+        return let(parts, joined)
+
     return let(_pieces(text, pattern), spans)
 
 
