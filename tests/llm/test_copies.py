@@ -211,9 +211,8 @@ def best_shares(item: list[str], docs: list[list[str]]) -> list[float]:
     for w in item:
         now = np.zeros(len(flat) + 1, int)
         now[1:] = np.maximum(0, np.maximum(row[:-1] + np.where(place == number.get(w, -2), 2, -1), row[1:] - 1))
-        for _ in range(2 * len(item)):  # gaps along the row
-            now[1:] = np.maximum(now[1:], now[:-1] - 1)
-        row = now
+        slope = np.arange(len(now))  # gaps along the row
+        row = now = np.maximum.accumulate(now + slope) - slope
         top = np.maximum(top, now)
     return [int(top[a + 1 : a + 1 + len(d)].max(initial=0)) / (2 * len(item)) for a, d in zip(begins, docs, strict=True)]
 

@@ -119,6 +119,44 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(expected, total_moves)
 
 
+def test_fit_is_the_peak_of_the_likelihood():
+    """The weighted log-likelihood, by summing over all label paths, falls off in every direction from the fit."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["word", "other", "more"], 6)) + "." for _ in range(30)]
+    docs = [("\n".join(rng.choice(texts, 3)), 1) for _ in range(25)] + [("\n".join("#$% 12 ||" if rng.random() < 0.8 else rng.choice(texts) for _ in range(3)), 0) for _ in range(25)]
+    made = [line_crf.line_features(t) for t, _ in docs]
+    y = np.array([q for _, q in docs])
+    model = line_crf.fit([f for f, _ in made], [n for _, n in made], y)
+    each = np.where(y == 1, 0.5 / (3 * 25), 0.5 / (3 * 25))
+
+    def likelihood(theta: np.ndarray) -> float:
+        weights, moves = theta[: line_crf.WIDTH], theta[line_crf.WIDTH :].reshape(2, 2)
+        total = -line_crf.RIDGE / 2 * theta @ theta
+        for (f, _), q, w in zip(made, y, each, strict=True):
+            e = f @ weights
+            path = lambda labels, e=e: sum(e[i] for i, v in enumerate(labels) if v) + sum(moves[a, b] for a, b in zip(labels, labels[1:], strict=False))
+            total += w * (path([q] * len(f)) - np.log(sum(np.exp(path(p)) for p in np.ndindex(*[2] * len(f)))))
+        return total
+
+    best = np.concatenate((model.weights, model.moves.ravel()))
+    top = likelihood(best)
+    assert top > likelihood(np.zeros_like(best)) + 0.1
+    for _ in range(25):
+        step = rng.normal(size=len(best))
+        assert likelihood(best + 0.3 * step / np.linalg.norm(step)) < top + 1e-4
+
+
+def test_bounds_and_blank_texts(spark):
+    docs = spark.createDataFrame([(i, "plain words of a text.\nand more of it.") for i in range(40)] + [(i, "## ||| $$$\n%% 77 &&") for i in range(40, 80)] + [(81, "a\n" * 300_000)] + [(7, "## again ||")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(82)], "doc_id long, quality int")
+    model = line_crf.fit_quality(docs, labels)
+    good, bad, empty, white = model.qualities(["plain words of a text.\nand more of it.", "## ||| $$$\n%% 77 &&", "", " \n "])
+    assert good > 0.5 > bad and empty == white < 0.5
+    blank = spark.createDataFrame([(i, " ") for i in range(100, 160)], "doc_id long, text string")
+    seen = line_crf.fit_quality(docs.unionByName(blank), labels.unionByName(spark.createDataFrame([(i, 1) for i in range(100, 160)], "doc_id long, quality int")))
+    assert seen.qualities([""])[0] > 0.8
+
+
 def test_held_out_accuracy(spark, documents, smallest, awkward, empty):
     labels = spark.read.parquet(f"{smallest}/labels.parquet")
     model = line_crf.fit_quality(documents, labels)

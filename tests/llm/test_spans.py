@@ -1,12 +1,14 @@
 """Secrets and personal data against plain regular expressions."""
 
 import hashlib
+import math
 import random
 import re
 import time
 
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from stacklore.llm import private_data, secrets
@@ -63,6 +65,62 @@ def test_terms_count_and_go_in_whole_texts(spark):
     assert got[4] == ["Obscurius"] and got[5] == ["Qx"] and not any(got[i] for i in range(6, len(texts)) if "Obscurius" not in texts[i])
 
 
+def plain_terms(rows: list[tuple[int, str]]) -> dict[int, list[tuple[int, int]]]:
+    """Places of the terms that give entities away, counted with plain sets."""
+    shapes = (EMAIL, IP, CARD, PHONE)
+    found, masked = [], []
+    for _, text in rows:
+        spans = [tuple(map(int, x.split(":")[1:])) + (private_data.KINDS.index(x.split(":")[0]),) for x in personal(text).split(",") if x]
+        clean = list(text)
+        for a, b, _ in spans:
+            clean[a:b] = "\ufdd2" * (b - a)
+        masked.append("".join(clean))
+        found.append({(k, text[a:b].lower()) for a, b, k in spans})
+    assert len(shapes) == 4
+    places = [[(m.start(), m.end(), m[0].lower()) for m in regex.finditer(r"[\p{L}][\p{L}\p{M}\p{N}_'-]*+", x)] for x in masked]
+    terms = [{t for _, _, t in p} for p in places]
+    n, tell = len(rows), set()
+    for entity in set().union(*found):
+        holders = [i for i in range(n) if entity in found[i]]
+        if len({rows[i][1] for i in holders}) < private_data.SUPPORT or len(holders) == n:
+            continue
+        for term in set().union(*(terms[i] for i in holders)):
+            both = [i for i in holders if term in terms[i]]
+            if len({rows[i][1] for i in both}) < private_data.SUPPORT:
+                continue
+            with_term = sum(term in x for x in terms)
+            share = math.log(min(n * len(both) / len(holders) / with_term, n / len(holders))) / math.log(n / len(holders))
+            if share >= private_data.GENERALISE:
+                tell.add(term)
+    return {rows[i][0]: [(a, b) for a, b, t in places[i] if t in tell] for i in range(n)}
+
+
+def test_terms_equal_a_plain_count(spark):
+    rng = random.Random(31)
+    words = [f"wort{chr(97 + i)}" for i in range(26)]
+    rows = []
+    for i in range(240):
+        body = rng.choices(words, k=rng.randint(3, 25))
+        if i % 6 == 0:
+            body += [f"person{i % 4}@x.org", f"Name{chr(97 + i % 4)}", *rng.choices(["Shared", "10.0.0.1", "Street-Name"], k=2)]
+        elif i % 31 == 0:
+            body += [f"Name{chr(97 + i % 4)}"]
+        rng.shuffle(body)
+        rows.append((i, " ".join(body)))
+    rows += [(1000 + i, rows[6][1]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4] for r in private_data.private_spans(docs).collect()}
+    expected = plain_terms(rows)
+    assert got == expected and any(expected.values())
+
+
+def test_ten_thousand_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@x.org" for i in range(10_000))
+    begin = time.perf_counter()
+    got = spark.createDataFrame([(1, text)], "i int, t string").select(private_data.shown(private_data.base_spans(F.col("t"))).alias("s")).first()["s"]
+    assert got == personal(text) and time.perf_counter() - begin < 60
+
+
 def test_personal_on_tables(spark, documents, awkward, empty):
     for docs in (documents, awkward):
         got = private_data.private_spans(docs).select("doc_id", private_data.shown(F.col("base")).alias("s")).collect()
