@@ -172,10 +172,10 @@ def shingled(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4, 1 << 20):
-            sets = [x.view(np.int64) for x in shingles(texts_of(batch.column(4)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["root", "n", "leader", "nid", "size", "shingles"])
+            sets = shingles(texts_of(batch.column(4)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["root", "n", "leader", "nid", "size", "shingles"])
 
-    sets = scratch.save(rows.mapInArrow(make, "root long, n long, leader long, nid long, size long, shingles array<long>"), "sets")
+    sets = scratch.save(rows.mapInArrow(make, "root long, n long, leader long, nid long, size long, shingles binary"), "sets")
     if sets.count() > total:  # repeated rows of one id and text are one member
         sets = scratch.save(sets.dropDuplicates(["nid"]), "sets-once")
     small = sets.where(F.col("n") <= BLOCK).select("root", "n", "nid", "size", F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("base"), "shingles")
@@ -186,12 +186,12 @@ def shingled(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base = [x.values.to_numpy() for x in batch.column(5)]
-            found = [apart(x.values.to_numpy(), y) for x, y in zip(batch.column(4), base, strict=True)]
-            out = [pa.array([k for _, k in found], pa.int64()), pa.array([len(y) for y in base], pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int64()))]
+            own, base = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (4, 5))
+            found = [apart(x, y) for x, y in zip(own, base, strict=True)]
+            out = [pa.array([k for _, k in found], pa.int64()), pa.array([len(y) for y in base], pa.int64()), pa.array([x.tobytes() for x, _ in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *out], ["root", "n", "nid", "size", "kept", "base", "shingles"])
 
-    return small.unionByName(beside.mapInArrow(cut, "root long, n long, nid long, size long, kept long, base long, shingles array<long>"))
+    return small.unionByName(beside.mapInArrow(cut, "root long, n long, nid long, size long, kept long, base long, shingles binary"))
 
 
 def verified(sets: DataFrame, threshold: float) -> DataFrame:
@@ -210,7 +210,7 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
         out = []
         for (_, i, j), rows in tasks(batches, 3):
             blocks, nids, sizes, kept = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-            linked = similar_pairs([np.array(r[5], np.int64) for r in rows], threshold, sizes, kept, rows[0][4])
+            linked = similar_pairs([np.frombuffer(r[5], np.uint64) for r in rows], threshold, sizes, kept, rows[0][4])
             if i != j:
                 linked &= blocks[:, None] != blocks[None, :]
             nids = nids.tolist()
