@@ -113,7 +113,7 @@ def source_link(x: Fixture) -> DataFrame:
     return x.papers().select("id", T.source_link(F.col("url"), F.col("doi"), F.col("arxiv_id"), F.col("pdf_path")).alias("link"))
 
 
-@query("SELECT id, CASE WHEN source = 'src1' THEN lang || '|src1' ELSE lang || '|src1|' || source END AS merged FROM papers")
+@query("SELECT id, array_to_string(list_filter(l, lambda t, i: list_position(l, t) = i), '|') AS merged FROM (SELECT id, list_filter(list_transform([' ' || lang, '', 'src1', lang, source], lambda t: trim(t)), lambda t: t <> '') AS l FROM papers)")
 def merge_tags(x: Fixture) -> DataFrame:
     tags = T.merge_tags(F.array(F.concat(F.lit(" "), F.col("tags")[0]), F.lit(""), F.lit("src1")), F.col("tags"))
     return x.papers().select("id", F.array_join(tags, "|").alias("merged"))
@@ -160,13 +160,21 @@ def join_pages(x: Fixture) -> DataFrame:
     return pages.select("conv_id", F.md5(T.join_pages(F.col("pages"))).alias("body"))
 
 
-@query("SELECT 'rep' || r_regionkey AS id, CASE WHEN r_regionkey = 0 THEN 'Overview=plain 0' ELSE 'Scope=All of ' || r_name || chr(10) || 'and more|Open questions=Number ' || r_regionkey END AS sections FROM region")
+_TRIMMED = r"'^\s+|\s+$', '', 'g'"
+_SECTIONS = (
+    "CASE WHEN contains(chr(10) || content, chr(10) || '## ') THEN list_transform(string_split(chr(10) || content, chr(10) || '## ')[2:], "
+    "lambda x: {'h': trim(split_part(x, chr(10), 1)), 'c': regexp_replace(substring(x, length(split_part(x, chr(10), 1)) + 2), " + _TRIMMED + ")}) "
+    "ELSE [{'h': 'Overview', 'c': regexp_replace(array_to_string(list_filter(string_split(content, chr(10)), lambda l: NOT starts_with(l, '# ')), chr(10)), " + _TRIMMED + ")}] END"
+)
+
+
+@query(f"SELECT id, array_to_string(list_transform({_SECTIONS}, lambda s: s.h || '=' || s.c), '|') AS sections FROM reports")
 def report_sections(x: Fixture) -> DataFrame:
     s = T.report_sections(F.col("content"))
     return x.reports().select("id", F.array_join(F.transform(s, lambda r: F.concat(r["heading"], F.lit("="), r["content"])), "|").alias("sections"))
 
 
-@query("SELECT 'rep' || r_regionkey AS id, CASE WHEN r_regionkey = 0 THEN '# ' || r_name || chr(10) || chr(10) || '## Overview' || chr(10) || chr(10) || 'plain 0' ELSE '# ' || r_name || chr(10) || chr(10) || '## Scope' || chr(10) || chr(10) || 'All of ' || r_name || chr(10) || 'and more' || chr(10) || chr(10) || '## Open questions' || chr(10) || chr(10) || 'Number ' || r_regionkey END || chr(10) || chr(10) AS md FROM region")
+@query(f"SELECT id, '# ' || title || chr(10) || chr(10) || array_to_string(list_transform({_SECTIONS}, lambda s: '## ' || s.h || chr(10) || chr(10) || s.c || chr(10) || chr(10)), '') AS md FROM reports")
 def report_markdown(x: Fixture) -> DataFrame:
     return x.reports().select("id", T.report_markdown(F.col("title"), T.report_sections(F.col("content"))).alias("md"))
 
@@ -177,10 +185,18 @@ def report_save_sections(x: Fixture) -> DataFrame:
     return x.reports().select("id", F.array_join(F.transform(s, lambda r: F.concat(r["heading"], F.lit("="), r["content"])), "|").alias("sections"))
 
 
-_REPLY = "CASE o_orderkey % 4 WHEN 0 THEN 'MissingLiterature' WHEN 1 THEN ' ConnectionGap ' WHEN 2 THEN 'Nothing' ELSE 'MethodologyGap' END"
+def _lines(key: str, reply: str, source: str) -> str:
+    """Lines of a reply that have a bar: key, head before it, rest after it."""
+    lines = f"SELECT {key}, unnest(string_split({reply}, chr(10))) AS line FROM {source}"
+    return rf"(SELECT {key}, trim(split_part(line, '|', 1)) AS head, trim(regexp_replace(line, '^[^|]*\|', '')) AS rest FROM ({lines}) WHERE contains(line, '|'))"
+
+
+_NAMES = "CASE o_orderkey % 4 WHEN 0 THEN 'MissingLiterature' WHEN 1 THEN ' ConnectionGap ' WHEN 2 THEN 'Nothing' ELSE 'MethodologyGap' END"
+_GAPS = _lines("o_orderkey", f"'Here you are' || chr(10) || {_NAMES} || '| ' || o_orderpriority || '|' || o_orderstatus || ' ' || chr(10)", "orders")
+_WORDS = _lines("doc_id", "'Sure:' || chr(10) || ' p' || doc_id || ' | ' || CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE lang || '; ' || source END || chr(10) || '|none' || chr(10)", "documents")
 
 
-@query(f"SELECT o_orderkey, CASE trim({_REPLY}) WHEN 'MissingLiterature' THEN 'missing_literature' WHEN 'ConnectionGap' THEN 'connection_gap' ELSE 'methodology_gap' END AS gap_type, o_orderpriority || '|' || o_orderstatus AS description FROM orders WHERE o_orderkey % 4 <> 2")
+@query(f"SELECT * FROM (SELECT o_orderkey, CASE head WHEN 'MissingLiterature' THEN 'missing_literature' WHEN 'UnansweredQuestion' THEN 'unanswered_question' WHEN 'MethodologyGap' THEN 'methodology_gap' WHEN 'ConnectionGap' THEN 'connection_gap' END AS gap_type, rest AS description FROM {_GAPS}) WHERE gap_type IS NOT NULL")
 def parse_gap_lines(x: Fixture) -> DataFrame:
     k = F.col("o_orderkey")
     name = F.when(k % 4 == 0, "MissingLiterature").when(k % 4 == 1, " ConnectionGap ").when(k % 4 == 2, "Nothing").otherwise("MethodologyGap")
@@ -188,7 +204,7 @@ def parse_gap_lines(x: Fixture) -> DataFrame:
     return x.table("orders").select("o_orderkey", F.inline(T.gap_lines(reply)))
 
 
-@query("SELECT doc_id, 'p' || doc_id AS paper_id, lang || '; ' || source AS keywords FROM documents WHERE doc_id % 5 <> 0")
+@query(f"SELECT doc_id, head AS paper_id, rest AS keywords FROM {_WORDS} WHERE head <> '' AND rest <> ''")
 def parse_keyword_lines(x: Fixture) -> DataFrame:
     n = F.col("doc_id")
     reply = F.concat(F.lit("Sure:\n p"), n, F.lit(" | "), F.when(n % 5 == 0, " ").otherwise(F.concat_ws("; ", "lang", "source")), F.lit("\n|none\n"))
