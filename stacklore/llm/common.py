@@ -43,7 +43,7 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     return big.withColumn("__salt", spread).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that one slice holds at most ``most`` bytes of the column ``text`` (or one row)."""
     for batch in batches:
         sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(text)).to_pylist()]

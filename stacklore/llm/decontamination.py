@@ -208,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k, blocks in enumerate(passes(blocks_of(benchmark))):
 
         def seek(batches: Iterator[pa.RecordBatch], blocks: list[Items] = blocks) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 1):
+            for batch in slices(batches, 1, 1 << 19):
                 found = []
                 for doc, words in zip(batch.column(0).to_pylist(), hashed(texts_of(batch.column(1))), strict=True):
                     for b, items in enumerate(blocks):

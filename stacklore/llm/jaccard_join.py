@@ -41,7 +41,7 @@ def signed(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     """doc_id, key (digest of the text; null for null texts), signature (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1 << 20):
+        for batch in slices(batches, 2, 1 << 19):
             sets = shingles(texts_of(batch.column(2)))
             values = signatures(sets, trees * depth).astype("<u4")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() if len(s) else None for v, s in zip(values, sets, strict=True)], pa.binary())], ["doc_id", "key", "signature"])
@@ -171,7 +171,7 @@ def shingled(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame
     rows = texts.join(chosen, ["doc_id", "key"]).select("root", "n", "leader", "nid", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4, 1 << 20):
+        for batch in slices(batches, 4, 1 << 19):
             sets = shingles(texts_of(batch.column(4)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["root", "n", "leader", "nid", "size", "shingles"])
 

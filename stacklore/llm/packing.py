@@ -24,7 +24,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 1 << 20):
+        for batch in slices(batches, 1, 1 << 19):
             rows = []
             for doc, found in zip(batch.column(0).to_pylist(), encode(texts_of(batch.column(1)), vocabulary), strict=True):
                 found += little([end_id])
