@@ -156,11 +156,19 @@ def private_spans(docs: DataFrame) -> DataFrame:
     key, copy = F.xxhash64("text"), F.expr("uuid()")
     kept = scratch.save(found.select("doc_id", copy.alias("copy"), key.alias("key"), "base", masked(F.col("text"), F.col("base")).alias("words")), "base")
     telling = scratch.save(disclosing(kept, scratch), "terms")
-    told = keyed_join(kept.select("copy", F.explode(terms_of(F.col("words"))).alias("term")), telling, ["term"])
-    removed = F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term")))
-    more = scratch.save(told.groupBy("copy").agg(F.collect_set("term").alias("terms"), removed.alias("removed")), "told")
-    scratch.keep("base", "told")
-    joined = kept.join(F.broadcast(more) if more.count() <= MAX_BROADCAST_ROWS else more, "copy", "left")
+    if telling.count() <= MAX_BROADCAST_ROWS:  # one row of lists, so that no text is shuffled
+        gone = F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term")))
+        lists = telling.agg(F.collect_list("term").alias("all"), gone.alias("removed")).withColumn("one", F.lit(1))
+        joined = kept.withColumn("one", F.lit(1)).join(F.broadcast(lists), "one", "left")
+        joined = joined.withColumn("terms", F.array_intersect(terms_of(F.col("words")), F.col("all")))
+        joined = joined.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
+        scratch.keep("base", "terms")
+    else:
+        told = keyed_join(kept.select("copy", F.explode(terms_of(F.col("words"))).alias("term")), telling, ["term"])
+        removed = F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term")))
+        more = scratch.save(told.groupBy("copy").agg(F.collect_set("term").alias("terms"), removed.alias("removed")), "told")
+        scratch.keep("base", "told")
+        joined = kept.join(more, "copy", "left")
     places = _matches(F.col("words"), TERM, 4, lambda x: F.array_contains("terms", F.lower(x)))
     general = F.transform(places, lambda s: s.withField("value", F.when(F.array_contains("removed", F.lower(s["value"])), "").otherwise(F.lit("[term]"))))
     terms = F.when(F.col("terms").isNotNull(), general).otherwise(F.array().cast(SPAN))

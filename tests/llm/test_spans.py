@@ -204,3 +204,12 @@ def test_long_runs_of_a_mark_take_no_time(mark):
 def test_letters_only_and_short_numbers_at_the_end_are_found():
     for value in ("xKvQmZpLrTbWnYcJqHdFgSa", "xKvQmZpLrTbWnYcJqHdF1234"):
         assert secrets.find_secrets(f"see {value} there", TIK) == [(4, 3, 4 + len(value))]
+
+
+def test_more_terms_than_may_be_broadcast(spark, monkeypatch):
+    texts = [f"person{i % 3}@x.org Name{chr(97 + i % 3)} and number{chr(97 + i)}" for i in range(24)] + [f"nothing of that {chr(97 + i)}" for i in range(26)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = lambda: sorted((r["doc_id"], str(r["spans"])) for r in private_data.private_spans(docs).collect())
+    whole = rows()
+    monkeypatch.setattr(private_data, "MAX_BROADCAST_ROWS", 0)
+    assert rows() == whole and any("kind=4" in s for _, s in whole)
