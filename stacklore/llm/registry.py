@@ -15,6 +15,9 @@ NAMES = {
     "op8_decontamination": "decontamination",
     "op9_main_text": "html_text",
     "op10_packing": "packing",
+    "op11_merkle_manifest": "merkle",
+    "op12_fill_in_middle": "fill_in_middle",
+    "op13_suffix_dedup": "suffix_dedup",
 }
 
 
@@ -39,4 +42,4 @@ FROM documents d LEFT JOIN t ON t.text = d.text LEFT JOIN (SELECT id, min(root)
 
 def oracle_sql() -> dict[str, str]:
     """The other operators compile, learn, solve or align; tests/llm holds them against brute force."""
-    return {"op2_jaccard_join": JACCARD_SQL}
+    return {"op2_jaccard_join": JACCARD_SQL} | {name: import_module(f"{__package__}.{NAMES[name]}").SQL for name in ("op11_merkle_manifest", "op12_fill_in_middle")}
