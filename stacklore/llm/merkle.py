@@ -155,28 +155,33 @@ def descend(levels: list[DataFrame], tops: DataFrame, scratch: Scratch, name: st
     round a block's nodes meet their block's row, whose path is appended to what the traversal of the block gives."""
     upper = tops.withColumn("pos", F.lit(0).cast("long"))
     for depth in range(len(levels) - 2, -1, -1):
-        below = depth == 0 and keep
-        kind = "tree long, pos long, digest string" + (f", {keep}" if below else "") + f", root string, subroot string, path {PATH}"
-        carried = [x.split()[0] for x in keep.split(",")] if below else []
-        arrow = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
-
-        def paths(left: pa.Table, right: pa.Table, carried=carried, arrow=arrow) -> pa.Table:
-            left = left.sort_by("pos")
-            n, leaves = left.column("n")[0].as_py(), left.column("digest").to_pylist()
-            above = [(x["left"], x["right"]) for x in right.column("path")[0].as_py()]
-            found = [[{"left": a, "right": b} for a, b in [*path, *above]] for path in traverse(leaves, min(height(n), height(block)))]
-            same = lambda c: pa.array([right.column(c)[0].as_py()] * len(leaves), pa.string())
-            columns = {c: left.column(c) for c in ("tree", "pos", "digest", *carried)}
-            return pa.table(columns | {"root": same("root"), "subroot": same("subroot"), "path": pa.array(found, arrow)})
-
+        more = keep if depth == 0 else ""
+        carried = [x.split()[0] for x in more.split(",")] if more else []
         lower = levels[depth].select("tree", "pos", "n", "digest", *carried, F.floor(F.col("pos") / block).alias("block"))
         upper = upper.withColumnRenamed("pos", "block").select("tree", "block", "root", "subroot", "path")
-        upper = lower.groupBy("tree", "block").cogroup(upper.groupBy("tree", "block")).applyInArrow(paths, kind)
+        kind = ", ".join(["tree long, pos long, digest string", *([more] if more else []), f"root string, subroot string, path {PATH}"])
+        upper = lower.groupBy("tree", "block").cogroup(upper.groupBy("tree", "block")).applyInArrow(_appending(carried, block), kind)
         if depth:
             upper = scratch.save(upper, f"{name}_paths{depth}")
     return upper
 
 
+def _appending(carried: list[str], block: int):
+    """The function that traverses one block and appends the path of its root."""
+    step = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())]))
+
+    def paths(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("pos")
+        n, leaves = left.column("n")[0].as_py(), left.column("digest").to_pylist()
+        above = right.column("path")[0].as_py()
+        found = [[*({"left": a, "right": b} for a, b in path), *above] for path in traverse(leaves, min(height(n), height(block)))]
+        same = lambda c: pa.array([right.column(c)[0].as_py()] * len(leaves), pa.string())
+        columns = {c: left.column(c) for c in ("tree", "pos", "digest", *carried)}
+        return pa.table(columns | {"root": same("root"), "subroot": same("subroot"), "path": pa.array(found, step)})
+
+    return paths
+
+
 def merkle_manifest(rows: DataFrame, group: str, order: str, leaf: Column, extra: dict[str, Column] | None = None, block: int = BLOCK) -> DataFrame:
     """One row per row: ``order``, leaf, the strings of ``extra``, subroot (of the tree of its group), root (of the tree of
     all subroots) and path, an array from the leaf up to the root of what stands left and right of the node in its run.
@@ -233,9 +238,9 @@ n(tree, lvl, idx, digest, n) AS (SELECT tree, 0, pos, leaf, count(*) OVER (PARTI
 s AS (SELECT tree, digest AS subroot, lvl AS top FROM n WHERE n = 1),
 m(lvl, idx, digest, n) AS (SELECT 0, tree - 1, subroot, count(*) OVER () FROM s
   UNION ALL SELECT lvl, idx, digest, count(*) OVER () FROM (SELECT lvl + 1 AS lvl, idx // 8 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest FROM m WHERE n > 1 GROUP BY lvl, idx // 8)),
-e AS (SELECT k.tree, k.pos, n.lvl, k.pos // 8 ** n.lvl AS own, n.idx, n.digest FROM k JOIN n ON n.tree = k.tree AND n.n > 1 AND n.idx // 8 = (k.pos // (8 ** n.lvl)::BIGINT) // 8
+e AS (SELECT k.tree, k.pos, n.lvl, k.pos // (8 ** n.lvl)::BIGINT AS own, n.idx, n.digest FROM k JOIN n ON n.tree = k.tree AND n.n > 1 AND n.idx // 8 = (k.pos // (8 ** n.lvl)::BIGINT) // 8
   UNION ALL SELECT k.tree, k.pos, s.top + m.lvl, (k.tree - 1) // (8 ** m.lvl)::BIGINT, m.idx, m.digest FROM k JOIN s USING (tree) JOIN m ON m.n > 1 AND m.idx // 8 = ((k.tree - 1) // (8 ** m.lvl)::BIGINT) // 8),
-p AS (SELECT tree, pos, lvl, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx < floor(own)), '') AS a, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx > floor(own)), '') AS b FROM e GROUP BY tree, pos, lvl),
+p AS (SELECT tree, pos, lvl, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx < own), '') AS a, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (WHERE idx > own), '') AS b FROM e GROUP BY tree, pos, lvl),
 w AS (SELECT tree, pos, sha256(string_agg(a || b, '' ORDER BY lvl)) AS proof, count(*) AS steps FROM p GROUP BY tree, pos),
 f(tree, pos, lvl, node) AS (SELECT tree, pos, 0, coalesce(bad, leaf) FROM k UNION ALL SELECT f.tree, f.pos, f.lvl + 1, sha256(p.a || f.node || p.b) FROM f JOIN p USING (tree, pos, lvl)),
 r AS (SELECT digest AS root FROM m WHERE n = 1)
