@@ -5,15 +5,15 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 FIELDS = ("title", "abstract_text", "notes", "tags", "keywords")
-#: Longest window of a snippet in characters.
-SNIPPET = 34
+#: Longest window of a snippet in characters, and how many of them may stand before its first match.
+SNIPPET, LEAD = 34, 8
 
 
 def query_terms(query: str) -> list[str]:
@@ -80,27 +80,64 @@ def search_merged(papers: DataFrame, bodies: DataFrame, query: str, k: int, of_p
     return meta.unionByName(body).orderBy("tier", "rank", "id").limit(k)
 
 
-def evidence(papers: DataFrame, bodies: DataFrame, query: str, k: int, paper_id: str | None = None) -> DataFrame:
-    """Best bodies with a snippet and the section and page of its first match. A paper's scope comes before the limit;
-    snippets are made for the k rows alone. The window begins a little before the match that has most matches near."""
+def matches(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """paper_id, places: all occurrences (at, end, term) of the terms in bodies, in order. Bodies are split before each
+    occurrence, and a window sums up the lengths of the pieces, so the work is in proportion to the body."""
+    parts = F.array(*[F.struct(F.lit(i).alias("term"), F.lit(len(t)).alias("length"), F.split("low", f"(?={re.escape(t)})", -1).alias("pieces"), F.col("low").startswith(t).alias("at_once")) for i, t in enumerate(terms)])
+    each = rows.select("paper_id", F.lower("body").alias("low")).select("paper_id", F.inline(parts))
+    each = each.select("paper_id", "term", "length", "at_once", F.posexplode("pieces").alias("n", "piece"))
+    order = Window.partitionBy("paper_id", "term").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("piece")).over(order), F.lit(0)).cast("int")
+    each = each.withColumn("at", at).where("n > 0 or at_once")
+    place = F.struct("at", (F.col("at") + F.least("length", F.lit(SNIPPET))).alias("end"), "term")
+    return each.groupBy("paper_id").agg(F.array_sort(F.collect_list(place)).alias("places"))
+
+
+def best_window(places: Column, terms: int) -> Column:
+    """Where the window of SNIPPET characters begins, always at a match, that shows most different terms, then most
+    matches, then is first. Two pointers pass over the matches, which enter by their ends and leave by their beginnings;
+    ``seen`` counts the matches of each term between them."""
+    ends = F.array_sort(F.transform(places, lambda m: F.struct(m["end"].alias("end"), m["at"].alias("at"), m["term"].alias("term"))))
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array_repeat(F.lit(0), terms).alias("seen"), F.lit(0).alias("kinds"), F.lit(0).alias("n"), F.lit(-1).alias("at"))
+
+    def step(s: Column, both: Column) -> Column:
+        left, right, seen = F.get(both["places"], s["i"]), F.get(both["ends"], s["j"]), s["seen"]
+        enters = F.coalesce(right["end"] <= left["at"] + SNIPPET, F.lit(False))
+        kinds, n = F.aggregate(seen, F.lit(0), lambda a, x: a + (x > 0).cast("int")), s["j"] - s["i"]
+        better = ~enters & ((kinds > s["kinds"]) | ((kinds == s["kinds"]) & (n > s["n"])))
+        changed = F.transform(seen, lambda x, k: x + F.when(enters & (k == right["term"]), 1).when(~enters & (k == left["term"]), -1).otherwise(0))
+        take = lambda new, old: F.when(better, new).otherwise(old)
+        return F.struct(
+            (s["i"] + (~enters).cast("int")).alias("i"), (s["j"] + enters.cast("int")).alias("j"), changed.alias("seen"),
+            take(kinds, s["kinds"]).alias("kinds"), take(n, s["n"]).alias("n"), take(left["at"], s["at"]).alias("at"),
+        )
+
+    steps = F.sequence(F.lit(1), F.size(places) * 2)
+    both = F.array(F.struct(places.alias("places"), ends.alias("ends")))
+    return F.transform(both, lambda b: F.aggregate(steps, state, lambda s, _: step(s, b), lambda s: s["at"]))[0]
+
+
+def evidence(papers: DataFrame, bodies: DataFrame, query: str, k: int, paper_id: str | None = None, ranks: DataFrame | None = None) -> DataFrame:
+    """Best bodies with a snippet and the section and page of the first match shown in it. A paper's scope comes before the
+    limit; snippets are made for the k rows alone, from ``ranks`` (id, rank) if an index has found them. A few characters
+    before the window's first match are shown where they don't push a counted match out and hold no match themselves."""
     terms = query_terms(query)
-    whole = ranked(bodies, query, ("body",))
-    if paper_id is not None:
-        whole = whole.where(F.col("paper_id") == paper_id)
+    if ranks is None:
+        whole = ranked(bodies, query, ("body",))
+        if paper_id is not None:
+            whole = whole.where(F.col("paper_id") == paper_id)
+    else:
+        whole = bodies.join(ranks.withColumnRenamed("id", "paper_id"), "paper_id")
     hits = whole.join(papers.select(F.col("id").alias("paper_id"), "title"), "paper_id").orderBy("rank", "paper_id").limit(k)
-    any_term = "|".join(map(re.escape, sorted(terms, key=len, reverse=True))) or "(?!)"
     low = F.lower("body")
-    pieces = F.split(F.regexp_replace(low, any_term, "\x01$0"), "\x01", -1)
-    # offsets of all matches: running lengths of the pieces before them
-    steps = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda x: F.length(x))
-    places = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("p")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["p"], F.array(s["at"] + n)).alias("p")), lambda s: s["p"])
-    hits = hits.withColumn("places", places)
-    near = F.transform("places", lambda p: F.struct(F.size(F.filter("places", lambda q: (q >= p) & (q < p + SNIPPET))).alias("n"), (-p).alias("p")))
-    first = -F.array_max(near)["p"]
-    hits = hits.withColumn("first", F.coalesce(first, F.lit(0)))
-    begin = F.greatest(F.col("first") - 8, F.lit(0))
-    window = F.substring("body", begin + 1, F.lit(SNIPPET))
-    marked = F.regexp_replace(window, f"(?i){any_term}", "[$0]")
-    snippet = F.concat(F.when(begin > 0, "…").otherwise(""), marked, F.when(begin + SNIPPET < F.length("body"), "…").otherwise(""))
+    hits = hits.withColumn("shown", F.when(F.length(low) == F.length("body"), F.col("body")).otherwise(low))
+    hits = hits.join(matches(hits, terms or [" "]), "paper_id").withColumn("first", best_window(F.col("places"), max(len(terms), 1)))
+    inside = F.filter("places", lambda m: (m["at"] >= F.col("first")) & (m["end"] <= F.col("first") + SNIPPET))
+    room = SNIPPET + F.col("first") - F.array_max(F.transform(inside, lambda m: m["end"]))
+    former = F.array_max(F.transform(F.filter("places", lambda m: m["at"] < F.col("first")), lambda m: m["at"]))
+    begin = F.col("first") - F.least(F.lit(LEAD), F.col("first"), room, F.col("first") - F.coalesce(former, F.lit(-1)) - 1)
+    any_term = "|".join(re.escape(t[:SNIPPET]) for t in sorted(terms, key=len, reverse=True)) or "(?!)"
+    marked = F.regexp_replace(F.substring("shown", begin + 1, F.lit(SNIPPET)), f"(?iu){any_term}", "[$0]")
+    snippet = F.concat(F.when(begin > 0, "…").otherwise(""), marked, F.when(begin + SNIPPET < F.length("shown"), "…").otherwise(""))
     before = F.substring("body", F.lit(1), F.col("first"))
     return hits.select("paper_id", "title", snippet.alias("snippet"), T.anchor_section(before).alias("section"), T.anchor_page(before).alias("page"), F.round("rank", 6).alias("rank"))

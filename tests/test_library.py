@@ -1,11 +1,17 @@
 """The library on disk: upserts, migrations, edges, errors, streaming import."""
 
 import json
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
+from stacklore import postings
+from stacklore.commits import Conflict
 from stacklore.errors import NotFound, Validation
 from stacklore.library import Library
+from stacklore.operators import search
 from stacklore.schema import PAPERS
 from stacklore.streaming import imports
 
@@ -56,35 +62,115 @@ def test_edges(spark, library):
     assert {(r["cited"], r["context"]) for r in library.read("citations").collect()} == {("p2", "method"), ("p3", "")}
 
 
-def test_search_and_postings(library):
-    assert [r["id"] for r in library.search("quantum", 2).collect()] == ["p0", "p1"]
-    library.rebuild_index()
-    assert library.prefiltered("paper 3").count() >= 1
+def hits(library, query, k=10):
+    return [(r["id"], r["tier"], round(r["rank"], 9)) for r in library.search(query, k).collect()]
+
+
+def by_all_rows(library, query, k=10):
+    rows = search.search_merged(library.read("papers"), library.read("bodies"), query, k).collect()
+    return [(r["id"], r["tier"], round(r["rank"], 9)) for r in rows]
+
+
+QUERIES = ("quantum", "traps QUANTUM", "zzz", "ab", "ape")
 
 
 def test_search_by_the_index_equals_search_of_all_rows(spark, library):
     library.set_body("p2", "a body on traps and quantum noise")
     library.set_body("p3", "another body, on traps alone")
-    rows = lambda q: [(r["id"], r["tier"], round(r["rank"], 9)) for r in library.search(q, 10).collect()]
-    queries = ("quantum", "paper noise", "traps", "traps quantum", "zzz", "ab")
-    assert not library.index_is_fresh()
-    plain = [rows(q) for q in queries]
+    library.set_body("ghost", "traps of no paper")
+    assert not library.index_is_fresh() and not library.refresh_index()
+    plain = [hits(library, q) for q in QUERIES]
     library.rebuild_index()
-    assert library.index_is_fresh() and [rows(q) for q in queries] == plain
-    library.set_body("p0", "traps too")
-    assert not library.index_is_fresh() and len(rows("traps")) == 3
+    assert library.index_is_fresh() and [hits(library, q) for q in QUERIES] == plain == [by_all_rows(library, q) for q in QUERIES]
 
 
-def test_compaction_that_stops_half_way_loses_nothing(spark, library, monkeypatch):
-    library.upsert("papers", library.read("papers").where("id = 'p3'"), deleted=True)
-    before = sorted(r["id"] for r in library.read("papers").collect())
-    files, old = library._files("papers")
-    library._write("papers", library.read("papers"), False)  # the snapshot is there, the old batches still are
-    assert sorted(r["id"] for r in library.read("papers").collect()) == before == ["p0", "p1", "p2"]
-    files.delete(old[0], True)
+def test_index_follows_writes(spark, library):
+    library.rebuild_index()
+    rng = random.Random(3)
+    for i in range(6):
+        library.set_body(f"p{rng.randrange(4)}", " ".join(rng.choices(["traps", "quantum", "noise", "paper", "untrapped"], k=rng.randint(1, 12))))
+        assert library.index_is_fresh()
+        if i % 3 == 1:
+            gone = rng.randrange(4)
+            library.upsert("papers", library.read("papers").where(F.col("id") == f"p{gone}"), deleted=True)
+            library.upsert("papers", spark.createDataFrame([(f"n{i}", f"New paper on traps {i}")], "id string, title string"))
+        if i == 4:
+            library.compact("bodies", 0)
+            library.compact("papers", 0)
+            assert library.index_is_fresh()
+    assert [hits(library, q) for q in QUERIES] == [by_all_rows(library, q) for q in QUERIES]
+    followed = library.index("papers").state(), library.index("bodies").state()
+    assert len(library.index("bodies").log.live()) < 6  # segments were merged
+    library.rebuild_index()
+    again = library.index("papers").state(), library.index("bodies").state()
+    assert [(x["n"], x["size"]) for x in followed] == [(x["n"], x["size"]) for x in again]
+
+
+def test_index_that_missed_a_compaction_is_built_anew(library, monkeypatch):
+    library.rebuild_index()
+    with monkeypatch.context() as m:
+        m.setattr(Library, "_follow", lambda self, table: None)
+        library.set_keywords("p1", "fresh traps")
+        library.compact("papers", 0)
+        assert not library.index_is_fresh()
+    assert [x[0] for x in hits(library, "fresh")] == ["p1"] and library.index_is_fresh()
+
+
+def test_top_of_the_index_reads_few_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    monkeypatch.setattr(postings, "FIRST", 4)
+    rng = random.Random(7)
+    rows = [(f"p{i:04d}", " ".join(rng.choices(["ion", "beam", "trap", "laser", "ionised"], weights=[1, 9, 9, 9, 1], k=rng.randint(2, 200)))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "id string, body string")
+    index = postings.WordIndex(spark, str(tmp_path / "ix"), ("body",))
+    index.build(docs, 1)
+    for query in ("ion", "ionised", "trap ion", "beam laser"):
+        told = {}
+        got = [(r["id"], round(r["rank"], 9)) for r in index.top(query, 5, told=told).orderBy("rank", "id").collect()]
+        assert got == [(r["id"], round(r["rank"], 9)) for r in search.top(docs, query, 5, "id", ("body",)).collect()]
+        assert told["blocks"] > 60 and told["read"] < told["blocks"] * (0.8 if " " in query else 0.5), (query, told)
+    some = index.top("ion", 5, lambda r: r.where("id > 'p0400'")).collect()
+    expected = search.ranked(docs, "ion", ("body",)).where("id > 'p0400'").orderBy("rank", "id").limit(5).collect()
+    assert sorted(r["id"] for r in some) == sorted(r["id"] for r in expected)
+
+
+def test_half_written_and_compacted_batches(spark, library):
+    log = library.log("papers")
+    before, at = sorted(r["id"] for r in library.read("papers").collect()), log.version()
+    folder = library._write("papers", spark.createDataFrame([("half", "Not committed")], "id string, title string"))
     assert sorted(r["id"] for r in library.read("papers").collect()) == before
+    library.upsert("papers", library.read("papers").where("id = 'p3'"), deleted=True)
+    live = log.live()
+    snapshot = library._write("papers", library.read("papers"))
+    library.upsert("papers", spark.createDataFrame([("p9", "Meanwhile"), ("p0", "Changed")], "id string, title string"))
+    log.commit(snapshot, replaces=live, order=live[-1]["order"], whole=log.version() - 1)
+    state = {r["id"]: r["title"] for r in library.read("papers").collect()}
+    assert sorted(state) == ["p0", "p1", "p2", "p9"] and state["p0"] == "Changed"
+    with pytest.raises(Conflict):  # another compaction of the same batches
+        log.commit(library._write("papers", library.read("papers")), replaces=live, order=live[-1]["order"])
+    assert sorted(r["id"] for r in library.read("papers", at).collect()) == before  # an older snapshot, as long as its folders are kept
+    library.compact("papers", 0)
+    assert sorted(r["id"] for r in library.read("papers").collect()) == ["p0", "p1", "p2", "p9"]
+    assert len(log._list("data")) == 1 and folder not in str(log._list("data"))
+
+
+def test_writers_and_a_compaction_in_parallel_lose_nothing(spark, library):
+    def write(name):
+        for i in range(4):
+            library.upsert("papers", spark.createDataFrame([(f"{name}{i}", f"By {name}")], "id string, title string"))
+
+    def rate(stars):
+        library.set_rating("p1", stars)
+
+    jobs = [lambda: write("a"), lambda: write("b"), lambda: rate(3), lambda: library.set_status("p1", "read"), lambda: library.compact("papers"), lambda: library.compact("papers")]
+    with ThreadPoolExecutor(6) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+    assert library.read("papers").count() == 4 + 8
+    row = paper(library, "p1")
+    assert (row["rating"], row["status"]) == (3, "read")  # neither change overwrote the other
     library.compact("papers")
-    assert sorted(r["id"] for r in library.read("papers").collect()) == before and len(library._files("papers")[1]) == 1
+    assert library.read("papers").count() == 12
 
 
 def test_stream(spark, library, tmp_path):

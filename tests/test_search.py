@@ -51,3 +51,42 @@ def test_evidence_is_scoped_before_the_limit(spark, papers):
     got = search.evidence(papers, bodies, "ion", 1, "p0").collect()
     assert [(r["paper_id"], r["section"], r["page"]) for r in got] == [("p0", "Results", 2)]
     assert "[ION]" in got[0]["snippet"]
+
+
+def windows(body, terms):
+    """All windows that begin at a match, by brute force: where the best one begins."""
+    low, best = body.lower(), None
+    found = [(i, min(i + len(t), i + search.SNIPPET), k) for k, t in enumerate(terms) for i in range(len(low)) if low.startswith(t, i)]
+    for p in sorted({m[0] for m in found}):
+        inside = [m for m in found if p <= m[0] and m[1] <= p + search.SNIPPET]
+        score = (len({m[2] for m in inside}), len(inside), -p)
+        best = max(best or score, score)
+    return -best[2]
+
+
+@pytest.mark.parametrize("query", ["ion beam", "aa aaa", "noise trap ion", "averylongtermthatislongerthanasnippetis ion"])
+def test_evidence_windows_against_all_windows(spark, papers, query):
+    rng, terms = random.Random(8), search.query_terms(query)
+    pieces = [*terms, "x" * 7, "a", "filler text", "\n", "İ" if query == "ion beam" else "i"]
+    bodies = {f"p{i}": "ion " + " ".join(rng.choices(pieces, k=rng.randint(1, 60))) + " " + " ".join(terms) for i in range(25)}
+    got = search.evidence(papers, spark.createDataFrame(list(bodies.items()), ["paper_id", "body"]), query, 100).collect()
+    assert len(got) == 25
+    for r in got:
+        body = bodies[r["paper_id"]]
+        body = body if len(body) == len(body.lower()) else body.lower()
+        at = windows(body, terms)
+        shown = r["snippet"].removeprefix("…").removesuffix("…")
+        plain = shown.replace("[", "").replace("]", "")
+        assert len(plain) <= search.SNIPPET and plain in body
+        assert shown.index("[") + body.index(plain, max(at - search.LEAD, 0)) == at  # the first bracket is at the window's first match
+
+
+def test_evidence_of_many_matches_is_linear(spark, papers):
+    bodies = spark.createDataFrame([("p0", "ion beam " * 30_000)], ["paper_id", "body"])
+    assert search.evidence(papers, bodies, "ion beam", 1).first()["snippet"].startswith("[ion] [beam]")
+
+
+def test_evidence_anchors_the_shown_match(spark, papers):
+    body = "<!-- page 1 -->\n## Introduction\nbackground material\n<!-- page 3 -->\n## Results\nthe ion beam produced clean output\n"
+    row = search.evidence(papers, spark.createDataFrame([("p0", body)], ["paper_id", "body"]), "ion beam", 10).first()
+    assert (row["section"], row["page"]) == ("Results", 3) and "[ion] [beam]" in row["snippet"]
