@@ -65,21 +65,23 @@ class Research:
         return {"imported": added, "skipped_duplicates": n - added}
 
     def import_papers(self, path: str, topic_id: str | None = None) -> dict:
-        """Files of a bibliography, in BibTeX or JSON; a file that can't be read is reported and the others count."""
+        """Files of a bibliography, in BibTeX or JSON; a file that can't be read, or has an item that can't, is reported and
+        the others count. Parsed records are written down once, for the count of failures and for the library."""
         done: dict = {"imported": 0, "skipped_duplicates": 0, "failed": []}
-        bib = bibtex.parse(json_sources.read_documents(self.spark, path, "bib,bibtex")).persist()
-        documents = json_sources.read_documents(self.spark, path, "json").persist()
+        scratch = Scratch(self.spark)
+        bib = scratch.save(bibtex.parse(json_sources.read_documents(self.spark, path, "bib,bibtex")), "bib")
+        documents = scratch.save(json_sources.read_documents(self.spark, path, "json"), "json")
         done["failed"] += [r["file"] for r in bib.where("error is not null").select("file").unionByName(json_sources.unreadable(documents).select("file")).orderBy("file").collect()]
         for records in (bib.where("error is null").drop("error", "file"), json_sources.bibliography(documents).drop("file")):
             got = self.store(records, topic_id)
             done["imported"] += got["imported"]
             done["skipped_duplicates"] += got["skipped_duplicates"]
-        bib.unpersist()
-        documents.unpersist()
+        scratch.keep()
         return done
 
-    def landed(self, kind: str, path: str) -> DataFrame:
-        """Records of the answers of one service that lie in a folder; of page texts also their bodies."""
+    def landed(self, kind: str, path: str, limit: int | None = None) -> DataFrame:
+        """Records of the answers of one service that lie in a folder; of page texts also their bodies, of a remote library
+        the first ``limit``."""
         if kind == "atom":
             return atom.read(self.spark, path)
         if kind == "pages":
@@ -88,6 +90,7 @@ class Research:
         readers = {
             "openalex": json_sources.openalex, "europe_pmc": json_sources.europe_pmc, "preprints": lambda d: json_sources.europe_pmc(d, True),
             "semantic_scholar": json_sources.semantic_scholar, "bibliography": lambda d: json_sources.bibliography(d).drop("file"),
+            "remote": lambda d: json_sources.remote_papers(d, limit),
         }
         if kind not in readers:
             raise Validation(f"no such source: {kind}")
@@ -123,11 +126,7 @@ class Research:
         """Labels a paper's stored edges, in one direction, by the intents in a folder. Gives the number of labels."""
         found = json_sources.citation_intents(json_sources.read_documents(self.spark, path, "json")).withColumn("paper_id", F.lit(paper_id))
         papers = self.library.read("papers").withColumn("seq", F.lit(0).cast("long"))
-        labelled = graph.label_intents(self.library.read("citations"), found, papers, cited_by).where("changed").drop("changed")
-        n = labelled.count()
-        if n:
-            self.library.upsert("citations", labelled)
-        return n
+        return self.library.revise("citations", lambda edges: graph.label_intents(edges, found, papers, cited_by).where("changed").drop("changed"))
 
     def query(self, text: str, limit: int = 20) -> DataFrame:
         return self.library.search(text, scans.page(limit, 20, 1000))
@@ -150,13 +149,8 @@ class Research:
         lines = self.spark.createDataFrame([(reply,)], "reply string").select(F.inline(T.keyword_lines(F.col("reply"))))
         if lines.isEmpty():
             raise Serialization("no line of the reply has keywords")
-        papers = self.library.read("papers").where("keywords = ''")
         last = lines.groupBy("paper_id").agg(F.max("keywords").alias("new")).withColumnRenamed("paper_id", "id")
-        changed = papers.join(F.broadcast(last), "id").withColumn("keywords", F.substring("new", 1, MAX_KEYWORDS)).drop("new")
-        n = changed.count()
-        if n:
-            self.library.upsert("papers", changed)
-        return n
+        return self.library.revise("papers", lambda papers: papers.where("keywords = ''").join(F.broadcast(last), "id").withColumn("keywords", F.substring("new", 1, MAX_KEYWORDS)).drop("new"))
 
     def gap_reply(self, topic_id: str, reply: str) -> int:
         """Gaps of a model's reply; one without any valid line is an error."""
@@ -227,11 +221,10 @@ class Research:
         return found.first()["l"]
 
     def overview(self) -> DataFrame:
-        read = self.library.read
-        return stats.overview(read("topics"), read("papers"), read("gaps"), read("reports"))
+        return self.library.counts().overview()
 
     def pipeline(self, column: str = "status") -> DataFrame:
-        return stats.funnel(self.library.read("papers"), column).orderBy("position")
+        return self.library.counts().funnel(column).orderBy("position")
 
     def history(self) -> DataFrame:
         read = self.library.read
@@ -277,6 +270,13 @@ COMMANDS = {
     "evidence": lambda r, a, *words: r.evidence(" ".join(words), a.limit),
     "references": lambda r, a, paper: r.references(paper),
     "cited-by": lambda r, a, paper: r.references(paper, True),
+    "sync-references": lambda r, a, paper, path: r.sync_references(paper, path),
+    "sync-citers": lambda r, a, paper, path: r.sync_references(paper, path, True),
+    "sync-intents": lambda r, a, paper, path: r.sync_intents(paper, path),
+    "remote": lambda r, a, path: r.store(r.landed("remote", path, a.limit), a.topic),
+    "states": lambda r, a: r.states(),
+    "gap-reply": lambda r, a, topic, file: r.gap_reply(topic, Path(file).read_text(encoding="utf-8")),
+    "compact": lambda r, a, table: r.library.compact(table),
     "topics": lambda r, a: r.topics(),
     "topic-add": lambda r, a, name: r.topic_add(name, a.topic),
     "brief": lambda r, a, topic: r.brief(topic),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .commits import CommitLog, Conflict
+from .counts import Counts
 from .errors import NotFound, Validation
 from .functions import text as T
 from .operators import graph, scans, search
@@ -64,7 +65,7 @@ class Library:
         rows = rows.select(*[c for c in rows.columns if c in known])
         return self.log(table).write(rows.withColumns({"_row": F.monotonically_increasing_id(), "_deleted": F.lit(deleted)}))
 
-    def _revise(self, table: str, make: Callable[[DataFrame], DataFrame]) -> int:
+    def revise(self, table: str, make: Callable[[DataFrame], DataFrame]) -> int:
         """Upserts what ``make`` makes of the table's rows, again if another commit came between; gives the number of
         rows. Nothing is committed for no rows."""
         log = self.log(table)
@@ -103,7 +104,7 @@ class Library:
         kinds = {f.name: f.dataType for f in TABLES[table][0].fields}
         now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
         new = {k: (v if hasattr(v, "_jc") else F.lit(v)).cast(kinds[k]) for k, v in columns.items()} | ({"updated_at": now} if "updated_at" in kinds else {})
-        if not self._revise(table, lambda rows: rows.where(F.col(key) == value).withColumns(new)) and required:
+        if not self.revise(table, lambda rows: rows.where(F.col(key) == value).withColumns(new)) and required:
             raise NotFound(f"{table}: {value}")
 
     def set_body(self, paper_id: str, body: str) -> None:
@@ -131,10 +132,14 @@ class Library:
         self._change("papers", "id", paper_id, rating=F.lit(rating))
 
     def insert_citations(self, edges: DataFrame) -> int:
-        return self._revise("citations", lambda rows: graph.new_edges(rows, edges))
+        return self.revise("citations", lambda rows: graph.new_edges(rows, edges))
 
     def label_citations(self, labels: DataFrame) -> int:
-        return self._revise("citations", lambda rows: graph.label_edges(rows, labels).where("changed").drop("changed"))
+        return self.revise("citations", lambda rows: graph.label_edges(rows, labels).where("changed").drop("changed"))
+
+    def counts(self) -> Counts:
+        """Counts of the whole library, brought up to date."""
+        return Counts(self)
 
     def get_paper(self, paper_id: str) -> DataFrame:
         return scans.get(self.read("papers"), "id", paper_id)

@@ -16,8 +16,13 @@ def plan(papers: DataFrame, items: DataFrame) -> DataFrame:
     p = papers.withColumn("k", T.normalize_doi(F.col("doi")))
     one = items.withColumn("k", T.normalize_doi(F.col("doi"))).where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min(F.struct("key", "version", "tags")).alias("i"))
     trimmed = F.filter(F.transform("i.tags", T.strip), lambda x: x != "")
-    siblings = p.where("k is not null").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("created_at", "seq", "tags")), asc=False).alias("s"))
-    union = siblings.join(one, "k").select("k", F.col("i.key").alias("key"), F.col("i.version").alias("version"), "n", trimmed.alias("current"), T.merge_tags(F.col("i.tags"), F.flatten(F.transform("s", lambda s: s["tags"]))).alias("merged"))
+    # of each tag of an identifier its first place among the papers, newest first: a row per tag, however many papers share it
+    tags = p.where("k is not null").select("k", "created_at", "seq", F.posexplode("tags").alias("at", "tag")).withColumn("tag", T.strip(F.col("tag")))
+    tags = tags.groupBy("k", "tag").agg(F.max(F.struct("created_at", "seq", (-F.col("at")).alias("at"))).alias("first"))
+    siblings = tags.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("first", "tag")), asc=False).alias("s"))
+    siblings = p.where("k is not null").select("k").distinct().join(siblings, "k", "left")
+    own = F.coalesce(F.transform("s", lambda x: x["tag"]), F.array().cast("array<string>"))
+    union = siblings.join(one, "k").select("k", F.col("i.key").alias("key"), F.col("i.version").alias("version"), "n", trimmed.alias("current"), T.merge_tags(F.col("i.tags"), own).alias("merged"))
     outcome = F.when(F.col("k").isNull(), "no_doi").when(F.col("n").isNull(), "not_in_remote").when(F.col("n") > 1, "ambiguous").when(F.col("merged") == F.col("current"), "unchanged").otherwise("update")
     out = p.join(union, "k", "left").withColumn("outcome", outcome)
     single = F.col("n") == 1

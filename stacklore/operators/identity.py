@@ -49,26 +49,62 @@ def _long(rows: DataFrame, **keys: str) -> DataFrame:
     return rows.select("id", F.struct("seq", "id").alias("at"), each.alias("k")).select("id", "at", "k.*").where("key is not null")
 
 
+#: Rounds before chains are looked for.
+PLAIN = 3
+
+
+def _chains(state: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """id, known of the rows that depend on a settled row through rows which wait for one other each: such a row is new if
+    the row it waits for isn't. Pointers double, so a chain of n rows takes log2(n) joins."""
+    links = state.where("not hit and waits and not many and low = high").select("id", F.col("low.id").alias("to"), F.lit(True).alias("flip"))
+    links, n = scratch.save(links, f"links{k}_0"), 0
+    while True:
+        on = links.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("flip").alias("again"))
+        joined = links.join(on, "to", "left")
+        if joined.where("next is not null").isEmpty():
+            break
+        n += 1
+        links = scratch.save(joined.select("id", F.coalesce("next", "to").alias("to"), F.when(F.col("next").isNull(), F.col("flip")).otherwise(F.col("flip") != F.col("again")).alias("flip")), f"links{k}_{n}")
+    ends = state.where("hit or not waits").select(F.col("id").alias("to"), "hit")
+    return links.join(ends, "to").select("id", (F.col("hit") != F.col("flip")).alias("known"))
+
+
 def resolve_batch(incoming: DataFrame, library: DataFrame) -> DataFrame:
     """As if the rows came one by one, in order of seq, ids being unique: a row also matches an earlier row of the batch
     that was itself inserted, and an identifier met there outranks a path or title met in the library. Adds is_new.
 
     Rounds to a fixed point. In each, a key has one row, its first inserted and its first undecided offer: a row with an
     earlier inserted offer is a duplicate, one that waits for no earlier undecided offer is new. So no round joins a
-    row to more than its three keys. Rounds are written to the shared folder."""
+    row to more than its three keys. What is open after PLAIN rounds may be chains, in which each row waits for one other:
+    these are contracted by ``_chains``. Rounds are written to the shared folder."""
     scratch = Scratch(incoming.sparkSession)
     rows = scratch.save(_library_matches(incoming, library).withColumn("own_title", T.blank_to_null(T.normalize_title(F.col("title")))), "rows")
     undecided = scratch.save(rows.where("by_doi is null and by_path is null and by_title is null").select("id", "seq", *(f"k_{x}" for x in KINDS), "own_title"), "open0")
     inserted, k = scratch.save(undecided.where("false"), "inserted0"), 0
-    first = lambda offers, name: _long(offers, doi="k_doi", path="k_path", title="own_title").groupBy("kind", "key").agg(F.min("at").alias(name))
+    offered = lambda offers: _long(offers, doi="k_doi", path="k_path", title="own_title")
+    first = lambda offers, name: offered(offers).groupBy("kind", "key").agg(F.min("at").alias(name))
     while not undecided.isEmpty():
-        asked = _long(undecided, doi="k_doi", path="k_path", title="k_title").join(first(undecided, "waiting"), ["kind", "key"], "left").join(first(inserted, "stored"), ["kind", "key"], "left")
-        told = asked.groupBy("id").agg(F.bool_or(F.coalesce(F.col("stored") < F.col("at"), F.lit(False))).alias("hit"), F.bool_or(F.coalesce(F.col("waiting") < F.col("at"), F.lit(False))).alias("waits"))
+        waiting = first(undecided, "waiting")
+        asked = _long(undecided, doi="k_doi", path="k_path", title="k_title").join(waiting, ["kind", "key"], "left").join(first(inserted, "stored"), ["kind", "key"], "left")
+        earlier = lambda c: F.coalesce(F.col(c) < F.col("at"), F.lit(False))
+        told = [F.bool_or(earlier("stored")).alias("hit"), F.bool_or(earlier("waiting")).alias("waits")]
+        if k >= PLAIN:
+            second = offered(undecided).join(waiting, ["kind", "key"]).where("at > waiting").groupBy("kind", "key").agg(F.min("at").alias("second"))
+            asked = asked.join(second, ["kind", "key"], "left")
+            one = F.when(earlier("waiting"), F.col("waiting"))
+            told += [F.bool_or(earlier("second")).alias("many"), F.min(one).alias("low"), F.max(one).alias("high")]
+        told = asked.groupBy("id").agg(*told)
         no = F.lit(False)
         state = scratch.save(undecided.join(told, "id", "left").withColumns({"hit": F.coalesce("hit", no), "waits": F.coalesce("waits", no)}), f"state{k}")
+        settled = state.where("hit or not waits").select("id", F.col("hit").alias("known"))
+        if k >= PLAIN:
+            settled = settled.unionByName(_chains(state, scratch, k))
         k += 1
-        inserted = scratch.save(inserted.unionByName(state.where("not hit and not waits").drop("hit", "waits")), f"inserted{k}")
-        undecided = scratch.save(state.where("not hit and waits").drop("hit", "waits"), f"open{k}")
+        mine = [c for c in undecided.columns]
+        done = scratch.save(settled, f"settled{k}")
+        inserted = scratch.save(inserted.unionByName(undecided.join(done.where("not known"), "id").select(*mine)), f"inserted{k}")
+        undecided = scratch.save(undecided.join(done, "id", "left_anti").select(*mine), f"open{k}")
+        scratch.keep("rows", f"inserted{k}", f"open{k}")
     offers = scratch.save(first(inserted, "stored"), "offers")
     out = rows
     for kind in KINDS:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import Validation
 from ..functions import text as T
 from ..schema import GAP_CHARS, GAP_TOKENS, KEYWORD_TOKENS, REPORT_TOKENS
+from ..scratch import Scratch
+
+
+def paper_order() -> list[Column]:
+    """A topic's papers from the most relevant to the least."""
+    return [F.desc("relevance"), F.desc("created_at"), F.asc("paper_id")]
+
 
 
 def with_depth(topics: DataFrame) -> DataFrame:
@@ -17,25 +24,76 @@ def with_depth(topics: DataFrame) -> DataFrame:
 
 
 def ancestors(topics: DataFrame) -> DataFrame:
-    """topic, ancestor, distance for the whole tree."""
-    topics.createOrReplaceTempView("__stacklore_topics")
-    return topics.sparkSession.sql(
-        "WITH RECURSIVE up(topic, ancestor, distance) AS (SELECT id, id, 0 FROM __stacklore_topics UNION ALL "
-        "SELECT u.topic, t.parent_topic_id, u.distance + 1 FROM up u JOIN __stacklore_topics t ON u.ancestor = t.id WHERE t.parent_topic_id IS NOT NULL) SELECT * FROM up"
-    )
+    """topic, ancestor, distance for the whole tree, by doubling: a round joins each topic's pairs to those of the topic
+    that lies as far up as the pairs reach, so a tree of depth d takes about log2(d) rounds. Parents that aren't topics
+    are ancestors without further ones. A cycle is an error: its topics still lie above themselves when paths are longer
+    than there are topics."""
+    scratch, total, k = Scratch(topics.sparkSession), topics.count(), 0
+    up = topics.where("parent_topic_id is not null").select(F.col("id").alias("topic"), F.col("parent_topic_id").alias("ancestor"))
+    jump = scratch.save(up, "jump0")  # the ancestor at distance 2 ** k
+    pairs = scratch.save(topics.select(F.col("id").alias("topic"), F.col("id").alias("ancestor"), F.lit(0).alias("distance")), "pairs0")  # at less than 2 ** k
+    strangers = jump.select(F.col("ancestor").alias("topic")).distinct().join(pairs.select("topic"), "topic", "left_anti")
+    pairs = pairs.unionByName(strangers.select("topic", F.col("topic").alias("ancestor"), F.lit(0).alias("distance")))
+    while not jump.isEmpty():
+        if 1 << k > total:
+            raise Validation("topics are their own ancestors: " + ", ".join(r["topic"] for r in jump.select("topic").orderBy("topic").limit(5).collect()))
+        above = jump.select(F.col("topic").alias("below"), F.col("ancestor").alias("topic"))
+        far = above.join(pairs, "topic").select(F.col("below").alias("topic"), "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
+        k += 1
+        pairs = scratch.save(pairs.unionByName(far), f"pairs{k}")
+        jump = scratch.save(above.join(jump, "topic").select(F.col("below").alias("topic"), "ancestor"), f"jump{k}")
+        scratch.keep(f"pairs{k}", f"jump{k}")
+    return pairs.join(topics.select(F.col("id").alias("topic")), "topic", "left_semi").select("topic", "ancestor", "distance")
+
+
+def moved(closure: DataFrame, moves: DataFrame) -> DataFrame:
+    """The ancestors after topics got another parent (topic, parent; null for none), from the ancestors before: the pairs
+    between a moved subtree and what was above it go, those with what is above the new parent come. Moved subtrees must
+    not lie in each other; a new parent inside its own subtree is an error."""
+    inside = closure.join(moves.select(F.col("topic").alias("ancestor")), "ancestor").select(F.col("ancestor").alias("head"), "topic", F.col("distance").alias("below"))
+    bad = inside.join(moves, (F.col("head") == moves["topic"]) & (inside["topic"] == F.col("parent"))).limit(1).collect()
+    if bad:
+        raise Validation(f"topic under itself: {bad[0]['head']}")
+    old = inside.select("head", "topic").join(closure.where("distance > 0"), "topic").join(inside.select("head", F.col("topic").alias("ancestor")), ["head", "ancestor"], "left_anti").select("topic", "ancestor")
+    over = moves.where("parent is not null").select(F.col("topic").alias("head"), F.col("parent").alias("topic")).join(closure, "topic").select("head", "ancestor", (F.col("distance") + 1).alias("above"))
+    new = inside.join(over, "head").select("topic", "ancestor", (F.col("below") + F.col("above")).alias("distance"))
+    return closure.join(old, ["topic", "ancestor"], "left_anti").unionByName(new)
+
+
+#: Parts into which the rows of one key are dealt before its best are put together.
+PARTS = 512
+
+
+def within_budget(rows: DataFrame, key: str, order: list[Column], cost: Column, budget: int) -> DataFrame:
+    """The first rows of each key in order whose costs before them, which aren't negative, sum up to ``budget`` at most,
+    with that sum as ``before`` and ``position`` from 1. A key's rows are dealt over PARTS: what a part alone rules out is
+    out, as costs of other parts only add to the sum, and the first row over the budget stays, so that those after it are
+    ruled out by the sum over all parts too. So no task sorts more than a part, or PARTS times what fits the budget."""
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*rows.columns[:3]), F.lit(PARTS)))
+    for keys in ([key, "__part"], [key]):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        rows = rows.withColumn("before", F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        rows = (rows.withColumn("position", F.row_number().over(w)) if keys == [key] else rows).where(F.col("before") <= budget)
+    return rows.drop("__part")
 
 
 def states(topics: DataFrame, state: DataFrame) -> DataFrame:
     return topics.join(state, topics["id"] == state["topic_id"], "left").drop("topic_id")
 
 
-def briefs(topics: DataFrame, state: DataFrame, papers: DataFrame, links: DataFrame, gaps: DataFrame) -> DataFrame:
-    """One row per topic: topic, state (or null), its papers by relevance, its gaps by priority. Three aggregations,
-    each keyed by topic, then joined to the topics."""
-    p = links.join(papers.select(F.col("id").alias("paper_id"), "title", "created_at"), "paper_id").groupBy("topic_id").agg(F.collect_list(F.struct((-F.col("relevance")).alias("r"), "paper_id", "title")).alias("l"))
-    p = p.select("topic_id", F.transform(F.array_sort("l"), lambda s: F.struct(s["paper_id"].alias("id"), s["title"].alias("title"))).alias("papers"))
-    g = gaps.groupBy("topic_id").agg(F.collect_list(F.struct((-F.col("priority")).alias("r"), "id", "description")).alias("l"))
-    g = g.select("topic_id", F.transform(F.array_sort("l"), lambda s: F.struct(s["id"].alias("id"), s["description"].alias("description"))).alias("gaps"))
+def briefs(topics: DataFrame, state: DataFrame, papers: DataFrame, links: DataFrame, gaps: DataFrame, most: int | None = None) -> DataFrame:
+    """One row per topic: topic, state (or null), its papers by relevance, its gaps by priority, all of them or the first
+    ``most``, which bounds a row however many papers a topic has. Three aggregations, each keyed by topic, then joined to
+    the topics."""
+
+    def listed(rows: DataFrame, score: str, key: str, label: str, name: str) -> DataFrame:
+        if most is not None:
+            rows = within_budget(rows, "topic_id", [F.desc(score), F.asc(key)], F.lit(1), most - 1).drop("before", "position")
+        rows = rows.groupBy("topic_id").agg(F.collect_list(F.struct((-F.col(score)).alias("r"), F.col(key).alias("id"), label)).alias("l"))
+        return rows.select("topic_id", F.transform(F.array_sort("l"), lambda s: F.struct(s["id"].alias("id"), s[label].alias(label))).alias(name))
+
+    p = listed(links.join(papers.select(F.col("id").alias("paper_id"), "title"), "paper_id").select("topic_id", "paper_id", "relevance", "title"), "relevance", "paper_id", "title", "papers")
+    g = listed(gaps.select("topic_id", "id", "priority", "description"), "priority", "id", "description", "gaps")
     s = state.select("topic_id", F.struct(*[c for c in state.columns if c != "topic_id"]).alias("state"))
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     out = topics.withColumnRenamed("id", "topic_id").join(s, "topic_id", "left").join(p, "topic_id", "left").join(g, "topic_id", "left")
@@ -56,9 +114,8 @@ def report_context(papers: DataFrame, links: DataFrame, budget: int = REPORT_TOK
     negative, so a running sum is the loop that stops at the first misfit."""
     line = F.concat(F.lit("- "), "title", F.lit(": "), "abstract_text", F.lit("\n"))
     rows = links.join(papers.select(F.col("id").alias("paper_id"), "created_at", line.alias("line"), T.tokens(line).alias("cost")), "paper_id")
-    w = Window.partitionBy("topic_id").orderBy(F.desc("relevance"), F.desc("created_at"), "paper_id")
-    rows = rows.withColumns({"used": F.sum("cost").over(w.rowsBetween(Window.unboundedPreceding, 0)), "position": F.row_number().over(w)})
-    return rows.where((F.col("used") <= budget) | (F.col("position") == 1)).select("topic_id", "paper_id", "position", "line", "cost")
+    rows = within_budget(rows.select("topic_id", "paper_id", "relevance", "created_at", "line", "cost"), "topic_id", paper_order(), F.col("cost"), budget)
+    return rows.where((F.col("before") + F.col("cost") <= budget) | (F.col("position") == 1)).select("topic_id", "paper_id", "position", "line", "cost")
 
 
 def keyword_batch(papers: DataFrame, budget: int = KEYWORD_TOKENS, most: int = 1000) -> DataFrame:
@@ -75,9 +132,8 @@ def gap_context(papers: DataFrame, links: DataFrame) -> DataFrame:
     """Per topic all papers' blocks in order, cut if they are too long. Blocks after the cut aren't gathered."""
     block = F.concat(F.lit("Title: "), "title", F.lit("\nAbstract: "), "abstract_text", F.lit("\n"))
     rows = links.join(papers.select(F.col("id").alias("paper_id"), "created_at", block.alias("block")), "paper_id")
-    w = Window.partitionBy("topic_id").orderBy(F.desc("relevance"), F.desc("created_at"), "paper_id")
-    rows = rows.withColumns({"position": F.row_number().over(w), "before": F.sum(F.length("block") + 5).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    near = rows.where(F.coalesce("before", F.lit(0)) <= GAP_CHARS + 5).groupBy("topic_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "block"))), lambda s: s["block"]), "\n---\n").alias("t"))
+    rows = within_budget(rows.select("topic_id", "paper_id", "relevance", "created_at", "block"), "topic_id", paper_order(), F.length("block") + 5, GAP_CHARS + 5)
+    near = rows.groupBy("topic_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "block"))), lambda s: s["block"]), "\n---\n").alias("t"))
     return near.select("topic_id", F.when(T.tokens(F.col("t")) > GAP_TOKENS, F.substring("t", 1, GAP_CHARS)).otherwise(F.col("t")).alias("context"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import export, graph, identity, scans, search, stats, topics
+from ..postings import WordIndex
+from ..scratch import Scratch
 from .fixture_sql import doi, title, with_views
 from .fixtures import Fixture
 
@@ -346,11 +348,54 @@ def search_papers_merged(x: Fixture) -> DataFrame:
     return search.search_merged(x.papers(), x.long_bodies(), QUERY, 20).select("id", "tier", F.round("rank", 6).alias("rank"))
 
 
-@query()
+def _evidence(k: int) -> str:
+    """Windows of the best bodies by trying every match as a beginning."""
+    first, second = BODY_QUERY.split()
+    head = "substring(body, 1, pos)"
+    return rf"""{_bm25([first, second], {"f_body": "body"}, "bodies", "paper_id", k)},
+ best AS (SELECT hits.id, hits.rank, p.title, b.body FROM hits JOIN papers p ON p.id = hits.id JOIN bodies b ON b.paper_id = hits.id ORDER BY hits.rank, hits.id LIMIT {k}),
+ places AS (SELECT id, unnest(range(0, length(body))) AS pos, lower(body) AS low FROM best),
+ m AS (SELECT id, pos, pos + length(w) AS stop, w FROM places, (VALUES ('{first}'), ('{second}')) t(w) WHERE substring(low, pos + 1, length(w)) = w),
+ tried AS (SELECT a.id, a.pos, count(DISTINCT b.w) AS kinds, count(*) AS n, max(b.stop) AS stop FROM (SELECT DISTINCT id, pos FROM m) a JOIN m b ON b.id = a.id AND b.pos >= a.pos AND b.stop <= a.pos + 34 GROUP BY a.id, a.pos),
+ one AS (SELECT id, pos, stop FROM tried QUALIFY row_number() OVER (PARTITION BY id ORDER BY kinds DESC, n DESC, pos) = 1),
+ lead AS (SELECT o.id, o.pos, o.pos - least(8, o.pos, 34 + o.pos - o.stop, o.pos - coalesce((SELECT max(m.pos) FROM m WHERE m.id = o.id AND m.pos < o.pos), -1) - 1) AS start FROM one o)
+ SELECT b.id AS paper_id, b.title, CASE WHEN start > 0 THEN '…' ELSE '' END || regexp_replace(substring(body, start + 1, 34), '(?i)({first}|{second})', '[\1]', 'g') || CASE WHEN start + 34 < length(body) THEN '…' ELSE '' END AS snippet,
+ nullif(trim(regexp_extract(chr(10) || {head}, '(?s).*\n## ([^\n]*)', 1)), '') AS section, TRY_CAST(nullif(regexp_extract(chr(10) || {head}, '(?s).*\n<!-- page ([0-9]+)', 1), '') AS INTEGER) AS page, round(b.rank, 6) AS rank FROM best b JOIN lead USING (id)"""
+
+
+@query(_evidence(10))
 def body_evidence(x: Fixture) -> DataFrame:
     return search.evidence(x.papers(), x.bodies(), BODY_QUERY, 10)
 
 
+def _indexed(x: Fixture, rows: DataFrame, fields: tuple[str, ...], text: str, changed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The best rows by a word index; with ``changed`` one of the rows before, followed by a segment of the change."""
+    scratch = Scratch(x.spark)
+    scratch.names.add("index")
+    index = WordIndex(x.spark, f"{scratch.root}/index", fields)
+    if changed is None:
+        index.build(rows, 1)
+    else:
+        former = changed(rows)
+        index.build(former, 1)
+        index.add(rows.where(~F.col("id").endswith("1")), former.where(~F.col("id").endswith("1")), former.select("id").where(~F.col("id").endswith("1")), 2)
+    found = index.top(text, 20).select("id", F.round("rank", 6).alias("rank"))
+    scratch.drop("index")
+    return found
+
+
+@query(_bm25(TWO_TERMS.split(), _META, "papers", "id", 20) + " SELECT id, round(rank, 6) AS rank FROM hits ORDER BY hits.rank, id LIMIT 20")
+def indexed_search(x: Fixture) -> DataFrame:
+    return _indexed(x, x.papers(), search.FIELDS, TWO_TERMS)
+
+
+@query(_bm25([QUERY], {"f_body": "body"}, "(SELECT 'p' || doc_id AS paper_id, text AS body FROM documents)", "paper_id", 20) + " SELECT id, round(rank, 6) AS rank FROM hits ORDER BY hits.rank, id LIMIT 20")
+def indexed_search_after_changes(x: Fixture) -> DataFrame:
+    """Most bodies were others when the index was built, and come to it as a change."""
+    rows = x.long_bodies().withColumnRenamed("paper_id", "id")
+    return _indexed(x, rows, ("body",), QUERY, lambda r: r.withColumn("body", F.when(F.col("id").endswith("1"), F.col("body")).otherwise(F.concat(F.lit("thst before "), "body"))))
+
+
 # -- identity and graph ----------------------------------------------------------------------------------------------
 
 _RESOLVE = f"""lib AS (SELECT id, seq, {doi("doi")} AS kd, pdf_path AS kp, nullif({title("title")}, '') AS kt FROM papers),

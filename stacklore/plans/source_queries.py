@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import export
-from ..sources import json_sources, pages
+from ..sources import atom, bibtex, json_sources, pages
 from .catalogue import query
 from .fixture_sql import SPACES
 from .fixtures import Fixture
@@ -81,6 +81,12 @@ def source_europe_pmc(x: Fixture) -> DataFrame:
     return rows.select("title", F.array_join("authors", "|").alias("authors"), "year", "venue", "doi", "url")
 
 
+@query(f"SELECT {SQL_TITLE} AS title, 'https://europepmc.org/article/PPR/' || doc_id AS url FROM documents WHERE {SQL_STRIPPED} <> '' AND doc_id % 2 = 0")
+def source_preprints(x: Fixture) -> DataFrame:
+    item = F.struct(_n().cast("string").alias("id"), F.when(_n() % 2 == 0, "PPR").otherwise("MED").alias("source"), _title().alias("title"))
+    return json_sources.europe_pmc(_answers(x.table("documents"), item, '{"resultList":{"result":', "}}"), preprints=True).select("title", "url")
+
+
 @query(f"SELECT CASE WHEN doc_id % 6 = 0 THEN '' ELSE {SQL_TITLE} END AS title, lang AS authors, CAST(2000 + doc_id % 26 AS INTEGER) AS year, '10.1/x' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN '2301.' || doc_id END AS arxiv_id, 's' || doc_id AS s2_id FROM documents")
 def source_semantic_scholar(x: Fixture) -> DataFrame:
     item = F.struct(
@@ -106,6 +112,41 @@ def source_remote_items(x: Fixture) -> DataFrame:
     return rows.select("key", "version", "doi", F.array_join("tags", "|").alias("tags"))
 
 
+@query(f"SELECT {SQL_STRIPPED} AS title, '10.1/x' || doc_id AS doi FROM documents WHERE {SQL_STRIPPED} <> '' AND doc_id % 5 <> 4 ORDER BY lpad(CAST(doc_id // 20 AS VARCHAR), 9, '0'), doc_id LIMIT 150")
+def source_remote_papers(x: Fixture) -> DataFrame:
+    """The limit is the feature: so many papers of the remote library are taken, attachments not counted."""
+    data = F.struct(F.when(_n() % 5 == 4, "attachment").otherwise("article").alias("itemType"), _title().alias("title"), F.concat(F.lit("10.1/X"), _n()).alias("DOI"))
+    item = F.struct(F.lpad(_n().cast("string"), 9, "0").alias("key"), data.alias("data"))
+    pages_of = _answers(x.table("documents"), item)
+    ordered = pages_of.withColumn("file", F.lpad("file", 9, "0")).withColumn("content", F.to_json(F.array_sort(F.from_json("content", "array<struct<key:string,data:struct<itemType:string,title:string,DOI:string>>>"))))
+    return json_sources.remote_papers(ordered, 150).select("title", "doi")
+
+
+_ATOM_TITLE = "trim(regexp_replace('On ' || lang || ' & ' || source || chr(10) || '  <' || doc_id || '>', '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT {_ATOM_TITLE} AS title, lang || '|' || source AS authors, CAST(2000 + doc_id % 26 AS INTEGER) AS year, '2301.' || doc_id AS arxiv_id, 'https://arxiv.org/abs/2301.' || doc_id AS url FROM documents")
+def source_atom(x: Fixture) -> DataFrame:
+    """One feed for every twenty rows; titles have entities and broken lines."""
+    name = lambda c: F.concat(F.lit("<author><name> "), c, F.lit(" </name></author>"))
+    entry = F.concat(
+        F.lit("<entry><id>http://arxiv.org/abs/2301."), _n(), F.lit("v3</id><title>On "), "lang", F.lit(" &amp; "), "source", F.lit("\n  &lt;"), _n(), F.lit("&gt;</title><published>"), 2000 + _n() % 26, F.lit("-05-01T00:00:00Z</published>"), name(F.col("lang")), name(F.col("source")), F.lit("</entry>"),
+    )
+    feeds = x.table("documents").groupBy(F.expr("doc_id div 20")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("content"))
+    return atom.papers(atom.entries(feeds)).select("title", F.array_join("authors", "|").alias("authors"), "year", "arxiv_id", "url")
+
+
+@query("SELECT 'The {' || lang || '} case ' || doc_id AS title, 'Ann van ' || lang || '|' || source || ' Roe' AS authors, CAST(1950 + doc_id % 70 AS INTEGER) AS year, 'Journal of ' || source AS venue, '10.1/x' || doc_id AS doi, lang || '|' || source AS tags FROM documents WHERE doc_id % 7 <> 3".replace("{' || lang || '}", "' || lang || '"))
+def source_bibtex(x: Fixture) -> DataFrame:
+    """One file for every twenty rows, with names of strings, nested braces, and entries without a title."""
+    title = F.when(_n() % 7 != 3, F.concat(F.lit("  title = {The {"), "lang", F.lit("} case "), _n(), F.lit("},\n")))
+    entry = F.concat(
+        F.lit("@article{k"), _n(), F.lit(",\n"), F.coalesce(title, F.lit("")), F.lit('  author = "van '), "lang", F.lit(", Ann and "), F.col("source"), F.lit(' Roe",\n  year = '), 1950 + _n() % 70, F.lit(',\n  journal = "Journal of " # {'), "source", F.lit("},\n  doi = {https://doi.org/10.1/X"), _n(), F.lit("},\n  keywords = {"), "lang", F.lit("; "), "source", F.lit("}\n}\n"),
+    )
+    files = x.table("documents").groupBy(F.expr("doc_id div 20").cast("string").alias("file")).agg(F.array_join(F.collect_list(entry), "\n").alias("content"))
+    return _shown(bibtex.parse(files))
+
+
 @query("SELECT CAST(doc_id // 20 AS VARCHAR) AS file FROM documents WHERE doc_id // 20 % 3 = 1 GROUP BY 1")
 def source_unreadable(x: Fixture) -> DataFrame:
     """Every third document is cut short, as a broken download is."""

@@ -50,11 +50,17 @@ def csl(documents: DataFrame) -> DataFrame:
 
 def zotero(documents: DataFrame) -> DataFrame:
     """Flat items and items nested in ``data``; attachments and notes go. A malformed file is an error."""
-    parsed = documents.withColumn("items", F.from_json("content", ZOTERO, {"mode": "PERMISSIVE"}))
-    broken = parsed.where(F.col("items").isNull() | F.exists("items", lambda x: x.isNull())).limit(1).collect()
+    broken = unreadable(documents).limit(1).collect()
     if broken:
         raise Source(f"malformed items in {broken[0]['file'] if 'file' in documents.columns else 'document'}")
-    rows = parsed.withColumn("r", F.explode("items"))
+    return _zotero(documents)
+
+
+def _zotero(documents: DataFrame) -> DataFrame:
+    return _zotero_items(documents.withColumn("r", F.explode(F.from_json("content", ZOTERO))))
+
+
+def _zotero_items(rows: DataFrame) -> DataFrame:
     f = lambda n: F.coalesce(F.col(f"r.data.{n}"), F.col(f"r.{n}"))
     rows = rows.where(~F.coalesce(f("itemType"), F.lit("")).isin(*NOT_PAPERS))
     names = F.filter(F.transform(f("creators"), lambda a: F.coalesce(T.blank_to_null(T.author_name(a["firstName"], a["lastName"])), T.blank_to_null(T.strip(a["name"])))), lambda x: x.isNotNull())
@@ -62,21 +68,37 @@ def zotero(documents: DataFrame) -> DataFrame:
     return _records(rows, title=T.strip(f("title")), authors=names, abstract_text=f("abstractNote"), year=T.year_from_text(f("date")), venue=f("publicationTitle"), doi=T.normalize_doi(f("DOI")), url=f("url"), tags=tags)
 
 
+def remote_papers(documents: DataFrame, limit: int | None = None) -> DataFrame:
+    """Papers of a remote library's landed pages (file, content): the first ``limit`` in order of page and item, counted
+    without attachments, notes and untitled items. A page that can't be read is an error, as a failed request is."""
+    broken = unreadable(documents).limit(1).collect()
+    if broken:
+        raise Source(f"malformed page {broken[0]['file']}")
+    items = documents.select("file", F.posexplode(F.from_json("content", ZOTERO)).alias("item", "r"))
+    if limit is None:
+        return _zotero_items(items).drop("file")
+    place = F.concat_ws("\x00", "file", F.lpad(F.col("item").cast("string"), 10, "0"))  # carried as the record's file
+    return _zotero_items(items.withColumn("file", place)).orderBy("file").limit(limit).drop("file")
+
+
 def is_list(content: Column) -> Column:
-    """Whether a text is a JSON array."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(content)).startswith("ARRAY"), F.lit(False))
+    """Whether a text is a JSON array of objects."""
+    parsed = F.try_parse_json(content)
+    array = F.coalesce(F.schema_of_variant(parsed).startswith("ARRAY"), F.lit(False))
+    items = F.try_variant_get(F.when(array, parsed), "$", "array<variant>")
+    return array & F.forall(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
 
 
 def unreadable(documents: DataFrame) -> DataFrame:
-    """The documents that no dialect can be read from."""
+    """The documents that no dialect can be read from: no array, or one with items that aren't objects."""
     return documents.where(~is_list(F.col("content")))
 
 
 def bibliography(documents: DataFrame) -> DataFrame:
-    """JSON files of either dialect, told apart by their first element. Documents that aren't JSON arrays give nothing;
-    ``unreadable`` lists them."""
+    """JSON files of either dialect, told apart by their first element. Documents that aren't arrays of objects give
+    nothing, whatever else they hold; ``unreadable`` lists them."""
     documents = documents.where(is_list(F.col("content")))
-    return csl(documents.where(~is_zotero(F.col("content")))).unionByName(zotero(documents.where(is_zotero(F.col("content")))))
+    return csl(documents.where(~is_zotero(F.col("content")))).unionByName(_zotero(documents.where(is_zotero(F.col("content")))))
 
 
 def _work(rows: DataFrame) -> DataFrame:

@@ -65,8 +65,10 @@ def test_a_bad_file_is_listed_and_the_others_count(spark, tmp_path):
     (folder / "b.json").write_text('[{"itemType": ')
     (folder / "c.json").write_text(json.dumps([{"itemType": "article", "title": "Fine"}]))
     (folder / "d.json").write_text(json.dumps({"title": "no list"}))
+    (folder / "e.json").write_text(json.dumps([{"itemType": "article", "title": "With a bad one"}, 5]))
+    (folder / "f.json").write_text("[1, 2]")
     done = Research(spark, str(tmp_path / "lib")).import_papers(str(folder))
-    assert done["imported"] == 1 and [x.rsplit("/", 1)[1] for x in done["failed"]] == ["a.json", "b.json", "d.json"]
+    assert done["imported"] == 1 and [x.rsplit("/", 1)[1] for x in done["failed"]] == ["a.json", "b.json", "d.json", "e.json", "f.json"]
 
 
 def test_ingest_references_intents_and_replies(spark, tmp_path):

@@ -64,3 +64,19 @@ def test_pages(spark):
     rows = spark.createDataFrame([("/a/My.PDF", 2, "Results\nx"), ("/a/My.PDF", 1, "Lead  words\n")], "file string, page int, text string")
     row = pages.papers_and_bodies(rows).first()
     assert row["title"] == "My" and row["abstract_text"].startswith("Lead words") and "## Results" in row["body"]
+
+
+def test_one_bad_item_fails_its_document_alone(spark):
+    good, flat = [{"title": "Fine"}], [{"itemType": "article", "title": "Good"}]
+    all_docs = docs(spark, good, [{"itemType": "article", "title": "x"}, 5], [1, 2], [], flat, [{"title": "x"}, None], {"title": "x"}, '[{"title"')
+    assert {r["title"] for r in json_sources.bibliography(all_docs).collect()} == {"Fine", "Good"}
+    assert sorted(r["file"] for r in json_sources.unreadable(all_docs).collect()) == ["f1", "f2", "f5", "f6", "f7"]
+
+
+def test_remote_pages_with_a_limit(spark):
+    page = lambda a, b: [{"key": f"K{i}", "version": 1, "data": {"itemType": "attachment" if i % 4 == 1 else "article", "title": f"Title {i:03d}"}} for i in range(a, b)]
+    pages = docs(spark, page(0, 10), page(10, 20), page(20, 25))
+    assert [r["title"] for r in json_sources.remote_papers(pages, 12).orderBy("title").collect()] == [f"Title {i:03d}" for i in range(25) if i % 4 != 1][:12]
+    assert json_sources.remote_papers(pages).count() == len([i for i in range(25) if i % 4 != 1])
+    with pytest.raises(Source):
+        json_sources.remote_papers(docs(spark, page(0, 2), [5]), 3)
