@@ -16,7 +16,7 @@ from stacklore.llm.jaccard_join import jaccard_join
 from stacklore.llm.line_crf import fit_quality, with_quality
 from stacklore.llm.packing import best_fit_packing
 from stacklore.llm.secrets import redact_secrets
-from stacklore.llm.stages import one_of_each, without
+from stacklore.llm.stages import one_of_each, row_key, with_ids, without
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +27,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies stays, the one of the least doc_id."""
-    return one_of_each(docs, jaccard_join(docs))
+    return one_of_each(docs, jaccard_join(with_ids(docs), keys=True))
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item go."""
-    return without(docs, contaminated(docs, read_table(spark, sf_dir, "benchmark")))
+    found = contaminated(docs.select(row_key().alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    return without(docs, found.select(F.col("doc_id").alias("key")))
 
 
 def secretless_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,11 +200,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share, first_word, last_word: each row of documents with each item of which it holds a copy.
 
     Words are runs of letters, digits and underscores in lower case. Null and empty texts and items match nothing;
-    repeated rows give repeated results; empty tables give none; other columns are not read. The benchmark is the stated
-    query set: it goes to the executors in blocks of bounded size, and one pass over documents serves PASS_SEEDS."""
+    repeated rows give repeated results; empty tables give none; other columns are not read. doc_id may be a number or a
+    digest. The benchmark is the stated query set: it goes to the executors in blocks of bounded size, and one pass over documents serves PASS_SEEDS."""
     spark, scratch, out = docs.sparkSession, Scratch(docs.sparkSession), None
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    total = None
+    name = rows.schema["doc_id"].dataType.simpleString()
+    name, id_kind = ("binary", pa.binary()) if name == "binary" else ("long", pa.int64())
+    rows, total = rows.withColumn("doc_id", F.col("doc_id").cast(name)), None
     for k, blocks in enumerate(passes(blocks_of(benchmark))):
 
         def seek(batches: Iterator[pa.RecordBatch], blocks: list[Items] = blocks) -> Iterator[pa.RecordBatch]:
@@ -214,10 +216,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for b, items in enumerate(blocks):
                         if len(seed := np.unique(items.hits(words)[0])):
                             found.append((b, doc, words.view(np.int64), seed))
-                kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                kinds = (pa.int32(), id_kind, pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], ["block", "doc_id", "words", "seeds"])
 
-        met = scratch.save(rows.mapInArrow(seek, "block int, doc_id long, words array<long>, seeds array<long>"), f"seeds{k}", "block")
+        met = scratch.save(rows.mapInArrow(seek, f"block int, doc_id {name}, words array<long>, seeds array<long>"), f"seeds{k}", "block")
         total = docs.count() if total is None else total
         counts = met.select("block", F.explode("seeds").alias("seed")).groupBy("block", "seed").count().orderBy("block")
         for b, found in groupby(counts.toLocalIterator(), lambda r: r["block"]):
@@ -227,12 +229,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             def align(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     found = [(doc, *x) for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in items.align(words.values.to_numpy().view(np.uint64))]
-                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    kinds = (id_kind, pa.int64(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "share", "first_word", "last_word"])
 
-            hits = met.where(F.col("block") == b).select("doc_id", "words").mapInArrow(align, "doc_id long, item_id long, share double, first_word long, last_word long")
+            hits = met.where(F.col("block") == b).select("doc_id", "words").mapInArrow(align, f"doc_id {name}, item_id long, share double, first_word long, last_word long")
             out = hits if out is None else out.unionByName(hits)
-    return spark.createDataFrame([], "doc_id long, item_id long, share double, first_word long, last_word long") if out is None else out
+    return spark.createDataFrame([], f"doc_id {name}, item_id long, share double, first_word long, last_word long") if out is None else out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "nid long, other long, n long")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, keys: bool = False) -> DataFrame:
     """doc_id, class_id, n_links, n_copies for each row of ``docs``.
 
     Texts are sets of five-word shingles. Rows of equal text, and of texts joined by links of a Jaccard similarity of
@@ -232,7 +232,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     text is similar to, n_copies the rows of its very text. Fewer than five words make one shingle; empty texts are
     copies of each other and have no links; a null text is its row's own class. Rows of null doc_id take the class of
     their equal texts; a text all of whose rows have null ids is linked to nothing, class null. Repeated rows count as
-    copies; an empty table gives no rows; other columns are not read."""
+    copies; an empty table gives no rows; other columns are not read.
+
+    Two classes have one class_id where one doc_id has two texts. ``keys`` adds what tells them apart: key (digest of the
+    text), first_id (the least doc_id of the text) and class_key (the key of the text that class_id belongs to)."""
     scratch = Scratch(docs.sparkSession)
     depth = max(depth, least_depth(threshold, trees, recall))
     rows = scratch.save(signed(docs, trees, depth), "signed")
@@ -245,12 +248,16 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TRE
     numbers = found.where("other is null").groupBy("nid").agg(F.sum("n").alias("n_links"))
     roots = components(found.where("other is not null").select(F.col("nid").alias("a"), F.col("other").alias("b")), scratch, "class").withColumnRenamed("node", "nid")
     classed = nodes.select("nid", "key", "first_id", "n_copies").join(roots, "nid", "left").join(numbers, "nid", "left")
-    least = classed.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least"))
-    classed = classed.join(least, "root", "left").select("key", F.coalesce("least", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    least = classed.where("root is not null").groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("least"))
+    more = ["first_id", F.coalesce("least.key", "key").alias("class_key")] if keys else []
+    classed = classed.join(least, "root", "left").select("key", F.coalesce("least.first_id", "first_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies", *more)
     classed = scratch.save(classed, "classes")
     scratch.keep("signed", "classes")
-    own = rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
-    return rows.where("key is not null").select("doc_id", "key").join(classed, "key").select("doc_id", "class_id", "n_links", "n_copies").unionByName(own)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    more = ["key", F.col("doc_id").alias("first_id"), F.col("key").alias("class_key")] if keys else []
+    own = rows.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), one.alias("n_copies"), *more)
+    more = ["key", "first_id", "class_key"] if keys else []
+    return rows.where("key is not null").select("doc_id", "key").join(classed, "key").select("doc_id", "class_id", "n_links", "n_copies", *more).unionByName(own)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

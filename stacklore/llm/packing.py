@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode, little
-from .common import Scratch, read_table, slices, text_or_empty, texts_of
+from .common import SALTS, Scratch, read_table, slices, text_or_empty, texts_of
 
 SIZE, END_ID = 1024, 2
 
@@ -86,16 +86,18 @@ def pack(parts: DataFrame, scratch: Scratch, size: int = SIZE) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). Only the histogram, at most ``size`` rows,
     comes to the driver; the plan's runs are bounded by ``size`` as well. A piece finds its slot by its rank among the
     pieces of its length, counted in blocks (of n rows there are about sqrt(n) blocks of sqrt(n) rows), so that a length
-    which a third of the pieces share is ranked by many tasks. Equal rows take any of their ranks."""
-    spark, columns = parts.sparkSession, parts.columns
+    which a third of the pieces share is ranked by many tasks. A column ``lone`` spreads rows that share a doc_id, or have
+    none, over blocks. Equal rows take any of their ranks."""
+    spark, columns = parts.sparkSession, [c for c in parts.columns if c != "lone"]
+    spread = ["doc_id", "piece", *(["lone"] if "lone" in parts.columns else [])]
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
     blocks = spark.createDataFrame([(k, math.isqrt(n) + 1) for k, n in counts.items()], "length long, __blocks long")
-    parts = parts.join(F.broadcast(blocks), "length").withColumn("__block", F.pmod(F.xxhash64("doc_id", "piece"), F.col("__blocks"))).drop("__blocks")
+    parts = parts.join(F.broadcast(blocks), "length").withColumn("__block", F.pmod(F.xxhash64(*spread), F.col("__blocks"))).drop("__blocks")
     sums = parts.groupBy("length", "__block").count()
     before = scratch.save(sums.select("length", "__block", (F.sum("count").over(Window.partitionBy("length").orderBy("__block")) - F.col("count")).alias("__before")), "ranks")
     rows = [(*row[:5], row[5]) for row in plan(counts, size)]
     slots = spark.createDataFrame(rows, "__length long, __from long, __to long, __first long, __per long, __offset long")
-    inside = F.row_number().over(Window.partitionBy("length", "__block").orderBy("doc_id", "piece")) - 1
+    inside = F.row_number().over(Window.partitionBy("length", "__block").orderBy(*spread)) - 1
     ranked = parts.withColumn("__rank", inside).join(before, ["length", "__block"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     fits = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     placed = ranked.join(F.broadcast(slots), fits)
@@ -109,7 +111,9 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, size: int = SIZE, ids: bo
     Null and empty texts are the end id alone; repeated rows are packed each; an empty table gives no rows; other
     columns are not read. Null ids are kept."""
     scratch = Scratch(docs.sparkSession)
-    return pack(scratch.save(pieces(docs, vocabulary, size, ids=ids), "pieces"), scratch, size)
+    number = F.monotonically_increasing_id()
+    parts = pieces(docs, vocabulary, size, ids=ids).withColumn("lone", F.when(F.col("doc_id").isNull(), number).otherwise(number % SALTS))
+    return pack(scratch.save(parts, "pieces"), scratch, size)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,8 +127,9 @@ def disclosing(kept: DataFrame, scratch: Scratch) -> DataFrame:
     words of all texts only those of such pairs are counted."""
     n = kept.count()
     entities = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
-    held = kept.where(F.size("base") > 0).groupBy("key", "words", entities.alias("entities")).agg(F.count("*").alias("copies"))
-    texts = scratch.save(held.select("key", "copies", "entities", terms_of(F.col("words")).alias("terms")), "texts")
+    held = kept.where(F.size("base") > 0).select("key", F.md5(F.encode("words", "UTF-8")).alias("digest"), entities.alias("entities"), terms_of(F.col("words")).alias("terms"))
+    held = held.groupBy("key", "digest", F.md5(F.encode(F.array_join("entities", "\n"), "UTF-8"))).agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count("*").alias("copies"))
+    texts = scratch.save(held.select("key", "copies", "entities", "terms"), "texts")
     each = texts.select(F.explode("entities").alias("entity"), "key", "copies", "terms")
     known = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("texts"))
     known = scratch.save(known.where((F.col("texts") >= SUPPORT) & (F.col("n_entity") < n)).drop("texts"), "entities")

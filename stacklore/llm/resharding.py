@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import SALTS, Scratch, read_table
 
 SHARDS, OLD_SHARDS, OVERHEAD = 40, 32, 16
+#: Rows of one file of a shard.
+FILE_ROWS = 200_000
 
 
 class Network:
@@ -146,14 +148,16 @@ def plan_transfers(sizes: dict[int, int], shards: int) -> list[tuple[int, int, i
     return out
 
 
-def reshard(docs: DataFrame, old_shard, shards: int = SHARDS) -> DataFrame:
+def reshard(docs: DataFrame, old_shard, shards: int = SHARDS, key: str | None = None) -> DataFrame:
     """doc_id, old_shard, size, text_crc32, shard, slot. A document goes where the plan sends its middle byte; order
     inside an old shard is by block, then doc_id. Null text counts as empty, null old shards as -1 (no new shard's
     own); repeated rows each get a slot, in any order among themselves; an empty table gives no rows. A third of all
     rows in one old shard, or of one doc_id or none, is spread over blocks by id, text and place in the input: no window
-    holds a whole shard. One number for each shard comes to the driver."""
+    holds a whole shard. One number for each shard comes to the driver. ``key`` names a column that tells rows apart; it
+    is carried along."""
+    mine = [key] if key else []
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(*mine, "doc_id", F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.monotonically_increasing_id() % SALTS)
     rows = Scratch(docs.sparkSession).save(rows.withColumn("__lone", lone), "sizes")
     found = rows.groupBy("old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -170,16 +174,33 @@ def reshard(docs: DataFrame, old_shard, shards: int = SHARDS) -> DataFrame:
     group = ["shard", "old_shard", "__block"]
     base = sent.groupBy(*group).count().select(*group, (F.sum("count").over(Window.partitionBy("shard").orderBy("old_shard", "__block")) - F.col("count")).alias("__base"))
     slot = F.row_number().over(Window.partitionBy(*group).orderBy("doc_id", "text_crc32", "size")) - 1
-    return sent.withColumn("__slot", slot).join(base, group).select("doc_id", "old_shard", "size", "text_crc32", "shard", (F.col("__base") + F.col("__slot")).cast("long").alias("slot"))
+    return sent.withColumn("__slot", slot).join(base, group).select(*mine, "doc_id", "old_shard", "size", "text_crc32", "shard", (F.col("__base") + F.col("__slot")).cast("long").alias("slot"))
 
 
-def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
-    """Writes the new files of every shard that gains or loses rows under ``path``/shard=N; other shards' files stay as
-    they are. ``docs`` needs unique doc_ids. Gives the shards written, a bounded list."""
+def rewrite_affected(docs: DataFrame, old_shard, path: str, shards: int = SHARDS, rows_per_file: int = FILE_ROWS) -> list[int]:
+    """Reshards documents and writes the new files of every shard that gains or loses rows under ``path``/shard=N, in
+    order of slot; other shards' files stay as they are, and folders of shards that lose all rows are deleted afterwards.
+    Gives the shards affected, a bounded list.
+
+    Each row has a number of its own from the beginning, so that repeated doc_ids and rows without one are written once
+    each. A shard is cut into files by ranges of slots, which are written by many tasks. Columns of ``docs`` that are
+    called shard or slot are written as shard_ and slot_."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    numbered = docs.select(*[F.col(c).alias(f"{c}_" if c in ("shard", "slot") else c) for c in docs.columns], old_shard.alias("__old"))
+    numbered = scratch.save(numbered.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    placed = scratch.save(reshard(numbered, F.col("__old"), shards, "__row").select("__row", "old_shard", "shard", "slot"), "placed")
     moved = placed.where("old_shard != shard").select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     affected = sorted(r[0] for r in moved.collect())
-    rows = docs.join(placed.where(F.col("shard").isin(affected)).select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    goes = placed.where(F.col("shard").isin(affected)).select("__row", "shard", "slot")
+    rows = numbered.drop("__old").join(goes, "__row").drop("__row").withColumn("__file", F.floor(F.col("slot") / rows_per_file))
+    rows = rows.repartition("shard", "__file").sortWithinPartitions("shard", "slot").drop("__file")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    held = {r[0] for r in placed.select("shard").distinct().collect()}
+    for shard in affected:
+        if shard not in held:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    scratch.keep()
     return affected
 
 

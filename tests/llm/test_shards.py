@@ -76,9 +76,39 @@ def test_tables(spark, documents, awkward, empty, tmp_path):
     assert placed(empty).count() == 0
 
 
-def test_affected_files_hold_all_rows(spark, documents, tmp_path):
-    plan = placed(documents)
-    written = resharding.rewrite_affected(documents, plan, str(tmp_path / "shards"))
-    back = spark.read.parquet(str(tmp_path / "shards"))
-    assert back.count() == plan.where(F.col("shard").isin(written)).count()
-    assert set(documents.columns) <= set(back.columns)
+def layout(_):
+    return F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "UTF-8")), F.lit(32))
+
+
+def key(r):
+    return tuple(map(str, r))
+
+
+def test_affected_files_hold_all_rows(spark, documents, awkward, tmp_path):
+    """A fifth of the rows without doc_id, the others' ids repeated: each row is written once."""
+    n = F.col("doc_id")
+    docs = documents.withColumn("doc_id", F.when(n % 5 > 0, n % 7)).withColumn("slot", F.lit("own"))
+    for name, rows in (("many", docs), ("odd", awkward)):
+        path = str(tmp_path / name)
+        old = rows.withColumnRenamed("slot", "slot_").withColumn("shard", layout(rows))
+        old.write.partitionBy("shard").parquet(path)
+        written = resharding.rewrite_affected(rows, layout(rows), path, rows_per_file=3)
+        assert written
+        back = spark.read.parquet(path)
+        names = [f"{c}_" if c in ("shard", "slot") else c for c in rows.columns]
+        assert sorted(map(key, back.select(*names).collect())) == sorted(map(key, rows.collect()))
+        sizes = [r["n"] for r in back.groupBy("shard").agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("n")).collect()]
+        largest = max(len((r["text"] or "").encode()) + 16 for r in rows.collect())
+        assert max(sizes) <= sum(sizes) / 40 + 2 * largest
+
+
+def test_emptied_shards_leave_no_files(spark, documents, tmp_path):
+    path = str(tmp_path / "shards")
+    documents.withColumn("shard", layout(documents)).write.partitionBy("shard").parquet(path)
+    resharding.rewrite_affected(documents, layout(documents), path, shards=3)
+    back = spark.read.parquet(path)
+    assert {r[0] for r in back.select("shard").distinct().collect()} == {0, 1, 2} and back.count() == documents.count()
+    slots = {}
+    for r in back.select("shard", "slot").collect():
+        slots.setdefault(r[0], []).append(r[1])
+    assert all(sorted(s) == [*range(len(s))] for s in slots.values())

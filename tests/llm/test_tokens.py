@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from stacklore.llm import bpe
+from stacklore.llm import bpe, packing
 from stacklore.llm.packing import best_fit_packing, plan
 from stacklore.llm.token_counts import token_counts
 
@@ -132,3 +132,13 @@ def test_seams_equal_the_library(vocabulary):
         if rules.whole(rules.rank[a]) and rules.whole(rules.rank[b]):
             ids = library.encode((a + b).decode(), add_special_tokens=False).ids
             assert rules.seam(rules.rank[a], rules.rank[b], float("inf")) == (ids == [rules.ids[a], rules.ids[b]])
+
+
+def test_a_third_without_ids_is_spread_over_blocks(spark, vocabulary, monkeypatch):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i % 4, "same text") for i in range(900)], "doc_id long, text string").repartition(6)
+    blocks = []
+    plain = packing.Scratch.save
+    monkeypatch.setattr(packing.Scratch, "save", lambda self, df, name, *f: (blocks.append(df.count()) if name == "ranks" else None) or plain(self, df, name, *f))
+    rows = packing.best_fit_packing(docs, vocabulary).collect()
+    assert len(rows) == 900 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 900
+    assert blocks[0] > 15  # of about thirty
