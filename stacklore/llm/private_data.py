@@ -149,27 +149,28 @@ def private_spans(docs: DataFrame) -> DataFrame:
 
     A term that gives an entity away is marked at each of its places in all texts, those without the entity too. Null
     text counts as empty; repeated rows and null ids each keep their own row; an empty table gives none; other columns
-    are not read. An entity or term in a third of all rows is summed map-side before it is shuffled; rows are joined
-    with terms by broadcast, or salted if the terms are many."""
+    are not read. An entity or term in a third of all rows is summed map-side before it is shuffled; up to
+    MAX_BROADCAST_ROWS terms are looked up as sets in the plan, more are joined with the rows by salted keys."""
     scratch = Scratch(docs.sparkSession)
     text = docs.select("doc_id", text_or_empty().alias("text"))
     found = text.withColumn("base", base_spans(F.col("text")))
     key, copy = F.xxhash64("text"), F.expr("uuid()")
     kept = scratch.save(found.select("doc_id", copy.alias("copy"), key.alias("key"), "base", masked(F.col("text"), F.col("base")).alias("words")), "base")
     telling = scratch.save(disclosing(kept, scratch), "terms")
-    if telling.count() <= MAX_BROADCAST_ROWS:  # one row of lists, so that no text is shuffled
-        gone = F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term")))
-        lists = telling.agg(F.collect_list("term").alias("all"), gone.alias("removed")).withColumn("one", F.lit(1))
-        joined = kept.withColumn("one", F.lit(1)).join(F.broadcast(lists), "one", "left")
-        joined = joined.withColumn("terms", F.array_intersect(terms_of(F.col("words")), F.col("all")))
+    if telling.count() <= MAX_BROADCAST_ROWS:  # sets in the plan, so that neither texts nor lists are moved
+        known = telling.collect()
+        given, lost = [r["term"] for r in known], [r["term"] for r in known if r["share"] >= REMOVE]
+        joined = kept.withColumn("terms", F.filter(terms_of(F.col("words")), lambda x: x.isin(given)))
         joined = joined.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")))
-        scratch.keep("base", "terms")
+        removed = F.filter("terms", lambda x: x.isin(lost))
+        scratch.keep("base")
     else:
         told = keyed_join(kept.select("copy", F.explode(terms_of(F.col("words"))).alias("term")), telling, ["term"])
-        removed = F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term")))
-        more = scratch.save(told.groupBy("copy").agg(F.collect_set("term").alias("terms"), removed.alias("removed")), "told")
+        lost = F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term")))
+        more = scratch.save(told.groupBy("copy").agg(F.collect_set("term").alias("terms"), lost.alias("removed")), "told")
         scratch.keep("base", "told")
-        joined = kept.join(more, "copy", "left")
+        joined, removed = kept.join(more, "copy", "left"), F.col("removed")
+    joined = joined.withColumn("removed", removed)
     places = _matches(F.col("words"), TERM, 4, lambda x: F.array_contains("terms", F.lower(x)))
     general = F.transform(places, lambda s: s.withField("value", F.when(F.array_contains("removed", F.lower(s["value"])), "").otherwise(F.lit("[term]"))))
     terms = F.when(F.col("terms").isNotNull(), general).otherwise(F.array().cast(SPAN))
