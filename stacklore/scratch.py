@@ -26,6 +26,25 @@ def cleared() -> Iterator[None]:
             scratch.keep()
 
 
+#: Rows that pass between Spark and Python at a time while a table is made; texts make wide rows.
+ARROW_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]:
+    """Arrow batches of ``most`` rows at most, for what is executed inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if 0 < int(before) <= most:
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder, which cut lineage and survive lost executors."""
 
@@ -43,7 +62,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
         """Writes a table, with one folder for each value of the columns ``folders``, and reads it again."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").partitionBy(*folders).parquet(path)
+        with small_batches(self.spark):
+            df.write.mode("overwrite").partitionBy(*folders).parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
