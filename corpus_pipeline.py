@@ -19,8 +19,13 @@ from stacklore.llm.secrets import redact_secrets
 from stacklore.llm.stages import one_of_each, row_key, with_ids, without
 
 
+#: Rows that pass between Spark and Python at a time in this application's session; whole texts make wide rows.
+ARROW_ROWS = "1000"
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; its model is fitted on the labels of the documents at hand."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
     return with_quality(docs, model, "__score").where(F.col("__score") >= 0.5).drop("__score")
 
@@ -38,6 +43,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secretless_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; no document goes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return redact_secrets(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

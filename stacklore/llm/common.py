@@ -61,6 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) ->
 
 def give_back() -> None:
     """Returns freed memory to the system at the end of a task; workers live on and serve later stages."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

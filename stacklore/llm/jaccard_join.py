@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed_join, read_table, slices, text_or_empty, texts_of
+from .common import Scratch, give_back, keyed_join, read_table, slices, text_or_empty, texts_of
 from .components import components
 from .shingles import apart, shingles, signatures, similar_pairs
 
@@ -82,6 +82,8 @@ def tasks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
             rows.append(row[keys:])
     if rows:
         yield task, rows
+    del rows
+    give_back()
 
 
 def walk(linked: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -125,6 +127,7 @@ def compared(live: DataFrame, sizes: DataFrame, key: str, nodes: DataFrame, coun
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
                 out = []
+            del rows, values, linked
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(2)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
@@ -219,6 +222,7 @@ def verified(sets: DataFrame, threshold: float) -> DataFrame:
             if len(out) > 5000:
                 yield flushed(out)
                 out = []
+            del rows, linked
         yield flushed(out)
 
     return dealt.mapInArrow(run, "nid long, other long, n long")
