@@ -20,7 +20,7 @@ from .library import Library
 from .operators import export, graph, identity, scans, search, stats, topics
 from .schema import MAX_KEYWORDS, TABLES
 from .scratch import Scratch
-from .sources import atom, bibtex, json_sources, pages
+from .sources import atom, bibtex, json_items, json_sources, pages
 
 
 class Research:
@@ -66,13 +66,20 @@ class Research:
 
     def import_papers(self, path: str, topic_id: str | None = None) -> dict:
         """Files of a bibliography, in BibTeX or JSON; a file that can't be read, or has an item that can't, is reported and
-        the others count. Parsed records are written down once, for the count of failures and for the library."""
+        the others count. Large JSON files are read by many tasks (see ``json_items``). Parsed records are written down once,
+        for the count of failures and for the library."""
         done: dict = {"imported": 0, "skipped_duplicates": 0, "failed": []}
         scratch = Scratch(self.spark)
         bib = scratch.save(bibtex.parse(json_sources.read_documents(self.spark, path, "bib,bibtex")), "bib")
-        documents = scratch.save(json_sources.read_documents(self.spark, path, "json"), "json")
-        done["failed"] += [r["file"] for r in bib.where("error is not null").select("file").unionByName(json_sources.unreadable(documents).select("file")).orderBy("file").collect()]
-        for records in (bib.where("error is null").drop("error", "file"), json_sources.bibliography(documents).drop("file")):
+        documents = scratch.save(json_sources.read_documents(self.spark, path, "json", json_items.LARGE), "json")
+        found = [bib.where("error is null").drop("error", "file"), json_sources.bibliography(documents).drop("file")]
+        bad = bib.where("error is not null").select("file").unionByName(json_sources.unreadable(documents).select("file"))
+        if large := json_sources.large_files(self.spark, path, json_items.LARGE):
+            items = scratch.save(json_items.read_items(self.spark, large, scratch), "items")
+            found.append(json_items.bibliography(items).drop("file"))
+            bad = bad.unionByName(json_items.failures(items).select("file").distinct())
+        done["failed"] += [r["file"] for r in bad.orderBy("file").collect()]
+        for records in found:
             got = self.store(records, topic_id)
             done["imported"] += got["imported"]
             done["skipped_duplicates"] += got["skipped_duplicates"]

@@ -30,13 +30,24 @@ def _records(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*keep, *made).where(T.strip(F.coalesce("title", F.lit(""))) != "")
 
 
-def read_documents(spark: SparkSession, path: str, extensions: str = "*.json") -> DataFrame:
-    """file, content of the files of a folder (not of folders below it), in any case of the extension."""
+def _files(spark: SparkSession, path: str, extensions: str) -> DataFrame:
     glob = "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in extensions.replace("*.", "").split(",")) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(path)
+
+
+def read_documents(spark: SparkSession, path: str, extensions: str = "*.json", most: int | None = None) -> DataFrame:
+    """file, content of the files of a folder (not of folders below it), in any case of the extension; of those up to
+    ``most`` bytes, if given."""
+    files = _files(spark, path, extensions)
+    files = files if most is None else files.where(F.col("length") <= most)
     return files.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"))
 
 
+def large_files(spark: SparkSession, path: str, least: int, extensions: str = "*.json") -> list[str]:
+    """The names of the files of more than ``least`` bytes, which aren't read here."""
+    return [r["path"] for r in _files(spark, path, extensions).where(F.col("length") > least).select("path").collect()]
+
+
 def is_zotero(content: Column) -> Column:
     return F.get_json_object(content, "$[0].itemType").isNotNull() | F.get_json_object(content, "$[0].data.itemType").isNotNull()
 

@@ -7,6 +7,7 @@ import pytest
 from stacklore.app import Research, main
 from stacklore.config import Settings
 from stacklore.errors import Config, NotFound, Serialization, Validation
+from stacklore.sources import json_items
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +59,9 @@ def test_commands_and_settings(research, tmp_path, capsys):
         Settings.load_or_create(str(tmp_path / "bad.toml"))
 
 
-def test_a_bad_file_is_listed_and_the_others_count(spark, tmp_path):
+@pytest.mark.parametrize("large", [json_items.LARGE, 20])
+def test_a_bad_file_is_listed_and_the_others_count(spark, tmp_path, monkeypatch, large):
+    monkeypatch.setattr(json_items, "LARGE", large)
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.json").write_text('[{"title": "cut')

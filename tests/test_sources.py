@@ -1,11 +1,12 @@
 """Parsers on small files of every format."""
 
 import json
+import random
 
 import pytest
 
 from stacklore.errors import Source
-from stacklore.sources import atom, bibtex, json_sources, pages
+from stacklore.sources import atom, bibtex, json_items, json_sources, pages
 
 BIB = """
 @string{jn = "Journal of " # {Tests}}
@@ -80,3 +81,30 @@ def test_remote_pages_with_a_limit(spark):
     assert json_sources.remote_papers(pages).count() == len([i for i in range(25) if i % 4 != 1])
     with pytest.raises(Source):
         json_sources.remote_papers(docs(spark, page(0, 2), [5]), 3)
+
+
+def test_items_of_large_arrays(spark, tmp_path):
+    rng = random.Random(6)
+    odd = ['a "quoted" } brace', "[x] {y}", "back\\slash", 'end\\"', "é}😀", "", "line\nbreak"]
+    items = [{"title": f"T{i} " + rng.choice(odd), "abstract": rng.choice(odd), "author": [{"given": "A", "family": rng.choice(odd)}] * rng.randint(0, 3), "issued": {"date-parts": [[2000 + i % 20]]}} for i in range(400)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(items))
+    (folder / "b.json").write_text(json.dumps(items[:40], indent=2, ensure_ascii=False) + "\n")
+    (folder / "c.json").write_text(" [ ] ")
+    (folder / "d.json").write_text(json.dumps([{"itemType": "article", "title": "Z", "data": None}, {"itemType": "note", "title": "no"}]))
+    for name, text in {"e": '[{"title": "x"}, 5, {"title": "y"}]', "f": "[1, 2]", "g": '[{"title": "cut"', "h": '{"title": "no list"}', "i": '[{"title": "x"}', "j": '[{"title": "x"}, 7]', "k": '[{"title": "a"} {"title": "b"}]'}.items():
+        (folder / f"{name}.json").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")  # a.json lies in many parts
+    try:
+        found = json_items.read_items(spark, str(folder))
+        whole = json_sources.read_documents(spark, str(folder))
+        shown = ("title", "abstract_text", "authors", "year")
+        got = sorted(map(str, json_items.bibliography(found).select(*shown).collect()))
+        assert got == sorted(map(str, json_sources.bibliography(whole).select(*shown).collect())) and len(got) == 441
+        name = lambda rows: {r["file"].rsplit("/", 1)[1] for r in rows.collect()}
+        assert name(json_items.failures(found)) == name(json_sources.unreadable(whole)) == {f"{x}.json" for x in "efghijk"}
+        assert [r["item"] for r in json_items.failures(found).where("file like '%e.json'").collect()] == [1]
+        assert spark.read.option("lineSep", "}").text(str(folder / "a.json")).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
