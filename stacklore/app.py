@@ -21,6 +21,7 @@ from .operators import export, graph, identity, scans, search, stats, topics
 from .schema import MAX_KEYWORDS, TABLES
 from .scratch import Scratch
 from .sources import atom, bibtex, json_items, json_sources, pages
+from .streaming import imports
 
 
 class Research:
@@ -94,14 +95,9 @@ class Research:
         if kind == "pages":
             found = pages.papers_and_bodies(self.spark.read.parquet(path))
             return found.withColumnRenamed("file", "pdf_path")
-        readers = {
-            "openalex": json_sources.openalex, "europe_pmc": json_sources.europe_pmc, "preprints": lambda d: json_sources.europe_pmc(d, True),
-            "semantic_scholar": json_sources.semantic_scholar, "bibliography": lambda d: json_sources.bibliography(d).drop("file"),
-            "remote": lambda d: json_sources.remote_papers(d, limit),
-        }
-        if kind not in readers:
-            raise Validation(f"no such source: {kind}")
-        return readers[kind](json_sources.read_documents(self.spark, path, "json"))
+        if kind == "remote":
+            return json_sources.remote_papers(json_sources.read_documents(self.spark, path, "json"), limit)
+        return imports.records(kind, json_sources.read_documents(self.spark, path, imports.extension(kind)))
 
     def ingest(self, sources: list[tuple[str, str]], topic_id: str | None = None) -> dict:
         """Stores what (kind, path) sources hold, one after the other; a source that fails is reported and the others
@@ -283,6 +279,7 @@ COMMANDS = {
     "remote": lambda r, a, path: r.store(r.landed("remote", path, a.limit), a.topic),
     "states": lambda r, a: r.states(),
     "gap-reply": lambda r, a, topic, file: r.gap_reply(topic, Path(file).read_text(encoding="utf-8")),
+    "watch": lambda r, a, kind, path, state: imports.watch(r.library, path, state, kind).awaitTermination(),
     "compact": lambda r, a, table: r.library.compact(table),
     "topics": lambda r, a: r.topics(),
     "topic-add": lambda r, a, name: r.topic_add(name, a.topic),

@@ -180,3 +180,38 @@ def test_stream(spark, library, tmp_path):
     for _ in range(2):
         imports.watch(library, str(folder), str(tmp_path / "state")).awaitTermination()
     assert library.read("papers").count() == 5
+
+
+FEED = "<feed>{}</feed>"
+ENTRY = "<entry><id>http://arxiv.org/abs/2301.{0}v1</id><title>Feed paper {0}</title><published>2023</published></entry>"
+
+
+def test_streams_of_other_kinds(library, tmp_path):
+    for name in ("feeds", "bib", "works"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "feeds" / "a.XML").write_text(FEED.format(ENTRY.format(1) + ENTRY.format(2)))
+    (tmp_path / "bib" / "a.bib").write_text("@article{a, title={From a file}, doi={10.1/2}}\n@article{b, title={New one}, doi={10.7/n}}")
+    (tmp_path / "works" / "w.json").write_text(json.dumps({"results": [{"id": "https://openalex.org/W1", "doi": "10.7/N", "display_name": "The same"}, {"id": "https://openalex.org/W2", "display_name": "Work"}]}))
+    run = lambda kind, name: imports.watch(library, str(tmp_path / name), str(tmp_path / f"state-{name}"), kind).awaitTermination()
+    for kind, name, n in (("feed", "feeds", 6), ("bibtex", "bib", 7), ("openalex", "works", 8)):
+        run(kind, name)
+        assert library.read("papers").count() == n
+    (tmp_path / "feeds" / "b.xml").write_text(FEED.format(ENTRY.format(2) + ENTRY.format(3)))
+    run("feed", "feeds")
+    assert library.read("papers").count() == 9
+    with pytest.raises(Validation):
+        imports.watch(library, str(tmp_path), str(tmp_path / "x"), "nothing")
+
+
+def test_stream_batches_may_come_again_and_in_any_order(spark, tmp_path):
+    files = [("f0", [{"title": "A", "DOI": "10.1/a"}, {"title": "B"}]), ("f1", [{"title": "Other a", "DOI": "doi:10.1/A"}, {"title": "b!"}]), ("f2", [{"title": "C", "DOI": "10.1/c"}])]
+    kind = "file string, content string"
+    states = []
+    for n, order in enumerate(([0, 1, 2], [2, 1, 0])):
+        lib = Library(spark, str(tmp_path / f"lib{n}"))
+        batch = spark.createDataFrame([(files[i][0], json.dumps(files[i][1])) for i in order], kind)
+        assert imports.store_new(lib, batch) == 3
+        version = lib.log("papers").version()
+        assert imports.store_new(lib, batch) == 0 and lib.log("papers").version() == version  # the batch again
+        states.append(sorted((r["id"], r["title"], r["doi"]) for r in lib.read("papers").collect()))
+    assert states[0] == states[1]
