@@ -48,8 +48,8 @@ def small_batches(spark: SparkSession, most: int = ARROW_ROWS) -> Iterator[None]
 class Scratch:
     """Tables written to the shared checkpoint folder, which cut lineage and survive lost executors."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.names = spark, set()
+    def __init__(self, spark: SparkSession, arrow_rows: int = ARROW_ROWS) -> None:
+        self.spark, self.names, self.arrow_rows = spark, set(), arrow_rows
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not spark.sparkContext.master.startswith("local"):
@@ -62,7 +62,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str, *folders: str) -> DataFrame:
         """Writes a table, with one folder for each value of the columns ``folders``, and reads it again."""
         path = f"{self.root}/{name}"
-        with small_batches(self.spark):
+        with small_batches(self.spark, self.arrow_rows):
             df.write.mode("overwrite").partitionBy(*folders).parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
