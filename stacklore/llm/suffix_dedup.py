@@ -24,6 +24,8 @@ LENGTH, CORE = 200, 48
 STRETCH = 1 << 19
 #: Anchored contexts that are sorted together; a larger group is compared across the parts it is cut into.
 GROUP = 16_000
+#: Rows that pass between Spark and Python at a time; most are narrow, an anchor and a digest.
+ARROW_ROWS = 10_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -334,7 +336,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, most: int = GROUP) -> Da
     are not read. Runs of an anchor or a window that a third of all rows share lie in many partitions, which are compared
     at their edges; a task holds ``most`` contexts at a time. Copied texts with more than a thousandth of all rows, a
     thousand at most, are joined by broadcast, the others by shuffle."""
-    scratch = Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, ARROW_ROWS)
     text = F.encode(text_or_empty(), "UTF-8")
     rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("sha256"), text.alias("text"))
     rows = rows.select("doc_id", "sha256", F.substring("sha256", 1, 16).alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
