@@ -5,14 +5,13 @@ Two deterministic machines count tokens in place of the library:
 * the *splitter* reads code point classes and marks where a pretoken begins. It has 13 states, so the effect of a
   chunk of text is a map of 13 states to 13 states; chunks are run for all entry states at once and their maps are
   composed with a parallel prefix scan, after which the entry state of each chunk is known;
-* the *counter* is a transducer over the bytes of a pretoken. Its states are prefixes; the transition by a byte carries
-  the number of tokens which the longer prefix has more than the shorter (0 or less where the byte joins earlier ones).
-  It is back in its first state where a pretoken ends, so the map of a run of pretokens is that state and a sum, and
-  maps of runs compose by adding: their prefix scan is a running sum.
-
-Transitions are compiled from the merge rules as they are met. The last token of a prefix is the one vocabulary string
-at its end that can stand beside the last token of what is before it; two tokens can stand side by side unless undoing
-their merges at the seam, the latest first, meets a merge across the seam that would have come first.
+* the *counter* is a transducer over the bytes of a pretoken, compiled once from the merge rules. It follows the longest
+  end of the input that begins a token, and the last token of each prefix from which a token can still begin. A
+  transition gives the new last token: the longest at the end that can stand beside the last token of what is before
+  it. Two tokens can stand side by side unless undoing their merges at the seam, the latest first, meets a merge across
+  the seam that would have come first. Transitions carry how many tokens a prefix has. Long pretokens are cut into
+  chunks that are run in step; a chunk's map, from where a token ends to where tokens begin before it with their
+  number, composes with its neighbours'.
 
 A special string (``added_tokens`` of the file) inside a text is one token, as by the library's default.
 """
@@ -21,7 +20,6 @@ from __future__ import annotations
 
 import json
 import math
-from array import array
 from functools import lru_cache
 from struct import pack
 
@@ -168,7 +166,6 @@ class Vocabulary:
             if self.rank.setdefault(a + b, 256 + i) != 256 + i:
                 raise ValueError("two merges make the same token")
         self.ids = {unshown(word): i for word, i in model["model"]["vocab"].items() if all(c in byte for c in word)}
-        self.lengths = sorted({len(x) for x in self.rank}, reverse=True)
 
     def seam(self, a: int, b: int, limit: float) -> bool:
         """Whether tokens a and b stay apart under all merges before ``limit``. Of equal merges the left one is first."""
@@ -188,50 +185,226 @@ class Vocabulary:
 
 
 class Counter:
-    """The transducer. At most ``most`` transitions are kept; others are compiled each time, with equal results."""
-
-    def __init__(self, path: str, most: int = 300_000) -> None:
-        self.rules, self.most = Vocabulary(path), most
-        self.tokens = {x: t for x, t in self.rules.rank.items() if self.rules.whole(t)}
-        self.next: dict[int, int] = {}
-        self.emits, self.last = array("b", [0]), array("i", [-1])
-
-    def _last(self, piece: bytes, end: int, lasts: list[int]) -> tuple[int, int]:
-        """The last token of the first ``end`` bytes, given those of all shorter prefixes, and where it begins."""
-        for n in self.rules.lengths:
-            if n <= end and (token := self.tokens.get(piece[end - n : end])) is not None and (n == end or self.rules.seam(lasts[end - n], token, math.inf)):
-                return token, end - n
-        raise AssertionError("every byte is a token")
-
-    def _compiled(self, piece: bytes) -> int:
-        lasts, totals, node = [-1], [0], 0
-        for end in range(1, len(piece) + 1):
-            child = None if node is None else self.next.get(node << 8 | piece[end - 1])
-            if child is not None:
-                lasts.append(self.last[child])
-                totals.append(totals[-1] + self.emits[child])
-                node = child
+    """The transducer, compiled once from the rules and run on many chunks of bytes in step.
+
+    goto: [node, byte] the next node of the automaton that follows the longest end of the input which begins a token;
+    longest: the longest token at the end of a node; shorter: the next shorter token at the end of a token."""
+
+    #: Bytes of a chunk, and bytes before it that are read to meet the state of the chunk before.
+    CHUNK, WARM = 256, 64
+
+    def __init__(self, path: str, most: int = 1 << 20) -> None:
+        """Of verdicts on pairs the last one of each of ``most`` slots is kept; others are worked out again, with equal
+        results."""
+        self.rules = rules = Vocabulary(path)
+        edges: dict[int, int] = {}
+        depth, ends = [0], [-1]
+        for word, token in rules.rank.items():
+            if not rules.whole(token):
                 continue
-            token, begin = self._last(piece, end, lasts)
-            lasts.append(token)
-            totals.append(totals[begin] + 1)
-            if node is not None and len(self.last) < self.most and end <= 64 and -128 <= totals[-1] - totals[-2]:
-                self.next[node << 8 | piece[end - 1]] = node = len(self.last)
-                self.last.append(token)
-                self.emits.append(totals[-1] - totals[-2])
-            else:
-                node = None
-        return totals[-1]
+            node = 0
+            for byte in word:
+                child = edges.setdefault(node << 8 | byte, len(depth))
+                if child == len(depth):
+                    depth.append(depth[node] + 1)
+                    ends.append(-1)
+                node = child
+            ends[node] = token
+        self.depth, ends = np.array(depth, np.int32), np.array(ends, np.int32)
+        self.reach = int(self.depth.max())
+        self.chunk = max(self.CHUNK, 2 * self.reach)
+        self._follow(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges)), ends)
+        self.size = np.zeros(len(rules.left), np.int32)
+        self.size[ends[ends >= 0]] = self.depth[ends >= 0]
+        self.left, self.right = np.array(rules.left, np.int64), np.array(rules.right, np.int64)
+        pairs = sorted((a * len(rules.left) + b, rank) for (a, b), rank in rules.merged.items())
+        self.pairs, self.ranks = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.last = np.full(most, -2, np.int64)
+
+    def _follow(self, edges: np.ndarray, children: np.ndarray, ends: np.ndarray) -> None:
+        """Completes the trie of tokens to an automaton, level by level."""
+        self.goto = np.zeros((len(ends), 256), np.int32)
+        fail, self.longest, self.shorter = np.zeros(len(ends), np.int64), ends.copy(), np.full(len(self.rules.left), -1, np.int32)
+        parents, bytes_ = edges >> 8, edges & 255
+        self.goto[0, bytes_[parents == 0]] = children[parents == 0]
+        by_level = np.argsort(self.depth[children], kind="stable")
+        bounds = np.searchsorted(self.depth[children][by_level], np.arange(1, self.reach + 2))
+        for level in range(self.reach):
+            at = by_level[bounds[level] : bounds[level + 1]]
+            nodes = children[at]
+            if level:
+                fail[nodes] = self.goto[fail[parents[at]], bytes_[at]]
+            self.goto[nodes] = self.goto[fail[nodes]]
+            below = by_level[bounds[level + 1] : bounds[level + 2]] if level + 1 < self.reach else by_level[:0]
+            self.goto[parents[below], bytes_[below]] = children[below]
+            own = self.longest[fail[nodes]]
+            token = ends[nodes]
+            self.shorter[token[token >= 0]] = own[token >= 0]
+            self.longest[nodes] = np.where(token >= 0, token, own)
+
+    def _seams(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``Vocabulary.seam`` of many pairs, without a limit."""
+        apart, live, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), 1 << 60)
+        while len(live):
+            key = a * len(self.left) + b
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            merges = (self.pairs[at] == key) & (self.ranks[at] < limit)
+            apart[live[merges]] = False
+            on = ~merges & ((a >= 256) | (b >= 256))
+            a, b, live = a[on], b[on], live[on]
+            undo = a > b
+            limit = np.where(undo, a, b + 1)
+            a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
+        return apart
+
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether tokens a and b can stand side by side; both verdict and pair are in one number of a slot."""
+        key = a.astype(np.int64) * len(self.left) + b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(len(self.last))).astype(np.int64)
+        kept = self.last[slot]
+        out = (kept & 1).astype(bool)
+        if len(unseen := np.flatnonzero(kept >> 1 != key)):
+            pairs, first, at = np.unique(key[unseen], return_index=True, return_inverse=True)
+            apart = self._seams(pairs // len(self.left), pairs % len(self.left))
+            self.last[slot[unseen[first]]] = pairs << 1 | apart
+            out[unseen] = apart[at]
+        return out
 
     def count(self, pretoken: str) -> int:
-        """The sum of what the transitions along a pretoken emit."""
-        piece, node, total = pretoken.encode("utf-8", "replace"), 0, 0
-        for byte in piece:
-            node = self.next.get(node << 8 | byte)
-            if node is None:
-                return self._compiled(piece)
-            total += self.emits[node]
-        return total
+        return int(self.counts([pretoken])[0])
+
+    def counts(self, pretokens: list[str]) -> np.ndarray:
+        """Tokens of each pretoken."""
+        words = [x.encode("utf-8", "replace") for x in pretokens]
+        if not words:
+            return np.zeros(0, np.int64)
+        sizes = np.array(list(map(len, words)), np.int64)
+        chunks = np.maximum(-(-sizes // self.chunk), 1)
+        first = np.cumsum(chunks) - chunks
+        run = Lanes(self, np.frombuffer(b"".join(words), np.uint8), sizes, chunks, first)
+        counts = run.counts_at_end()[run.lane[first]]
+        for i in np.flatnonzero(chunks > 1).tolist():
+            run.mend(first[i] + 1, first[i] + chunks[i])
+            counts[i] = run.folded(first[i], first[i] + chunks[i])
+        return counts
+
+
+class Lanes:
+    """Chunks of pretokens in step. Of each prefix of a chunk it holds the last token, how many tokens begin in the
+    chunk, and how far before the chunk the first one that reaches into it begins. A chunk that isn't the first of its
+    pretoken starts ``WARM`` bytes early in the first state; ``mend`` holds what it met against the chunk before it."""
+
+    def __init__(self, machine: Counter, data: np.ndarray, sizes: np.ndarray, chunks: np.ndarray, first: np.ndarray) -> None:
+        self.machine, self.data = machine, data
+        word = np.repeat(np.arange(len(sizes)), chunks)
+        number = np.arange(len(word)) - first[word]
+        begin = np.maximum(number * machine.chunk - machine.WARM, 0)
+        length = np.minimum(sizes[word], (number + 1) * machine.chunk) - begin
+        order = np.argsort(-length, kind="stable")
+        self.lane = np.empty(len(order), np.int64)  # of each chunk its place among the longest first
+        self.lane[order] = np.arange(len(order))
+        self.length, self.base = length[order], (np.cumsum(sizes)[word] - sizes[word] + begin)[order]
+        self.core = (number * machine.chunk - begin)[order]
+        active = np.searchsorted(-self.length, -np.arange(max(int(self.length[0]), 1)), "left")
+        self.off = np.cumsum(active) - active
+        total = int(active.sum())
+        self.last, self.count, self.origin = (np.zeros(total, np.int32) for _ in range(3))
+        self.node, self.at_core = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+        for k, n in enumerate(active.tolist()):
+            self._step(k, n)
+
+    def _step(self, k: int, n: int) -> None:
+        """All chunks longer than k read one byte."""
+        m, every, at = self.machine, np.arange(n), self.off[k]
+        node = m.goto[self.node[:n], self.data[self.base[:n] + k]]
+        token = m.longest[node]
+        start = k + 1 - m.size[token]
+        open_ = np.flatnonzero(start > 0)
+        while len(open_):
+            before = self.last[self.off[start[open_] - 1] + open_]
+            open_ = open_[~m._apart(before, token[open_])]
+            token[open_] = m.shorter[token[open_]]
+            if (token[open_] < 0).any():
+                raise AssertionError("every byte is a token")
+            start[open_] = k + 1 - m.size[token[open_]]
+        inside = start > self.core[:n]
+        place = self.off[np.maximum(start - 1, 0)] + every
+        self.last[at : at + n] = token
+        self.origin[at : at + n] = np.where(inside, self.origin[place], self.core[:n] - start)
+        self.count[at : at + n] = np.where(inside, self.count[place] + 1, 1)
+        self.node[:n] = node
+        if k + 1 == m.WARM:
+            self.at_core[:n] = node
+
+    def counts_at_end(self) -> np.ndarray:
+        filled = self.length > 0
+        at = self.off[np.maximum(self.length - 1, 0)] + np.arange(len(self.length))
+        return np.where(filled, self.count[np.where(filled, at, 0)], 0).astype(np.int64) if len(self.count) else np.zeros(len(self.length), np.int64)
+
+    def _met(self, chunks: np.ndarray) -> np.ndarray:
+        """Whether each of these chunks was, where it begins, in the state in which the chunk before it ended: the same
+        node, and the same last tokens of all prefixes from which a token can still begin."""
+        m, here, before = self.machine, self.lane[chunks], self.lane[chunks - 1]
+        depth = m.depth[self.node[before]]
+        met = (self.node[before] == self.at_core[here]) & (depth < m.WARM)
+        for j in range(int(depth[met].max(initial=-1)) + 1):
+            mine, its = self.last[self.off[m.WARM - j - 1] + here], self.last[self.off[self.length[before] - j - 1] + before]
+            met &= (j > depth) | (mine == its)
+        return met
+
+    def mend(self, a: int, b: int) -> None:
+        """Runs those chunks of a to b again, one after the other, that didn't meet the state of the one before."""
+        chunks = np.arange(a, b)
+        settled = a
+        for i in chunks[~self._met(chunks)].tolist():
+            while settled <= i < b:
+                self._again(i)
+                i += 1
+                settled = i
+                if i < b and self._met(np.array([i]))[0]:
+                    settled = i + 1
+
+    def _again(self, chunk: int) -> None:
+        """One chunk, from the state in which the one before ended."""
+        m, here, before = self.machine, self.lane[chunk], self.lane[chunk - 1]
+        goto, size, longest, shorter = (memoryview(x.reshape(-1)) for x in (m.goto, m.size, m.longest, m.shorter))
+        core, length, back = int(self.core[here]), int(self.length[here]), m.reach
+        lasts = self.last[self.off[self.length[before] - back + np.arange(-1, back)] + before].tolist()
+        node, apart, counts, origins = int(self.node[before]), {}, [], []
+        for end, byte in enumerate(self.data[self.base[here] + core : self.base[here] + length].tolist(), 1):
+            node = goto[node << 8 | byte]
+            token = longest[node]
+            while True:
+                pair = lasts[back + end - size[token]], token
+                ok = apart.get(pair)
+                if ok is None:
+                    ok = apart[pair] = m.rules.seam(*pair, math.inf)
+                if ok:
+                    break
+                token = shorter[token]
+            lasts.append(token)
+            start = end - size[token]
+            counts.append(counts[start - 1] + 1 if start > 0 else 1)
+            origins.append(origins[start - 1] if start > 0 else -start)
+        at = self.off[core:length] + here
+        self.last[at], self.count[at], self.origin[at], self.node[here] = lasts[back + 1 :], counts, origins, node
+
+    def folded(self, a: int, b: int) -> int:
+        """The tokens of a pretoken of chunks a to b. The map of a chunk gives, for each place at its end where a token may
+        end, where before the chunk the tokens up to there begin, and their number. Neighbouring maps are composed, in
+        parallel, until one is left."""
+        lanes, offsets = self.lane[np.arange(a, b)], np.arange(self.machine.reach)
+        place = self.length[lanes, None] - offsets
+        inside = place > self.core[lanes, None]
+        at = self.off[np.maximum(place, 1) - 1] + lanes[:, None]
+        to = np.where(inside, self.origin[at], self.core[lanes, None] - place)
+        counts = np.where(inside, self.count[at], 0)
+        while len(to) > 1:
+            even = len(to) // 2 * 2
+            early, late = to[0:even:2], to[1:even:2]
+            more = counts[1:even:2] + np.take_along_axis(counts[0:even:2], late, 1)
+            to, counts = np.concatenate((np.take_along_axis(early, late, 1), to[even:])), np.concatenate((more, counts[even:]))
+        return int(counts[0, 0])
 
 
 class Emitter:
@@ -342,7 +515,7 @@ def count_tokens(texts: list[str], vocabulary: str) -> np.ndarray:
     """Tokens of each text: running sums over all pretokens, taken apart where texts end."""
     machine = counter(vocabulary)
     found = Pretokens(texts, machine.rules.special)
-    counts = np.array(list(map(machine.count, found.words)), np.int64)[found.at] if len(found.at) else np.zeros(0, np.int64)
+    counts = machine.counts(found.words)[found.at]
     counts[found.special >= 0] = 1
     total = np.append(0, np.cumsum(counts))
     return total[found.bounds[1:]] - total[found.bounds[:-1]]

@@ -1,6 +1,7 @@
 """Compiled tokenizer, token counts and packing against the library."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -142,3 +143,30 @@ def test_a_third_without_ids_is_spread_over_blocks(spark, vocabulary, monkeypatc
     rows = packing.best_fit_packing(docs, vocabulary).collect()
     assert len(rows) == 900 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 900
     assert blocks[0] > 15  # of about thirty
+
+
+def test_long_pretokens_by_chunks(vocabulary):
+    """Pretokens of many chunks, also such as never meet the state of the chunk before, against the library."""
+    library, rng = Tokenizer.from_file(vocabulary), random.Random(11)
+    words = [x for x in library.get_vocab() if x.isalpha() and x.isascii()]
+    texts = ["a" * n for n in (255, 256, 257, 511, 512, 513, 20_000)] + ["ab" * 3_000, "abc" * 2_000, "=" * 5_001, "z" * 300 + "a" * 9_000 + "b" * 300]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(2_000, 9_000))) for letters in ("ab", "aeinrst", "0123456789", "=-_", "ёжзик", "漢字仮名交") for _ in range(4)]
+    texts += ["".join(rng.choices(words, k=2_000)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(9_000))]
+    texts += [x + " " + y for x, y in zip(texts, reversed(texts), strict=True)]
+    again, machine = [], bpe.counter(vocabulary)
+    plain = bpe.Lanes._again
+    bpe.Lanes._again = lambda self, chunk: again.append(chunk) or plain(self, chunk)
+    try:
+        assert bpe.count_tokens(texts, vocabulary).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    finally:
+        bpe.Lanes._again = plain
+    assert again and max(map(len, texts)) > 20 * machine.chunk
+
+
+def test_counting_without_spaces_is_fast(vocabulary):
+    rng = random.Random(5)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(100_000))
+    bpe.count_tokens(["warm"], vocabulary)
+    begin = time.perf_counter()
+    bpe.count_tokens([text, "。".join(text[i : i + 30] for i in range(0, len(text), 30)), "a" * 100_000], vocabulary)
+    assert time.perf_counter() - begin < 5
