@@ -24,12 +24,36 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 
 #: A candidate of the token-efficiency test is an unbroken run of this many characters from this alphabet.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Left alone: whole digests of known lengths, universally unique ids, dates and numbers.
+#: Left alone: whole digests of known lengths as they are mostly written, universally unique ids, dates and numbers.
 KNOWN = re.compile(
-    r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
+    r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
     r"|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
     r"|[0-9+/_=-]+)"
 )
+#: Bytes of a digest by its name; other names may have any of them.
+DIGESTS = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
+#: A digest named as such, also in upper case or base64: the name, marks, the value.
+NAMED = re.compile(
+    r"""(?<![A-Za-z])(?:(?i:(md5|sha-?(?:1|224|256|384|512))(?:sum)?|digest|checksum|fingerprint|etag|integrity|hash))"""
+    r"""["')]{0,2}\x20?[-:=(\x20]{1,2}["'(]?((?!(?i:md5|sha-?[1-5]))[A-Za-z0-9+/_-]{20,128}+={0,2}+)(?![A-Za-z0-9+/_=-])"""
+)
+#: Characters before a candidate in which the name of a digest begins.
+BEFORE = 24
+#: Digests of the empty text are known by heart.
+EMPTY = frozenset(
+    x
+    for name in DIGESTS
+    for raw in [hashlib.new(name, b"", usedforsecurity=False)]
+    for x in (raw.hexdigest().upper(), base64.b64encode(raw.digest()).decode())
+)
+#: A run with fewer different characters than this is a pattern or a sequence over a few symbols, such as one of bases.
+FEW = 7
+ALPHABET, KEYS = "0123456789abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm"
+NEXT = frozenset(x for row in (ALPHABET, ALPHABET[::-1], KEYS, KEYS[::-1]) for x in zip(row, row[1:], strict=False))
+#: Speakable words, of any language in these letters: each in one case after its first letter, no long run of
+#: consonants or vowels, and vowels for a third of all letters or more.
+CASED, CLUSTER = re.compile(r"[A-Za-z][a-z]+(?:[A-Z][a-z]+)*"), re.compile(r"[bcdfghj-np-tvwxz]{4,}|[aeiouy]{4,}", re.I)
+VOWEL, VOWELS = re.compile("[aeiouy]", re.I), 0.35
 #: A run of words joined by MARKS: short ones say nothing, so those of LONG_WORD characters have to reach the length of a
 #: candidate. Each part is judged by itself, so that the work is linear in the run.
 MARKS, WORD = re.compile(r"[+/_=-]+"), re.compile(r"[A-Za-z]*[0-9]{0,4}")
@@ -52,14 +76,37 @@ def of_words(value: str) -> bool:
     return bool(parts) and parts[0][0].isalpha() and all(map(WORD.fullmatch, parts))
 
 
+def named_digest(text: str, begin: int, end: int) -> int:
+    """Where in a candidate that ends in a value which is called a digest, and has the size of one in hexadecimal or
+    base64, that value begins; ``end`` if there is none."""
+    for m in NAMED.finditer(text, max(begin - BEFORE, 0), end):
+        name, value = (m[1] or "").lower().replace("-", ""), m[2]
+        plain = value.rstrip("=")
+        sizes = [DIGESTS[name]] if name else DIGESTS.values()
+        if m.end() == end and any(len(value) == 2 * n and re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) or len(plain) == -(-8 * n // 6) for n in sizes):
+            return m.start(2)
+    return end
+
+
+def ordered(value: str) -> bool:
+    """Whether most characters repeat the one before or follow it in the alphabet or on the keyboard."""
+    lower = value.lower()
+    return 2 * sum(x == y or (x, y) in NEXT for x, y in zip(lower, lower[1:], strict=False)) > len(lower)
+
+
+def speakable(value: str) -> bool:
+    return bool(CASED.fullmatch(value)) and not CLUSTER.search(value) and len(VOWEL.findall(value)) >= VOWELS * len(value)
+
+
 def random_like(value: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> bool:
-    """Whether the vocabulary needs a token for every ``most`` characters or fewer. Digests, identifiers and strings
-    without letters are no secrets; of words joined by marks the long ones decide."""
-    if KNOWN.fullmatch(value) or not re.search("[A-Za-z]", value):
+    """Whether the vocabulary needs a token for every ``most`` characters or fewer. Digests, identifiers, strings
+    without letters, sequences over few symbols, alphabets and speakable words are no secrets; of words joined by marks
+    the long ones decide."""
+    if KNOWN.fullmatch(value) or value in EMPTY or not re.search("[A-Za-z]", value) or len(set(value)) < FEW or ordered(value):
         return False
     parts = [x for x in PART.findall(value) if len(x) >= LONG_WORD] if of_words(value) else [value]
     n = sum(map(len, parts))
-    return n >= LENGTH and n <= most * sum(len(_encoding(vocabulary).encode_ordinary(x)) for x in parts)
+    return n >= LENGTH and not all(map(speakable, parts)) and n <= most * sum(len(_encoding(vocabulary).encode_ordinary(x)) for x in parts)
 
 
 def stretches(scored: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
@@ -87,7 +134,7 @@ def stretches(scored: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
 def random_parts(run: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int]]:
     """The run if it is random, else its random stretches of parts: all maximal stretches by tokens over what the ratio
     asks for, so that a name or path joined to a secret doesn't hide it."""
-    if KNOWN.fullmatch(run):
+    if KNOWN.fullmatch(run) or run in EMPTY:
         return []
     if random_like(run, vocabulary, most):
         return [(0, len(run))]
@@ -101,13 +148,21 @@ def random_parts(run: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -
     return [(a, b) for a, b in found if b - a >= LENGTH and random_like(run[a:b], vocabulary, most)]
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """Start and string of each candidate, without a digest that is called one."""
+    for m in CANDIDATE.finditer(text):
+        end = named_digest(text, *m.span())
+        if end - m.start() >= LENGTH:
+            yield m.start(), text[m.start() : end]
+
+
 def find_secrets(text: str, vocabulary: str) -> list[tuple[int, int, int]]:
     """Spans (start, kind, end) in code points, in order. Matches of one kind don't overlap; kinds may."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_VALUE]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    spans += [(m.start() + a, 3, m.start() + b) for m in CANDIDATE.finditer(text) for a, b in random_parts(m[0], vocabulary)]
+    spans += [(at + a, 3, at + b) for at, run in candidates(text) for a, b in random_parts(run, vocabulary)]
     return sorted(spans)
 
 
@@ -129,7 +184,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
 
 def secret_scan(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans for each row. Null text counts as empty;
-    repeated rows stay; other columns are not read. One narrow map: no keys, so nothing can be skewed."""
+    repeated rows, and null and tied ids, stay; an empty table gives no rows; other columns are not read. One narrow map: no keys, so nothing can be skewed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):

@@ -1,5 +1,6 @@
 """Secrets and personal data against plain regular expressions."""
 
+import base64
 import hashlib
 import math
 import random
@@ -213,3 +214,31 @@ def test_more_terms_than_may_be_broadcast(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(private_data, "MAX_BROADCAST_ROWS", 0)
     assert rows() == whole and any("kind=4" in s for _, s in whole)
+
+
+def test_what_is_no_secret_by_its_name_or_build():
+    digest = lambda name, data: base64.b64encode(hashlib.new(name, data).digest()).decode()
+    plain = [
+        f"sha256-{digest('sha256', b'a')}", f'integrity="sha384-{digest("sha384", b"x")}"', f"Content-MD5: {digest('md5', b'q')}", digest("md5", b""),
+        "SHA256:" + digest("sha256", b"k").rstrip("="), "MD5 (a.txt) = D41D8CD98F00B204E9800998ECF8427E", f"sha-1: {hashlib.sha1(b'z').hexdigest().upper()}",
+        f"checksum={hashlib.sha512(b'z').hexdigest().upper()}", "ACGTTGACCATGATTACGGATTCACTGGCCGTCGTTTTACAACG", "abcdefghijklmnopqrstuvwxyz", "ZYXWVUTSRQPONMLKJIHGFEDCBA",
+        "qwertyuiopasdfghjklzxcvbnm", "lastochkinoeGnezdoNadMoremKrym",
+    ]
+    assert [x for x in plain if any(k == 3 for _, k, _ in secrets.find_secrets(x, TIK))] == []
+    value = digest("sha256", b"a")  # the same string without a name, or with one of another size
+    for name in ("see ", "md5: ", "sha512-", "hashes "):
+        assert any(k == 3 and b == len(name) + len(value) for _, k, b in secrets.find_secrets(name + value, TIK))
+
+
+def test_names_of_digests_take_no_time():
+    begin = time.perf_counter()
+    for text in ("hash-" * 40_000 + "=x", "md5 " + "a1" * 100_000, ("sha256-" + "a" * 50 + "=b") * 4_000, "etag=" * 40_000):
+        secrets.find_secrets(text, TIK)
+    assert time.perf_counter() - begin < 10
+
+
+def test_rates_of_random_strings():
+    rng, upper, lower = random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for alphabet, n, most in (("0123456789ABCDEF", 32, 0.03), ("0123456789ABCDEF", 40, 0.03), (lower, 20, 0.06), (lower, 32, 0.02), (upper, 20, 0.02), (upper + lower, 20, 0.01)):
+        values = [noise(rng, [*alphabet], n) for _ in range(400)]
+        assert sum(not any(k == 3 for _, k, _ in secrets.find_secrets(f"see {x} there", TIK)) for x in values) <= most * len(values)
