@@ -24,6 +24,8 @@ SEED, RARE_ROWS, RARE_SHARE, TIMES = 4, 100, 0.001, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least score, as a share of the score of the whole item. Items shorter than MIN_WORDS have to be met whole.
 SHARE, MIN_WORDS = 0.5, 12
+#: Items of a seed up to which it proposes all of them; others propose the items of which a rarest word is there.
+SEED_ITEMS = 32
 #: Seeds of one block of the benchmark, which is aligned by itself, and of all blocks that one pass over documents seeks.
 BLOCK_SEEDS, PASS_SEEDS = 500_000, 4_000_000
 
@@ -42,9 +44,18 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers from each first to before its last, one range after the other."""
+    size = last - first
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 class Items:
     """A block of benchmark items: word numbers, and the items and places of every seed. The seed of an item of fewer than
-    SEED words is all of it."""
+    SEED words is all of it.
+
+    An item that has to meet a text in k of its m words meets it in one of any m - k + 1: it is listed under so many of its
+    words, those of the fewest items. A phrase that most items share is not among them, unless it is k words itself."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         found = [(item, words) for (item, _), words in zip(rows, hashed([x or "" for _, x in rows]), strict=True) if len(words)]
@@ -58,8 +69,22 @@ class Items:
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)])
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner, self.place = flat[order], owner[order], place[order]
-        self.seeds = np.unique(self.flat)
+        self.seeds, self.kind = np.unique(self.flat, return_inverse=True)
+        self.listed = np.searchsorted(self.kind, np.arange(len(self.seeds) + 1))
         self.rare = np.ones(len(self.flat), bool)
+        self.by_owner = np.argsort(self.owner, kind="stable")
+        self.owned = np.searchsorted(self.owner[self.by_owner], np.arange(len(found) + 1))
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.need = np.where(self.size >= MIN_WORDS, SHARE, 1.0)
+        self.first = np.cumsum(self.size) - self.size
+        self.flat_words = np.concatenate([np.zeros(0, np.int64), *self.words])
+        holder = np.repeat(np.arange(len(found)), self.size)
+        order = np.lexsort((np.bincount(self.flat_words, minlength=1)[self.flat_words], holder))
+        least = np.ceil(self.need * self.size - 1e-9).astype(np.int64)
+        order = order[ranges(self.first, self.first + self.size - least + 1)]
+        order = order[np.argsort(self.flat_words[order], kind="stable")]
+        self.under = holder[order]
+        self.word_first = np.searchsorted(self.flat_words[order], np.arange(len(self.vocabulary) + 1))
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """Word numbers of hashes; -1 for words of no item."""
@@ -99,34 +124,29 @@ class Items:
         best: dict[int, tuple[int, float, int, int]] = {}
         if not len(seed):
             return []
-        lo, hi = np.searchsorted(self.flat, self.seeds[seed]), np.searchsorted(self.flat, self.seeds[seed], "right")
+        order = np.argsort(seed, kind="stable")
+        seed, at = seed[order], at[order]
         present = np.zeros(len(self.vocabulary) + 1, bool)  # the last one is for unknown words, -1
         present[words] = True
-        possible: dict[int, bool] = {}
-        starts: dict[int, dict[int, bool]] = {}
-        for a, b, place in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True):
-            for k in range(a, b):
-                owner, rare = int(self.owner[k]), bool(self.rare[k])
-                if owner not in possible:
-                    possible[owner] = self.enough(owner, present)
-                if possible[owner]:
-                    found, s = starts.setdefault(owner, {}), place - int(self.place[k])
-                    found[s] = found.get(s, False) or rare
-        for owner, found in starts.items():
-            m = len(self.words[owner])
-            need = self.need(owner)
+        for owner in self.proposed(np.unique(seed), present).tolist():
+            mine = self.by_owner[self.owned[owner] : self.owned[owner + 1]]
+            lo, hi = np.searchsorted(seed, self.kind[mine]), np.searchsorted(seed, self.kind[mine], "right")
+            start = at[ranges(lo, hi)] - np.repeat(self.place[mine], hi - lo)
+            found, group = np.unique(start, return_inverse=True)
+            rarely = np.bincount(group, np.repeat(self.rare[mine], hi - lo), len(found)) > 0
+            m, need = int(self.size[owner]), float(self.need[owner])
             merged: list[list] = []
-            for s in sorted(found):
+            for s, rare in zip(found.tolist(), rarely.tolist(), strict=True):
                 if merged and s - m // 2 <= merged[-1][1]:
-                    merged[-1][1:] = s + m + m // 2, merged[-1][2] or found[s]
+                    merged[-1][1:] = s + m + m // 2, merged[-1][2] or rare
                 else:
-                    merged.append([s - m // 2, s + m + m // 2, found[s]])
+                    merged.append([s - m // 2, s + m + m // 2, rare])
             for a, b, rare in merged:
                 a = max(0, a)
                 if not rare:
                     inside = np.zeros_like(present)
                     inside[words[a:b]] = True
-                    if not self.enough(owner, inside):
+                    if not self.enough(np.array([owner]), inside)[0]:
                         continue
                 score, first, last = smith_waterman(self.words[owner], words[a:b])
                 share = score / (MATCH * m)
@@ -134,12 +154,22 @@ class Items:
                     best[owner] = (self.ids[owner], share, a + first, a + last)
         return sorted(best.values())
 
-    def need(self, owner: int) -> float:
-        return SHARE if len(self.words[owner]) >= MIN_WORDS else 1.0
+    def proposed(self, seeds: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """Items with one of the seeds and enough words present, found in a time that doesn't grow with the items of a seed."""
+        few = self.listed[seeds + 1] - self.listed[seeds] <= SEED_ITEMS
+        out = np.unique(self.owner[ranges(self.listed[seeds[few]], self.listed[seeds[few] + 1])])
+        if not few.all():
+            seen = np.flatnonzero(present[:-1])
+            out = np.union1d(out, self.under[ranges(self.word_first[seen], self.word_first[seen + 1])])
+        return out[self.enough(out, present)]
 
-    def enough(self, owner: int, present: np.ndarray) -> bool:
-        """Whether so many of the item's words are present that its share could be reached."""
-        return np.count_nonzero(present[self.words[owner]]) >= self.need(owner) * len(self.words[owner])
+    def enough(self, owners: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """Whether so many of each item's words are present that its share could be reached."""
+        if not len(owners):
+            return np.zeros(0, bool)
+        size = self.size[owners]
+        words = self.flat_words[ranges(self.first[owners], self.first[owners] + size)]
+        return np.add.reduceat(present[words], np.cumsum(size) - size, dtype=np.int64) >= self.need[owners] * size
 
 
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -196,12 +226,19 @@ def passes(blocks: Iterator[Items]) -> Iterator[list[Items]]:
         yield held
 
 
+#: Columns of a result besides doc_id.
+SPANS = "item_id long, share double, first_word long, last_word long"
+KINDS = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+NAMES = ["doc_id", "item_id", "share", "first_word", "last_word"]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, share, first_word, last_word: each row of documents with each item of which it holds a copy.
 
     Words are runs of letters, digits and underscores in lower case. Null and empty texts and items match nothing;
     repeated rows give repeated results; empty tables give none; other columns are not read. doc_id may be a number or a
-    digest. The benchmark is the stated query set: it goes to the executors in blocks of bounded size, and one pass over documents serves PASS_SEEDS."""
+    digest. The benchmark is the stated query set: it goes to the executors in blocks of bounded size, and one pass over
+    documents, and one over the texts met, serves PASS_SEEDS."""
     spark, scratch, out = docs.sparkSession, Scratch(docs.sparkSession), None
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     name = rows.schema["doc_id"].dataType.simpleString()
@@ -223,18 +260,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         total = docs.count() if total is None else total
         counts = met.select("block", F.explode("seeds").alias("seed")).groupBy("block", "seed").count().orderBy("block")
         for b, found in groupby(counts.toLocalIterator(), lambda r: r["block"]):
-            items = blocks[b]
-            items.choose({r["seed"]: r["count"] for r in found}, total)
-
-            def align(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    found = [(doc, *x) for doc, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in items.align(words.values.to_numpy().view(np.uint64))]
-                    kinds = (id_kind, pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], ["doc_id", "item_id", "share", "first_word", "last_word"])
-
-            hits = met.where(F.col("block") == b).select("doc_id", "words").mapInArrow(align, f"doc_id {name}, item_id long, share double, first_word long, last_word long")
-            out = hits if out is None else out.unionByName(hits)
-    return spark.createDataFrame([], f"doc_id {name}, item_id long, share double, first_word long, last_word long") if out is None else out
+            blocks[b].choose({r["seed"]: r["count"] for r in found}, total)
+
+        def align(batches: Iterator[pa.RecordBatch], blocks: list[Items] = blocks) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True)
+                found = [(doc, *x) for b, doc, words in rows for x in blocks[b].align(words.values.to_numpy().view(np.uint64))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((id_kind, *KINDS))], NAMES)
+
+        hits = met.select("block", "doc_id", "words").mapInArrow(align, f"doc_id {name}, {SPANS}")
+        out = hits if out is None else out.unionByName(hits)
+    return spark.createDataFrame([], f"doc_id {name}, {SPANS}") if out is None else out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

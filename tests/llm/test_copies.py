@@ -242,6 +242,29 @@ def test_recall_against_alignment_of_all_pairs(spark, smallest, documents):
     print("recall", len(got) / len(expected), "of", len(expected))
 
 
+def test_items_that_share_a_phrase_are_proposed_by_their_rarest_words(monkeypatch):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    phrase = "which of the following is"
+    items = Items([(i, " ".join([phrase, *(word() for _ in range(rng.choice((1, 4, 12, 30))))])) for i in range(3000)])
+    own = [x for x, _ in zip(items.words, range(40), strict=False)]
+    plain = " ".join([*(word() for _ in range(150)), phrase, *(word() for _ in range(150))])
+    names = {int(n): w for w, n in zip(["which", "of", "the", "following", "is"], items.numbers(decontamination.hashed([phrase])[0]), strict=True)}
+    names |= {int(n): f"w{i}" for i, n in enumerate(items.numbers(decontamination.hashed([" ".join(f"w{i}" for i in range(3000))])[0]))}
+    copies = [" ".join([plain, *(names[int(x)] for k, x in enumerate(w) if k % 6 != 5), plain]) for w in own]
+    texts = decontamination.hashed([plain, *copies, phrase, ""])
+    results, looked = [], []
+    enough = Items.enough
+    monkeypatch.setattr(Items, "enough", lambda self, owners, present: looked.append(len(owners)) or enough(self, owners, present))
+    for most in (32, 0, 10**9):  # the last lists every item of every seed
+        monkeypatch.setattr(decontamination, "SEED_ITEMS", most)
+        looked.clear()
+        items.align(texts[0])
+        results.append(([items.align(x) for x in texts], max(looked)))
+    assert results[0][0] == results[1][0] == results[2][0] and sum(map(len, results[0][0])) >= 20
+    assert max(results[0][1], results[1][1]) < 1500 and results[2][1] == 3000
+
+
 def test_short_items_are_met_whole(spark):
     bench = spark.createDataFrame([(1, "Qua dri"), (2, "lonely"), (3, "a b c"), (4, "a b c d e"), (5, "...")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x qua, dri y"), (2, "qua z dri"), (3, "so lonely!"), (4, "a b x c"), (5, "z a b c d e"), (6, "a b c x"), (7, "lonely lonely"), (7, "lonely lonely"), (None, "Qua dri")], "doc_id long, text string")
