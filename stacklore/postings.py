@@ -2,7 +2,8 @@
 
 A query's term has no white space, so a text holds it where one of its words does: the postings of the words that hold a
 term are those of the term. Postings stand in blocks of documents of like size; the head of a block tells how often the
-word occurs in a document at most and how small one is, which bounds the score of all of them.
+word occurs in a document at most and how small one is, which bounds the score of all of them. A task that reads texts
+makes blocks of them, so the index is built without a shuffle.
 
 A segment holds the words of what one or more batches changed, what these replace as postings of sign -1, and the ids.
 A document's newest segment counts. Small segments are merged with small ones, so that a row is rewritten a few times
@@ -11,40 +12,108 @@ however many batches come.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .commits import CommitLog, Conflict
 from .operators import search
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 
 #: Documents of a block, blocks that are read at first, segments of like size that are merged.
 BLOCK, FIRST, FAN_IN = 1024, 32, 4
-DOCS = "array<struct<id:string,tf:long,size:int>>"
-
-
-def words(rows: DataFrame, fields: tuple[str, ...], sign: int) -> DataFrame:
-    """token, id, tf, size, sign of the words of three or more characters of (id, fields)."""
-    text = search.searched_text(rows, fields)
-    each = text.select("id", F.col("size").cast("int").alias("size"), F.explode(F.split("text", "[\\x00\\x09-\\x0D\\x20]+")).alias("token")).where("length(token) >= 3")
-    return each.groupBy("token", "id", "size").agg(F.count("*").alias("tf")).withColumn("sign", F.lit(sign))
-
-
-def blocks(postings: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """token, sign, block, n, max_tf, min_size, docs. Documents of a block differ in size by a fifth at most and are
-    BLOCK in the mean, so that a common word's postings are many rows."""
-    postings = scratch.save(postings, name)
-    size = F.floor(F.log2(F.col("size") + 1) * 4).cast("long")
-    parts = postings.groupBy(size.alias("class")).agg(F.count_distinct("id").alias("n")).collect()  # a class for each power of 2 ** 1/4
-    most = F.create_map(*[F.lit(x) for r in parts for x in (r["class"], math.ceil(r["n"] / BLOCK))]) if parts else F.create_map(F.lit(0), F.lit(1))
-    block = size * (1 << 32) + F.pmod(F.xxhash64("id"), most[size])
-    doc = F.struct("id", F.col("tf").cast("long").alias("tf"), "size")
-    made = postings.groupBy("token", "sign", block.alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("size").alias("min_size"), F.collect_list(doc).alias("docs"))
-    return made.repartition("token", "block").sortWithinPartitions("token", "block")
+#: Blocks of a task's own rows may be small: the first round reads so many times more.
+WIDER = 4
+#: Bytes of text that make a block, and rows that pass to Python at a time.
+TEXT, ROWS = 8 << 20, 128
+#: A posting is a document's place in its block, in the upper half, and how often it holds the word. Ids and sizes stand once
+#: for each block, in a row without a token.
+BLOCKS = "token string, sign int, block long, n long, max_tf long, min_size int, docs array<long>, ids array<string>, sizes array<int>"
+
+
+def invert(batches: Iterable[pa.RecordBatch], most: int, nbytes: int) -> Iterator[pa.RecordBatch]:
+    """BLOCKS of the rows (id, sign, size, text, tfs) of a task, which come by sign and size. A block ends after ``most``
+    documents, after half of them where a size is twice the least, or after ``nbytes`` bytes of text, which bound the memory."""
+    made, held, n, total, sign, least = TaskContext.get().partitionId() << 32, [], 0, 0, None, 0
+    for batch in batches:
+        begin, rows = 0, zip(batch["sign"].to_pylist(), batch["size"].to_pylist(), pc.binary_length(batch["text"]).to_pylist(), strict=True)
+        for i, (s, size, length) in enumerate(rows):
+            if n and (s != sign or n == most or total + length > nbytes or 2 * n >= most and size > 2 * least + 1):
+                yield _block([*held, batch.slice(begin, i - begin)], made)
+                made, held, n, total, begin = made + 1, [], 0, 0, i
+            sign, least, n, total = s, least if n else size, n + 1, total + length
+        held.append(batch.slice(begin))
+    if n:
+        yield _block(held, made)
+
+
+def _block(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+    """The block's row, which has no token, then one for each word of three or more characters."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    ids, size, text, tfs = (rows[x].combine_chunks() for x in ("id", "size", "text", "tfs"))
+    parts = pc.ascii_split_whitespace(pc.replace_substring(text, "\x00", " "))
+    each, doc = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
+    long = pc.greater_equal(pc.utf8_length(each), 3)
+    coded, doc = each.filter(long).dictionary_encode(), doc[long.to_numpy(zero_copy_only=False)]
+    pairs = coded.indices.to_numpy().astype("int64") * len(rows) + doc
+    if tfs.null_count:
+        pairs, tf = np.unique(pairs, return_counts=True)
+    else:
+        order = np.argsort(pairs)
+        pairs, tf = pairs[order], pc.list_flatten(tfs).to_numpy()[order]
+    token, doc = np.divmod(pairs, len(rows))
+    starts = np.flatnonzero(np.diff(token, prepend=-1))
+    ends = np.append(starts, len(token))
+    of = lambda f, values: f.reduceat(values, starts) if len(starts) else values
+    first = lambda head, tail, kind: pa.array(np.append(head, tail), kind)
+    same = lambda value, kind: pa.array(np.full(len(starts) + 1, value), kind)
+    once = lambda values: pa.array([values.to_pylist(), *[None] * len(starts)], pa.list_(values.type))
+    out = {
+        "token": pa.concat_arrays([pa.array([""]), coded.dictionary]), "sign": same(rows["sign"][0].as_py(), pa.int32()), "block": same(block, pa.int64()),
+        "n": first(len(rows), np.diff(ends), pa.int64()), "max_tf": first(0, of(np.maximum, tf), pa.int64()), "min_size": first(0, of(np.minimum, size.to_numpy()[doc]), pa.int32()),
+        "docs": pa.ListArray.from_arrays(first(0, ends, pa.int32()), pa.array(doc << 32 | tf)), "ids": once(ids), "sizes": once(size),
+    }
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """BLOCKS of (id, sign, size, text, tfs). A task makes blocks of its own rows, in order of size, so that neither texts nor
+    words are shuffled."""
+    rows = rows.select("id", "sign", F.col("size").cast("int").alias("size"), "text", "tfs")
+    return rows.sortWithinPartitions("sign", "size").mapInArrow(partial(invert, most=BLOCK, nbytes=TEXT), BLOCKS).sortWithinPartitions("token", "block")
+
+
+def blocks(now: DataFrame, before: DataFrame | None, fields: tuple[str, ...]) -> DataFrame:
+    """BLOCKS of the words of rows (id, fields)."""
+    rows = search.searched_text(now, fields).withColumn("sign", F.lit(1))
+    if before is not None:
+        rows = rows.unionByName(search.searched_text(before, fields).withColumn("sign", F.lit(-1)))
+    return _dealt(rows.withColumn("tfs", F.lit(None).cast("array<long>")))
+
+
+def counted(postings: DataFrame) -> DataFrame:
+    """BLOCKS of (id, token, tf, size, sign)."""
+    words = F.collect_list(F.struct("token", F.col("tf").cast("long").alias("tf"))).alias("words")
+    rows = postings.groupBy("id", "size", "sign").agg(words)
+    return _dealt(rows.select("id", "size", "sign", F.array_join("words.token", " ").alias("text"), F.col("words.tf").alias("tfs")))
+
+
+def located(rows: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` columns, _order, block, doc and tf of postings: ``doc`` is a document's place in its block."""
+    each = rows.select(*kept, "_order", "block", F.explode("docs").alias("d"))
+    return each.select(*kept, "_order", "block", F.shiftright("d", 32).cast("int").alias("doc"), F.col("d").bitwiseAND(0xFFFFFFFF).alias("tf"))
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """_order, block, doc, id, size: what stands in the blocks."""
+    heads = rows.where("token = ''").select("_order", "block", F.posexplode(F.arrays_zip("ids", "sizes")).alias("doc", "d"))
+    return heads.select("_order", "block", "doc", F.col("d.ids").alias("id"), F.col("d.sizes").alias("size"))
 
 
 class WordIndex:
@@ -67,15 +136,13 @@ class WordIndex:
         self.merge()
 
     def _add(self, now: DataFrame, before: DataFrame | None, ids: DataFrame, follows: int, state: dict, version: int, replaces: list[dict] | None) -> None:
-        scratch = Scratch(self.spark)
-        postings = words(now, self.fields, 1)
         count = lambda rows, sign: search.searched_text(rows, self.fields).agg((F.count("*") * sign).alias("n"), (F.coalesce(F.sum("size"), F.lit(0)) * sign).alias("size"))
         change = count(now, 1)
         if before is not None:
-            postings, change = postings.unionByName(words(before, self.fields, -1)), change.unionByName(count(before, -1))
-        folder = self.log.write(blocks(postings, scratch, "postings"))
+            change = change.unionByName(count(before, -1))
+        with small_batches(self.spark, ROWS):
+            folder = self.log.write(blocks(now, before, self.fields), compression="zstd")
         docs = self.log.write(ids.select("id").distinct())
-        scratch.keep()
         change = change.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
         facts = {"docs": docs, "follows": follows, "rows": self.log.folder(docs).count(), "n": state["n"] + int(change["n"]), "size": state["size"] + int(change["size"])}
         try:
@@ -96,11 +163,11 @@ class WordIndex:
         first, last, version = tail[0]["order"], tail[-1], self.log.version()
         of = lambda column: self.log.read(after=first - 1, column=column)
         spans = of("docs").groupBy("id").agg(F.min("_order").alias("oldest"), F.max("_order").alias("newest"))
-        rows = of("folder").select("token", "sign", "_order", F.explode("docs").alias("d")).select("token", "sign", "_order", "d.*")
+        rows = located(of("folder").where("token <> ''"), "token", "sign").join(members(of("folder")), ["_order", "block", "doc"])
         kept = rows.join(spans, "id").where(F.when(F.col("sign") > 0, F.col("_order") == F.col("newest")).otherwise((F.col("_order") == F.col("oldest")) & F.lit(len(tail) < len(segments))))
-        scratch = Scratch(self.spark)
-        folder, docs = self.log.write(blocks(kept.select("token", "id", "tf", "size", "sign"), scratch, "postings")), self.log.write(spans.select("id"))
-        scratch.keep()
+        with small_batches(self.spark, ROWS):
+            folder = self.log.write(counted(kept.select("token", "id", "tf", "size", "sign")), compression="zstd")
+        docs = self.log.write(spans.select("id"))
         facts = {"docs": docs, "follows": last["follows"], "rows": self.log.folder(docs).count(), "n": last["n"], "size": last["size"]}
         try:
             self.log.commit(folder, version, tail, last["order"], **facts)
@@ -114,8 +181,8 @@ class WordIndex:
         groups = heads.groupBy("term", "_order", "block", "sign").agg(F.count("*").alias("words"), F.sum("n").alias("n"))
         few = groups.where("words = 1").select("term", (F.col("n") * F.col("sign")).alias("n"))
         many = heads.join(groups.where("words > 1").select("term", "_order", "block", "sign"), ["term", "_order", "block", "sign"], "left_semi").select("term", "token", "_order", "block", "sign")
-        ids = self._holding(terms, at).select("token", "_order", "block", "sign", F.explode("docs.id").alias("id")).join(many, ["token", "_order", "block", "sign"])
-        many = ids.select("term", "_order", "sign", "id").distinct().select("term", F.col("sign").cast("long").alias("n"))
+        docs = located(self._holding(terms, at), "token", "sign").join(many, ["token", "_order", "block", "sign"])
+        many = docs.select("term", "_order", "block", "sign", "doc").distinct().select("term", F.col("sign").cast("long").alias("n"))
         found = {r["term"]: r["n"] for r in few.unionByName(many).groupBy("term").agg(F.sum("n").alias("n")).collect()}
         return [int(found.get(i, 0)) for i in range(len(terms))]
 
@@ -146,22 +213,22 @@ class WordIndex:
         changed = reduce(DataFrame.unionByName, [self.log.folder(x["docs"]).select("id", F.lit(x["order"]).alias("newest")) for x in newer]) if newer else None
 
         def best(some: DataFrame) -> DataFrame:
-            rows = self._holding(terms, at).where("sign > 0").join(some, ["_order", "block"], "left_semi").select("_order", "docs", F.inline(hits))
-            rows = rows.select("_order", "term", "occ", F.inline("docs"))
+            rows = self._holding(terms, at).where("sign > 0").join(some, ["_order", "block"], "left_semi").select("_order", "block", "docs", F.inline(hits))
+            rows = located(rows, "term", "occ").groupBy("_order", "block", "doc").agg(*per_term(F.col("tf") * F.col("occ"))).where(whole)
+            found = rows.join(members(self.log.read(at)), ["_order", "block", "doc"])
             if changed is not None:
-                rows = rows.join(changed.groupBy("id").agg(F.max("newest").alias("newest")), "id", "left").where("newest is null or newest <= _order")
-            found = rows.groupBy("id", "size").agg(*per_term(F.col("tf") * F.col("occ"))).where(whole)
+                found = found.join(changed.groupBy("id").agg(F.max("newest").alias("newest")), "id", "left").where("newest is null or newest <= _order")
             return wanted(found.select("id", (-total(F.col("size"))).alias("rank"))).orderBy("rank", "id").limit(k)
 
-        front = bounds.orderBy(F.desc("bound"), "_order", "block").limit(FIRST + 1).collect()
-        out, more = scratch.save(best(self.spark.createDataFrame(front[:FIRST], bounds.schema)), "best"), len(front) > FIRST
+        front, first = bounds.orderBy(F.desc("bound"), "_order", "block").limit(WIDER * FIRST + 1).collect(), WIDER * FIRST
+        out, more = scratch.save(best(self.spark.createDataFrame(front[:first], bounds.schema)), "best"), len(front) > first
         if more:
             least = out.agg(F.count("*").alias("n"), F.max("rank").alias("rank")).first()
             rest = bounds.where(F.col("bound") >= -least["rank"]) if least["n"] == k else bounds
-            more = least["n"] < k or front[FIRST]["bound"] >= -least["rank"]
+            more = least["n"] < k or front[first]["bound"] >= -least["rank"]
             if more:
                 out = scratch.save(best(rest), "final")
         if told is not None:
-            told.update(blocks=bounds.count(), read=rest.count() if more else len(front[:FIRST]))
+            told.update(blocks=bounds.count(), read=rest.count() if more else len(front[:first]))
         scratch.keep("final" if more else "best")
         return out

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stacklore import postings
-from stacklore.commits import Conflict
+from stacklore.commits import CommitLog, Conflict
 from stacklore.errors import NotFound, Validation
 from stacklore.library import Library
 from stacklore.operators import search
@@ -134,6 +134,23 @@ def test_top_of_the_index_reads_few_blocks(spark, tmp_path, monkeypatch):
     assert sorted(r["id"] for r in some) == sorted(r["id"] for r in expected)
 
 
+def test_index_is_built_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Shuffles of all words, three for each segment, took more disk than there is for ten times the texts."""
+    seen, write = [], CommitLog.write
+    monkeypatch.setattr(CommitLog, "write", lambda self, rows, **options: (seen.append(rows), write(self, rows, **options))[1])
+    text = lambda i: f"trap{i % 7} trap{i % 7} Ion\x00beam\x0bion of no\u00a0x {'ion ' * (i % 5)}" if i % 10 else None
+    docs = spark.createDataFrame([(f"p{i}", text(i)) for i in range(60)], "id string, body string")
+    former = docs.where("id > 'p3'").withColumn("body", F.concat(F.lit("ion before "), "body"))
+    index = postings.WordIndex(spark, str(tmp_path / "ix"), ("body",))
+    index.build(docs.where("id <= 'p3'").unionByName(former), 1)
+    index.add(docs.where("id > 'p3'"), former, former.select("id"), 2)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in seen if "docs" in x.columns]
+    assert len(plans) == 2 and not any("Exchange" in x for x in plans)
+    for query in ("ion", "trap3 ion"):
+        got = [(r["id"], round(r["rank"], 9)) for r in index.top(query, 9).orderBy("rank", "id").collect()]
+        assert got == [(r["id"], round(r["rank"], 9)) for r in search.top(docs, query, 9, "id", ("body",)).collect()]
+
+
 def test_half_written_and_compacted_batches(spark, library):
     log = library.log("papers")
     before, at = sorted(r["id"] for r in library.read("papers").collect()), log.version()
