@@ -3,7 +3,9 @@
 import json
 import random
 from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,21 @@ def test_index_is_built_without_a_shuffle(spark, tmp_path, monkeypatch):
         assert got == [(r["id"], round(r["rank"], 9)) for r in search.top(docs, query, 9, "id", ("body",)).collect()]
 
 
+def test_blocks_hold_few_documents_and_little_text(monkeypatch):
+    """Any task's memory is bounded, however its rows come."""
+    monkeypatch.setattr(postings, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    texts = [" ".join(["ion", "of", f"w{i:03d}"] * (1 + i // 4)) for i in range(40)]
+    rows = [{"id": f"p{i}", "sign": 1, "size": len(t) - 2, "text": t, "tfs": None} for i, t in enumerate(texts)]
+    kinds = pa.schema([("id", pa.string()), ("sign", pa.int32()), ("size", pa.int32()), ("text", pa.string()), ("tfs", pa.list_(pa.int64()))])
+    made = [x.to_pylist() for x in postings.invert(pa.Table.from_pylist(rows, kinds).to_batches(max_chunksize=7), most=6, nbytes=500)]
+    heads = [x[0] for x in made]
+    assert [i for x in heads for i in x["ids"]] == [r["id"] for r in rows] and {x["token"] for x in heads} == {""}
+    assert len({x["block"] for x in heads}) == len(made) and all(len({r["block"] for r in x}) == 1 for x in made)
+    assert all(x["n"] <= 6 and sum(x["sizes"]) + 2 * x["n"] <= 500 for x in heads) and len(made) < 20
+    got = {(r["token"], x[0]["ids"][d >> 32]): d & 0xFFFFFFFF for x in made for r in x[1:] for d in r["docs"]}
+    assert got == {(w, f"p{i}"): 1 + i // 4 for i in range(40) for w in ("ion", f"w{i:03d}")}
+
+
 def test_half_written_and_compacted_batches(spark, library):
     log = library.log("papers")
     before, at = sorted(r["id"] for r in library.read("papers").collect()), log.version()
