@@ -136,14 +136,13 @@ class WordIndex:
         self.merge()
 
     def _add(self, now: DataFrame, before: DataFrame | None, ids: DataFrame, follows: int, state: dict, version: int, replaces: list[dict] | None) -> None:
-        count = lambda rows, sign: search.searched_text(rows, self.fields).agg((F.count("*") * sign).alias("n"), (F.coalesce(F.sum("size"), F.lit(0)) * sign).alias("size"))
-        change = count(now, 1)
-        if before is not None:
-            change = change.unionByName(count(before, -1))
         with small_batches(self.spark, ROWS):
             folder = self.log.write(blocks(now, before, self.fields), compression="zstd")
         docs = self.log.write(ids.select("id").distinct())
-        change = change.agg(F.sum("n").alias("n"), F.sum("size").alias("size")).first()
+        # what the blocks hold is counted, so that texts are read once
+        sizes = F.aggregate("sizes", F.lit(0).cast("long"), lambda x, y: x + y)
+        held = self.log.folder(folder).where("token = ''").agg(F.sum(F.col("n") * F.col("sign")).alias("n"), F.sum(sizes * F.col("sign")).alias("size"))
+        change = held.select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("size", F.lit(0)).alias("size")).first()
         facts = {"docs": docs, "follows": follows, "rows": self.log.folder(docs).count(), "n": state["n"] + int(change["n"]), "size": state["size"] + int(change["size"])}
         try:
             self.log.commit(folder, version, replaces, **facts)

@@ -153,6 +153,28 @@ def test_index_is_built_without_a_shuffle(spark, tmp_path, monkeypatch):
         assert got == [(r["id"], round(r["rank"], 9)) for r in search.top(docs, query, 9, "id", ("body",)).collect()]
 
 
+def test_index_reads_texts_once(spark, tmp_path):
+    """Texts were read a second time for the number of rows and their sizes."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    docs = spark.createDataFrame([(f"p{i}", "ion trap " * i or None) for i in range(40)], "id string, body string")
+    index = postings.WordIndex(spark, str(tmp_path / "ix"), ("body",))
+    index.build(docs.mapInPandas(seen, docs.schema), 1)
+    facts = docs.agg(F.count("*"), F.sum(F.greatest(F.length("body") - 2, F.lit(0)))).first()
+    # once for the blocks, once for the ids, from which Spark can't leave out this function
+    assert read.value == 80 and (index.state()["n"], index.state()["size"]) == tuple(facts)
+    index.add(docs.where("id = 'p9'").withColumn("body", F.lit("ion")), docs.where("id in ('p9', 'p8')"), docs.where("id in ('p9', 'p8')").select("id"), 2)
+    assert (index.state()["n"], index.state()["size"]) == (facts[0] - 1, facts[1] - (9 * 9 - 2) - (8 * 9 - 2) + 1)
+    empty = postings.WordIndex(spark, str(tmp_path / "empty"), ("body",))
+    empty.build(docs.where("false"), 1)
+    assert (empty.state()["n"], empty.state()["size"]) == (0, 0) and empty.top("ion", 5).count() == 0
+
+
 def test_blocks_hold_few_documents_and_little_text(monkeypatch):
     """Any task's memory is bounded, however its rows come."""
     monkeypatch.setattr(postings, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
